@@ -4,6 +4,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(c: Column, build) -> Column:
+    """``build`` applied to a value that is computed once, for expressions that use an
+    expensive part many times (keeps plans and generated code small)."""
+    return F.transform(F.array(c), build)[0]
+
+
 def clean_text(c: Column) -> Column:
     """NULL becomes '', the non-breaking hyphen a plain one, white space one blank."""
     plain = F.translate(F.coalesce(c.cast("string"), F.lit("")), "‑", "-")

@@ -29,18 +29,26 @@ def ancestors(subjects: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 
 
 def annotation_scope(subjects: DataFrame, depth: int = 3) -> DataFrame:
-    """All subject values whose notes a subject shows: '*', every group, itself, its ancestors."""
+    """Scopes whose notes a subject shows: '*', itself and its ancestors.
+
+    Notes on a group are shown everywhere; ``annotations_for`` files them under '*', so no
+    product of subjects and groups is needed.
+    """
     everyone = subjects.select("id", F.lit("*").alias("scope"))
-    groups = subjects.filter("type = 'group'").select(F.col("id").alias("scope"))
-    with_groups = subjects.select("id").join(groups)
     tree = ancestors(subjects, depth).select("id", F.col("ancestor").alias("scope"))
-    return everyone.unionByName(with_groups).unionByName(tree).distinct()
+    return everyone.unionByName(tree).distinct()
 
 
 def annotations_for(notes: DataFrame, subjects: DataFrame, depth: int = 3) -> DataFrame:
-    """Notes next to every subject that shows them. Only own, inherited and global scopes join."""
-    scope = annotation_scope(subjects, depth).select(F.col("id").alias("subject_id"), F.col("scope").alias("subject"))
-    return notes.join(scope, "subject").select("subject_id", F.col("id").alias("note_id"), "date", "subject", "text")
+    """Notes next to every subject that shows them."""
+    groups = subjects.filter("type = 'group'").select(F.col("id").alias("subject"), F.lit(True).alias("_group"))
+    filed = notes.join(groups, "subject", "left").withColumn(
+        "scope", F.when(F.col("_group"), F.lit("*")).otherwise(F.col("subject"))
+    )
+    scope = annotation_scope(subjects, depth).withColumnRenamed("id", "subject_id")
+    return filed.join(scope, "scope").select(
+        "subject_id", F.col("id").alias("note_id"), "date", "subject", "text"
+    ).distinct()
 
 
 def annotate_periods(notes: DataFrame, periods: DataFrame, grain: str, by=("subject_id",)) -> DataFrame:

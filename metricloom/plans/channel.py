@@ -15,32 +15,29 @@ _PAGE = ["subject", "grain", "period", "period_start"]
 _NOT_CHANNELS = ("数量", "总计", "合计", "汇总")
 
 
-def effective_store_counts(subjects: DataFrame, counts: DataFrame, overrides: DataFrame) -> DataFrame:
+def effective_store_counts(subjects: DataFrame, counts: DataFrame, overrides: DataFrame, group: str) -> DataFrame:
     """Stores per subject and channel: brand table, then the brand's override, then its own.
 
-    The group adds up its brands, unknown as soon as one brand's number is. A generation
-    only ever inherits from its own brand. Result: subject, channel, stores.
+    The group adds up all configured brands, unknown as soon as one brand's number is. A
+    generation only ever inherits from its own brand. Result: subject, channel, stores.
     """
     base = counts.select(compact_text(F.col("brand")).alias("_k"), "channel", F.col("n").cast("double").alias("n"))
     own = overrides.select(compact_text(F.col("subject")).alias("_k"), "channel", F.col("n").cast("double").alias("n"))
-    brand = subjects.filter("type = 'brand'").select("name", compact_text(F.col("name")).alias("_k"))
+    brands = subjects.filter("type = 'brand'").select("name").unionByName(counts.select(F.col("brand").alias("name"))).distinct()
+    brand = brands.select("name", compact_text(F.col("name")).alias("_k"))
     child = subjects.filter("type = 'generation' and parent is not null").select("name", compact_text(F.col("parent")).alias("_k"))
     itself = subjects.filter("type = 'generation'").select("name", compact_text(F.col("name")).alias("_k"))
 
     def take(names, table, level):
         return names.join(table, "_k").select(F.col("name").alias("subject"), "channel", "n", F.lit(level).alias("level"))
 
-    layers = (
-        take(brand, base, 1).unionByName(take(brand, own, 2))
-        .unionByName(take(child, base, 1)).unionByName(take(child, own, 2)).unionByName(take(itself, own, 3))
-    )
-    effective = layers.groupBy("subject", "channel").agg(observed(F.max_by("n", "level")).alias("stores"))
-    group = subjects.filter("type = 'group'").select(F.col("name").alias("group"))
-    brands = effective.join(brand.select(F.col("name").alias("subject")), "subject", "left_semi")
-    summed = brands.groupBy("channel").agg(complete_sum(F.col("stores")).alias("stores"))
-    # One group row at most: the product adds no rows beyond the channels.
-    whole = summed.crossJoin(F.broadcast(group.limit(1))).select(F.col("group").alias("subject"), "channel", "stores")
-    return effective.unionByName(whole)
+    def resolve(layers):
+        return layers.groupBy("subject", "channel").agg(observed(F.max_by("n", "level")).alias("stores"))
+
+    of_brands = resolve(take(brand, base, 1).unionByName(take(brand, own, 2)))
+    of_children = resolve(take(child, base, 1).unionByName(take(child, own, 2)).unionByName(take(itself, own, 3)))
+    whole = of_brands.groupBy(F.lit(group).alias("subject"), "channel").agg(complete_sum(F.col("stores")).alias("stores"))
+    return of_brands.unionByName(of_children).unionByName(whole)
 
 
 def channel_universe(obs: DataFrame) -> DataFrame:

@@ -162,20 +162,16 @@ def latest_model_year(names: DataFrame, name: str = "subject") -> DataFrame:
 
 
 def ranking_input(obs: DataFrame) -> DataFrame:
-    """(subject, grain, metric) values of a period next to those of the previous detail period.
+    """Values of a period next to those of the previous detail period of the grain.
 
-    A value that is absent stays unknown; callers add covered zeros first when proven.
+    An absent value stays unknown; callers add covered zeros first where they are proven.
     """
     rows = obs.filter(F.col("metric").isin(RETAINED, LOCKED) & (F.col("stat") == QTY) & (F.col("category") == QTY))
     steps = previous_detail(rows, ["grain"]).select("grain", "period", "prev_period").filter("prev_period is not null")
-    names = rows.select("subject", "grain", "metric").distinct()
-    now = rows.select("subject", "grain", "metric", "period", F.col("value").alias("now"))
-    before = rows.select("subject", "grain", "metric", F.col("period").alias("prev_period"), F.col("value").alias("before"))
-    return (
-        names.join(steps, "grain")
-        .join(now, ["subject", "grain", "metric", "period"], "left")
-        .join(before, ["subject", "grain", "metric", "prev_period"], "left")
-    )
+    keys = ["subject", "grain", "metric"]
+    now = rows.select(*keys, "period", F.col("value").alias("now"))
+    before = rows.select(*keys, F.col("period").alias("prev_period"), F.col("value").alias("before"))
+    return now.join(steps, ["grain", "period"]).join(before, keys + ["prev_period"], "left")
 
 
 def change_rankings(pairs: DataFrame, direction: str) -> DataFrame:

@@ -140,20 +140,24 @@ def ready_batches(manifest: DataFrame, published: DataFrame, marker: str) -> Dat
 
     Without a marker the folder counts as ready. Result: one row (ready, changed).
     """
-    is_marker = F.col("name") == marker
-    now = manifest.agg(
-        F.max(F.when(~is_marker, F.col("mtime"))).alias("newest"),
-        F.max(F.when(is_marker, F.col("mtime"))).alias("marker"),
+    files = (F.col("name") != marker) & F.col("name").isNotNull()
+    changes = diff_manifest(manifest.filter(files), published.filter(files))
+    # One aggregate over the tagged rows of all three inputs.
+    rows = (
+        manifest.select("name", "mtime", F.lit("now").alias("side"))
+        .unionByName(published.select("name", "mtime", F.lit("before").alias("side")))
+        .unionByName(changes.select("name", F.lit(None).cast("timestamp").alias("mtime"), F.lit("change").alias("side")))
     )
-    before = published.agg(F.max(F.when(is_marker, F.col("mtime"))).alias("marker_before"))
-    changes = diff_manifest(manifest.filter(~is_marker), published.filter(~is_marker)).agg(F.count(F.lit(1)).alias("changed"))
-    marked = (F.col("marker") >= F.col("newest")) & (
-        (F.col("changed") == 0) | F.col("marker_before").isNull() | (F.col("marker") != F.col("marker_before"))
-    )
-    # Three one-row aggregates.
-    return now.crossJoin(before).crossJoin(changes).select(
-        F.when(F.col("marker").isNull(), True).otherwise(marked).alias("ready"), "changed"
+    now, before = F.col("side") == "now", F.col("side") == "before"
+    facts = rows.agg(
+        F.max(F.when(now & files, F.col("mtime"))).alias("newest"),
+        F.max(F.when(now & ~files, F.col("mtime"))).alias("marker"),
+        F.max(F.when(before & ~files, F.col("mtime"))).alias("marker_before"),
+        F.count_if(F.col("side") == "change").alias("changed"),
     )
+    fresh = (F.col("changed") == 0) | F.col("marker_before").isNull() | (F.col("marker") != F.col("marker_before"))
+    marked = F.coalesce(F.col("marker") >= F.col("newest"), F.lit(True)) & fresh
+    return facts.select(F.when(F.col("marker").isNull(), True).otherwise(marked).alias("ready"), "changed")
 
 
 def title_columns(df: DataFrame, order: str, sample: int = 100) -> DataFrame:
