@@ -8,7 +8,7 @@ only inside a proven date range, see ``operators.coverage``).
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text
+from .text import bind, clean_text
 
 _PLAIN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _UNSIGNED = r"^\+?(\d+(\.\d*)?|\.\d+)$"
@@ -27,21 +27,22 @@ def _has_percent(text: Column) -> Column:
 
 def norm_number(c: Column) -> Column:
     """Text to double: separators, currency words, (negative) and percent; else NULL."""
-    text = clean_text(c)
+    return bind(clean_text(c), _read_number)
+
+
+def _read_number(text: Column) -> Column:
     negative = text.startswith("(") & text.endswith(")")
     bare = F.regexp_replace(text, "[,，%％]", "")
     bare = F.regexp_replace(F.regexp_replace(bare, _CURRENCY, ""), r"^[ ()]+|[ ()]+$", "")
-    number = F.when(bare.rlike(_PLAIN), bare.try_cast("double"))
-    number = F.when(negative, -number).otherwise(number)
-    return finite(F.when(_has_percent(text), number / 100).otherwise(number))
+    number = bind(bare, lambda b: F.when(b.rlike(_PLAIN), b.try_cast("double")))
+    return bind(F.when(negative, -number).otherwise(number), lambda n: finite(F.when(_has_percent(text), n / 100).otherwise(n)))
 
 
 def norm_rate(text: Column, number: Column = None, fmt: Column = None) -> Column:
     """A share: percent text, percent format, or a bare value (over 1.5 means percent)."""
-    from_text = norm_number(text)
-    from_text = F.when(
-        ~_has_percent(clean_text(text)) & (F.abs(from_text) > 1.5), from_text / 100
-    ).otherwise(from_text)
+    from_text = bind(clean_text(text), lambda t: bind(
+        _read_number(t), lambda n: F.when(~_has_percent(t) & (F.abs(n) > 1.5), n / 100).otherwise(n)
+    ))
     if number is None:
         return from_text
     style = F.coalesce(fmt, F.lit("")) if fmt is not None else F.lit("")

@@ -103,6 +103,7 @@ def merge_pieces(pieces: DataFrame, keys, coverage: DataFrame = None) -> DataFra
         "second_value",
         _file_of(F.col("_second")).alias("second_order"),
         added.alias("added"),
+        F.col("_left").alias("first_is_left"),
     )
 
 
@@ -222,7 +223,7 @@ def merge_report(obs: DataFrame, coverage: DataFrame) -> DataFrame:
         "report", "subject", "grain", "period", "category", F.col("value").alias("_stores"), F.lit(True).alias("_judged")
     )
     ratios = rebuild_ratios(obs, merged, coverage).select(*OBS_KEYS, F.col("value").alias("_ratio"))
-    out = merged.join(stores, ["report", "subject", "grain", "period", "category"], "left").join(ratios, OBS_KEYS, "left")
+    out = merged.drop("first_is_left").join(stores, ["report", "subject", "grain", "period", "category"], "left").join(ratios, OBS_KEYS, "left")
     value = F.when(F.col("_judged") & is_store_field(), F.col("_stores")).otherwise(F.coalesce("_ratio", "value"))
     return out.withColumn("value", value).drop("_stores", "_judged", "_ratio")
 
@@ -327,6 +328,7 @@ def conflicts(obs: DataFrame, merged: DataFrame, coverage: DataFrame) -> DataFra
         F.when(cross & is_summary_period(F.col("period"), "conflict"), "summaries not comparable")
         .when(F.col("boundary").isNull(), "different values")
         .when(~cross, "same file twice")
+        .when(~F.col("quantity") & (F.col("is_left") != F.col("first_is_left")), "split of a boundary week")
         .when(~F.col("covered"), "coverage unknown")
         .otherwise("pieces do not adjoin")
     )

@@ -5,6 +5,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.periods import day_key, day_label, iso_week
+from ..functions.text import bind
+
 
 def _chunked(df: DataFrame, order: str, chunk: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order) / chunk))
@@ -85,18 +88,21 @@ def range_text(runs: DataFrame, part, name: str = "ranges", joiner: str = "～",
 
 def label_position(label: Column) -> Column:
     """struct(kind, position, label) of a diagnosable label: day, ISO week, D-number, TOP rank."""
-    from ..functions.periods import day_key, day_label, iso_week
-
     text = F.trim(F.regexp_replace(label, "^/+|/+$", ""))
-    day, week = day_key(text), iso_week(text)
+    facts = F.struct(text.alias("text"), day_key(text).alias("day"), iso_week(text).alias("week"))
+    return bind(facts, _position)
+
+
+def _position(p: Column) -> Column:
     numbered = r"(?i)^(D|TOP)(\d+)$"
-    epoch = F.lit("1970-01-05").cast("date")
-    return (
-        F.when(day.isNotNull(), F.struct(F.lit("date").alias("kind"), F.unix_date(day).cast("bigint").alias("position"), day_label(day).alias("label")))
-        .when(week.isNotNull(), F.struct(F.lit("week").alias("kind"), F.floor(F.datediff(week["start"], epoch) / 7).cast("bigint").alias("position"), week["label"].alias("label")))
-        .when(text.rlike(numbered), F.struct(F.upper(F.regexp_extract(text, numbered, 1)).alias("kind"), F.regexp_extract(text, numbered, 2).try_cast("bigint").alias("position"), text.alias("label")))
-        .otherwise(F.struct(F.lit("other").alias("kind"), F.lit(None).cast("bigint").alias("position"), text.alias("label")))
-    )
+    number = F.regexp_extract(p["text"], numbered, 2).try_cast("bigint")
+    weeks = F.floor(F.datediff(p["week"]["start"], F.lit("1970-01-05").cast("date")) / 7)
+    day, week = p["day"].isNotNull(), p["week"].isNotNull()
+    is_number = p["text"].rlike(numbered)
+    kind = F.when(day, "date").when(week, "week").when(is_number, F.upper(F.regexp_extract(p["text"], numbered, 1))).otherwise("other")
+    position = F.when(day, F.unix_date(p["day"]).cast("bigint")).when(week, weeks.cast("bigint")).when(is_number, number)
+    shown = F.when(day, day_label(p["day"])).when(week, p["week"]["label"]).otherwise(p["text"])
+    return F.struct(kind.alias("kind"), position.alias("position"), shown.alias("label"))
 
 
 def compress_labels(df: DataFrame, part, label: str) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 from ..functions.numbers import complete_sum, observed, observed_rate
 from ..functions.periods import is_summary_period
 from ..functions.text import compact_text
-from ..labels import CHANNEL, QTY, SHARE, STORES
+from ..labels import ACTIVE_STORES_OLD, CHANNEL, QTY, SHARE, STORES
 from ..operators.compare import series_change
-from ..operators.merge import active_store_priority
-from ..operators.ordered import compress_labels, range_text
+from ..operators.merge import priority
 
 _PAGE = ["subject", "grain", "period", "period_start"]
 _NOT_CHANNELS = ("数量", "总计", "合计", "汇总")
@@ -48,22 +47,31 @@ def channel_universe(obs: DataFrame) -> DataFrame:
 
 
 def channel_values(obs: DataFrame) -> DataFrame:
-    """count, share and active stores of every channel at every period, unknown as NULL."""
+    """count, share and active stores of every channel at every period, unknown as NULL.
+
+    One aggregate over the observations; the dense grid is built from its small result. The
+    new active-store layout wins wherever it has a physical cell, blank included.
+    """
     detail = obs.filter(~is_summary_period(F.col("period"), "channel"))
-    universe = channel_universe(detail)
-    plain = detail.filter((F.col("metric") == CHANNEL) & F.col("stat").isin(QTY, SHARE))
-    share = observed(F.col("value"))
-    wide = plain.groupBy(*_PAGE, F.col("category").alias("channel")).agg(
-        F.max(F.when(F.col("stat") == QTY, observed(F.col("value")))).alias("n"),
-        F.max(F.when((F.col("stat") == SHARE) & (share <= 1), share)).alias("share"),
+    in_block = (F.col("metric") == CHANNEL) & F.col("stat").isin(QTY, SHARE, STORES)
+    new = (F.col("metric") == CHANNEL) & (F.col("stat") == STORES)
+    old = (F.col("metric") == ACTIVE_STORES_OLD) & (F.col("stat") == QTY)
+    value, order = observed(F.col("value")), priority()
+    known = F.col("value").isNotNull()
+    named = ~F.col("category").isin(*_NOT_CHANNELS) & (F.col("category") != "")
+    cells = detail.groupBy(*_PAGE, F.col("category").alias("channel")).agg(
+        F.min(F.when(in_block & named, F.col("row_ord"))).alias("ord"),
+        F.max(F.when(in_block & (F.col("stat") == QTY), value)).alias("n"),
+        F.max(F.when(in_block & (F.col("stat") == SHARE) & (value <= 1), value)).alias("share"),
+        F.max(new).alias("_new"),
+        F.min_by("value", F.when(new & known, order)).alias("_active_new"),
+        F.min_by("value", F.when(old & known, order)).alias("_active_old"),
     )
-    active = active_store_priority(detail).select(
-        "subject", "grain", "period", F.col("category").alias("channel"), observed(F.col("value")).alias("active")
-    )
-    periods = detail.filter(F.col("metric").isNotNull()).select(*_PAGE).distinct()
-    grid = periods.join(universe, ["subject", "grain"])
-    keys = ["subject", "grain", "period", "channel"]
-    return grid.join(wide.drop("period_start"), keys, "left").join(active, keys, "left").select(
+    universe = cells.filter("ord is not null").groupBy("subject", "grain", "channel").agg(F.min("ord").alias("ord"))
+    grid = cells.select(*_PAGE).distinct().join(universe, ["subject", "grain"])
+    active = F.when(F.col("_new"), F.col("_active_new")).otherwise(F.col("_active_old"))
+    found = cells.select("subject", "grain", "period", "channel", "n", "share", observed(active).alias("active"))
+    return grid.join(found, ["subject", "grain", "period", "channel"], "left").select(
         *_PAGE, "channel", "ord", "n", "share", "active"
     )
 
@@ -128,17 +136,30 @@ def history_until(df: DataFrame, day) -> DataFrame:
 
 
 def store_inconsistencies(ratios: DataFrame, examples: int = 3) -> DataFrame:
-    """Channels with more active than existing stores: count, period ranges, first examples."""
-    bad = ratios.filter("inconsistent")
+    """Channels with more active than existing stores: count, runs of periods, first examples.
+
+    Runs follow the subject's own period sequence. One window and two aggregates share one
+    partitioning by (subject, channel, grain).
+    """
     keys = ["subject", "channel", "grain"]
-    ranges = range_text(compress_labels(bad, keys, "period").drop("kind"), keys)
     w = Window.partitionBy(*keys).orderBy("period_start", "period")
-    text = F.concat_ws(":", "period", F.format_number("active", 0), F.format_number("stores", 0))
-    first = bad.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= examples)
-    packed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rn", text.alias("t")))).alias("_e"))
-    counted = bad.groupBy(*keys).agg(F.count(F.lit(1)).alias("cells"))
-    return counted.join(ranges, keys).join(packed, keys).select(
-        *keys, "cells", "ranges", F.array_join(F.transform("_e", lambda x: x["t"]), "; ").alias("examples")
+    numbered = ratios.withColumn("_at", F.row_number().over(w)).filter("inconsistent")
+    text = F.concat_ws(":", "period", F.col("active").cast("bigint").cast("string"), F.col("stores").cast("bigint").cast("string"))
+    marked = numbered.withColumn("_rn", F.row_number().over(w)).withColumn("_text", text)
+    runs = marked.groupBy(*keys, (F.col("_at") - F.col("_rn")).alias("_run")).agg(
+        F.min("_at").alias("_first"), F.min_by("period", "_at").alias("a"), F.max_by("period", "_at").alias("b"),
+        F.count(F.lit(1)).alias("n"),
+        F.collect_list(F.when(F.col("_rn") <= examples, F.struct("_rn", "_text"))).alias("_ex"),
+    )
+    span = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.concat("a", F.lit("～"), "b"))
+    packed = runs.groupBy(*keys).agg(
+        F.sum("n").alias("cells"),
+        F.array_sort(F.collect_list(F.struct("_first", span.alias("t")))).alias("_runs"),
+        F.array_sort(F.flatten(F.collect_list("_ex"))).alias("_ex"),
+    )
+    return packed.select(
+        *keys, "cells", F.array_join(F.transform("_runs", lambda r: r["t"]), "、").alias("ranges"),
+        F.array_join(F.transform("_ex", lambda r: r["_text"]), "; ").alias("examples"),
     )
 
 

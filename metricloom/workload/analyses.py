@@ -557,7 +557,8 @@ def d11_launch(spark, sf):
 
 def _sku(spark, sf):
     share = T.sku_shares(spark, sf)
-    return share, sku.cumulative_topk(share)
+    # Nine places, so that a cumulative share of exactly 80 % is 80 % whatever the summing order.
+    return share, sku.cumulative_topk(share).withColumn("share", F.round("share", 9))
 
 
 @register("d40_topk_matrix", query("tk", (
@@ -694,16 +695,18 @@ def d29_paid(spark, sf):
     return out(fee.weighted_penetration(_fee(spark, sf), "paid"), "generation", "period", "label", "rate")
 
 
-@register("d30_fee_month_totals", query("fc", f"SELECT generation, period, {r6('sum(amt) / count(*)')} AS option_total, {r6('sum(act) / count(*)')} AS actual_total FROM fc GROUP BY 1, 2"))
+@register("d30_fee_month_totals", query("fc", f"SELECT generation, period, round(sum(amt) / count(*) + 1e-8, 4) AS option_total, round(sum(act) / count(*) + 1e-8, 4) AS actual_total FROM fc GROUP BY 1, 2"))
 def d30(spark, sf):
-    return out(fee.fee_month_totals(_fee(spark, sf)), "generation", "period", "option_total", "actual_total")
+    totals = fee.fee_month_totals(_fee(spark, sf))
+    return out(totals, "generation", "period", *[F.round(F.col(c) + 1e-8, 4).alias(c) for c in ("option_total", "actual_total")])
 
 
 @register("d31_version_amounts", query("fc", (
-    f"SELECT generation, period, flag AS label, {r6('sum(amt) / count(*)')} AS option_amount, {r6('sum(act) / count(*)')} AS actual_amount, "
+    f"SELECT generation, period, flag AS label, round(sum(amt) / count(*) + 1e-8, 4) AS option_amount, round(sum(act) / count(*) + 1e-8, 4) AS actual_amount, "
     f"{r6('coalesce((sum(amt) / count(*) - sum(act) / count(*)) / nullif(sum(amt) / count(*), 0), 0)')} AS deduction FROM fc GROUP BY 1, 2, 3")))
 def d31(spark, sf):
-    return out(fee.version_amounts(_fee(spark, sf)), "generation", "period", "label", "option_amount", "actual_amount", "deduction")
+    rows = fee.version_amounts(_fee(spark, sf))
+    return out(rows, "generation", "period", "label", *[F.round(F.col(c) + 1e-8, 4).alias(c) for c in ("option_amount", "actual_amount")], "deduction")
 
 
 @register("f08_rank_cards", query("fr", f"SELECT brand, generation, rank, label, {r6('rate')} AS rate, {dbl('amount')} AS amount FROM fr"))

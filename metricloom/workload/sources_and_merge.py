@@ -1,0 +1,711 @@
+"""Registered queries: merging of exports, layouts, quality, notes, streaming, expressions."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import names, numbers, periods
+from ..labels import CHANNEL, ORDERS, POWER, QTY, RETAINED, SHARE, STORES
+from ..operators import annotate, coverage, merge, ordered, quality
+from ..operators.lineage import cut_lineage
+from ..plans import overview
+from ..sources import cells as layout
+from ..sources import reports
+from ..streaming import refresh, rhythm
+from . import tables as T
+from .registry import out, register
+from .sql import dbl, query, r6, wk
+
+# ---- merging ----------------------------------------------------------------------------
+
+def _scalar():
+    return (F.col("stat") == QTY) & (F.col("category") == QTY)
+
+
+# The two order metrics of the weekly exports, as (metric, left piece, right piece).
+_PIECES = ("pcs AS (SELECT subject, period, pieces, '大定' AS metric, l, r, f1, f2 FROM exl UNION ALL "
+           "SELECT subject, period, pieces, '留存大定', ll, lr, f1, f2 FROM exl)")
+_SUM = "CASE WHEN pieces = 1 OR l = r THEN l ELSE l + r END"
+
+
+def _weekly(spark, sf):
+    # Several merge steps read the pieces: aggregate the orders once and keep the result.
+    return cut_lineage(T.exports(spark, sf, ("week",)))
+
+
+@register("g01_merge_sources", query("exl", "SELECT subject, period, metric, l AS value, CAST(f1 AS BIGINT) AS source_order FROM pcs", _PIECES))
+def g01(spark, sf):
+    merged = merge.merge_sources(_weekly(spark, sf)).filter(_scalar())
+    return out(merged, "subject", "period", "metric", "value", "source_order")
+
+
+@register("g02_unify_labels", query("exl", "SELECT metric, count(*) AS n, sum(l) AS total FROM pcs GROUP BY 1", _PIECES))
+def g02(spark, sf):
+    merged = merge.merge_sources(merge.unify_labels(_weekly(spark, sf))).filter(_scalar())
+    return out(merged.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "metric", "n", "total")
+
+
+@register("g04_boundary_weeks", query("exl", (
+    f"SELECT subject, period, metric, {_SUM} AS value, pieces > 1 AND l <> r AS added, CASE WHEN pieces > 1 AND l <> r THEN r END AS second_value FROM pcs"), _PIECES))
+def g04(spark, sf):
+    merged = merge.merge_sources(_weekly(spark, sf), T.export_ranges(spark, sf)).filter(_scalar())
+    return out(merged, "subject", "period", "metric", "value", "added", "second_value")
+
+
+@register("i08_boundary_report", query("exl ex0", (
+    "SELECT period, count(*) AS fields, min(f1) AS first_source, max(f2) AS last_source FROM (SELECT period, f1, f2 FROM pcs WHERE pieces > 1 AND l <> r UNION ALL "
+    "SELECT period, f1, f2 FROM sgl WHERE pieces > 1 AND l <> r) GROUP BY 1"),
+    _PIECES + ", sg AS (SELECT subject, seg, CAST(date_trunc('week', day) AS DATE) AS ps, f, CAST(count(*) AS DOUBLE) AS n FROM ex0 GROUP BY 1, 2, 3, 4), "
+    "sgl AS (SELECT subject, seg, " + wk("ps") + " AS period, min(f) AS f1, max(f) AS f2, count(*) AS pieces, arg_min(n, f) AS l, arg_max(n, f) AS r FROM sg GROUP BY 1, 2, ps)"))
+def i08(spark, sf):
+    added = merge.add_boundary_weeks(_weekly(spark, sf), T.export_ranges(spark, sf))
+    return out(merge.boundary_report(added), "period", "fields", "first_source", "last_source")
+
+
+_SEG = ("sg AS (SELECT subject, seg, CAST(date_trunc('week', day) AS DATE) AS ps, f, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT o_custkey) AS buyers FROM ex0 GROUP BY 1, 2, 3, 4), "
+        "sgl AS (SELECT subject, seg, ps, count(*) AS pieces, arg_min(n, f) AS l, arg_max(n, f) AS r FROM sg GROUP BY 1, 2, 3), "
+        "sgm AS (SELECT subject, seg, ps, CASE WHEN pieces = 1 OR l = r THEN l ELSE l + r END AS n FROM sgl), "
+        "grown AS (SELECT subject, ps FROM sgl WHERE pieces > 1 AND l <> r UNION SELECT subject, ps FROM exl WHERE pieces > 1 AND (l <> r OR ll <> lr))")
+
+
+@register("g05_distinct_stores", query("ex0 exl", (
+    "SELECT e.subject, e.period, s.seg AS channel, CASE WHEN s.files < 2 THEN 'unknown side' ELSE 'both sides have stores' END AS reason, false AS known FROM exl e JOIN "
+    "(SELECT subject, seg, ps, count(*) AS files FROM sg GROUP BY 1, 2, 3) s USING (subject, ps) WHERE e.pieces = 2"), _SEG))
+def g05(spark, sf):
+    judged = merge.merge_distinct_stores(_weekly(spark, sf), T.export_ranges(spark, sf))
+    return out(judged, "subject", "period", F.col("category").alias("channel"), "reason", "known")
+
+
+@register("i07_store_merge_notes", query("ex0 exl", (
+    "SELECT subject, period, reason, count(*) AS channels FROM (SELECT e.subject, e.period, CASE WHEN s.files < 2 THEN 'unknown side' ELSE 'both sides have stores' END AS reason FROM exl e JOIN "
+    "(SELECT subject, seg, ps, count(*) AS files FROM sg GROUP BY 1, 2, 3) s USING (subject, ps) WHERE e.pieces = 2) GROUP BY 1, 2, 3"), _SEG))
+def i07(spark, sf):
+    judged = merge.merge_distinct_stores(_weekly(spark, sf), T.export_ranges(spark, sf))
+    return out(merge.store_merge_notes(judged), "subject", "period", "reason", "channels")
+
+
+_RATIOS = (
+    "SELECT m.subject, " + wk("m.ps") + " AS period, '门店类型' AS metric, m.seg AS category, " + r6("m.n / sum(m.n) OVER (PARTITION BY m.subject, m.ps)") + " AS value, 'counts' AS method "
+    "FROM sgm m JOIN grown g ON g.subject = m.subject AND g.ps = m.ps UNION ALL "
+    "SELECT e.subject, e.period, '动力', 'F', " + r6("CASE WHEN pieces > 1 AND l <> r THEN (ll + lr) / (l + r) ELSE ll / l END") + ", CASE WHEN pieces > 1 AND l <> r THEN 'weights' ELSE 'kept' END "
+    "FROM exl e JOIN grown g ON g.subject = e.subject AND g.ps = e.ps"
+)
+
+
+@register("g06_rebuild_ratios", query("ex0 exl", _RATIOS, _SEG))
+def g06(spark, sf):
+    obs, spans = _weekly(spark, sf), T.export_ranges(spark, sf)
+    ratios = merge.rebuild_ratios(obs, merge.merge_sources(obs, spans), spans)
+    return out(ratios, "subject", "period", "metric", "category", "value", "method")
+
+
+@register("g_merge_report", query("ex0 exl", (
+    "SELECT subject, metric, stat, count(*) AS n, count(value) AS known, round(sum(value), 4) AS total FROM ("
+    f"SELECT subject, metric, '数量' AS stat, {_SUM} AS value FROM pcs UNION ALL SELECT subject, '门店类型', '数量', n FROM sgm UNION ALL "
+    "SELECT s.subject, '门店类型', '占比', coalesce(q.value, s.share) FROM (SELECT s.subject, s.seg, s.ps, " + wk("s.ps") + " AS period, arg_min(s.n / w.n, s.f) AS share FROM sg s JOIN exw w ON w.subject = s.subject AND w.ps = s.ps AND w.f = s.f GROUP BY 1, 2, 3) s "
+    "LEFT JOIN q ON q.subject = s.subject AND q.period = s.period AND q.metric = '门店类型' AND q.category = s.seg UNION ALL "
+    "SELECT e.subject, '动力', '占比', coalesce(q.value, e.ll / e.l) FROM exl e LEFT JOIN q ON q.subject = e.subject AND q.period = e.period AND q.metric = '动力' UNION ALL "
+    "SELECT s.subject, '门店类型', '贡献门店数', CASE WHEN e.pieces = 1 THEN s.buyers END FROM (SELECT subject, seg, ps, CAST(arg_min(buyers, f) AS DOUBLE) AS buyers FROM sg GROUP BY 1, 2, 3) s JOIN exl e USING (subject, ps)"
+    ") GROUP BY 1, 2, 3"), _PIECES + ", " + _SEG + f", q AS ({_RATIOS})"))
+def g_report(spark, sf):
+    merged = merge.merge_report(_weekly(spark, sf), T.export_ranges(spark, sf))
+    rows = merged.groupBy("subject", "metric", "stat").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.round(F.sum("value"), 4).alias("total")
+    )
+    return out(rows, "subject", "metric", "stat", "n", "known", "total")
+
+
+@register("g08_conflicts", query("ex0 exl", (
+    "SELECT subject, period, '动力' AS metric, 'F' AS category, 'split of a boundary week' AS reason, " + r6("ll / l") + " AS kept_value, " + r6("lr / r") + " AS lost_value FROM exl "
+    "WHERE pieces > 1 AND abs(ll / l - lr / r) > 1e-12 UNION ALL "
+    "SELECT a.subject, " + wk("a.ps") + ", '门店类型', a.seg, 'split of a boundary week', CAST(a.buyers AS DOUBLE), CAST(b.buyers AS DOUBLE) FROM sg a JOIN sg b ON a.subject = b.subject AND a.seg = b.seg AND a.ps = b.ps AND a.f < b.f WHERE a.buyers <> b.buyers"), _SEG))
+def g08(spark, sf):
+    obs, spans = _weekly(spark, sf).filter((F.col("metric") != CHANNEL) | (F.col("stat") == STORES)), T.export_ranges(spark, sf)
+    found = merge.conflicts(obs, merge.merge_sources(obs, spans), spans)
+    return out(found, "subject", "period", "metric", "category", "reason", "kept_value", "lost_value")
+
+
+@register("g08_conflict_report", query("ex0 exl", (
+    "SELECT subject, metric, count(*) AS cells, count(DISTINCT period) AS periods, min(period) AS first_period, max(period) AS last_period FROM ("
+    "SELECT subject, period, f1, f2, '动力' AS metric FROM exl WHERE pieces > 1 AND abs(ll / l - lr / r) > 1e-12) GROUP BY subject, metric, f1, f2"), _SEG))
+def g08_report(spark, sf):
+    obs, spans = _weekly(spark, sf).filter(F.col("metric") == POWER), T.export_ranges(spark, sf)
+    found = merge.conflicts(obs, merge.merge_sources(obs, spans), spans)
+    return out(merge.conflict_report(found), "subject", "metric", "cells", "periods", "first_period", "last_period")
+
+
+@register("d34_source_coverage", query("ex0", "SELECT CAST(f AS BIGINT) AS source_order, strftime(min(day), '%Y-%m-%d') AS start, strftime(max(day), '%Y-%m-%d') AS \"end\" FROM ex0 GROUP BY 1"))
+def d34(spark, sf):
+    return out(coverage.source_coverage(T.exports(spark, sf)), "source_order", "start", "end")
+
+
+@register("g03_fill_sparse_days", query("ex0", (
+    "SELECT subject, strftime(day, '%Y-%m-%d') AS period, CAST(f + 100 AS BIGINT) AS source_order, 0.0 AS value FROM (SELECT subject, day, f, count(*) FILTER (st = 'F') AS lf FROM ex0 GROUP BY 1, 2, 3) d WHERE lf = 0 "
+    "AND EXISTS (SELECT 1 FROM ex0 e WHERE e.subject = d.subject AND e.f = d.f AND e.st = 'F')")))
+def g03(spark, sf):
+    daily = T.exports(spark, sf, ("day",)).filter(_scalar())
+    # Locked orders come from exports of their own, which leave out days without any.
+    locked = daily.filter("metric = '净大定' and value > 0").withColumn("source_order", F.col("source_order") + 100)
+    both = daily.filter(F.col("metric") == ORDERS).unionByName(locked)
+    spans = T.export_ranges(spark, sf).select("source_order", "start", "end")
+    spans = spans.unionByName(spans.withColumn("source_order", F.col("source_order") + 100))
+    filled = coverage.fill_sparse_days(both, spans).filter("value = 0")
+    return out(filled, "subject", "period", "source_order", "value")
+
+
+@register("c10_value_or_covered_zero", query("od", (
+    "SELECT n.generation AS subject, strftime(d.day, '%Y-%m-%d') AS day, CASE WHEN v.locked > 0 THEN v.locked WHEN d.day BETWEEN n.a AND n.b THEN 0.0 END AS value FROM "
+    "(SELECT DISTINCT day FROM od) d, (SELECT generation, min(day) AS a, max(day) AS b FROM od WHERE locked > 0 GROUP BY 1) n LEFT JOIN od v ON v.generation = n.generation AND v.day = d.day")))
+def c10(spark, sf):
+    days = T.order_days(spark, sf)
+    values = days.filter("locked > 0").select(F.col("generation").alias("subject"), "day", F.col("locked").alias("value"))
+    spans = values.groupBy("subject").agg(F.min("day").alias("start"), F.max("day").alias("end"))
+    calendar = days.agg(F.collect_set("day").alias("d"))
+    wanted = spans.select("subject").join(calendar).select("subject", F.explode("d").alias("day"))
+    return out(coverage.value_or_covered_zero(wanted, values, spans, ["subject"]), "subject", "day", "value")
+
+
+@register("g07_merge_records", query("exl", (
+    f"SELECT subject, period, {_SUM} AS orders, CASE WHEN pieces = 1 OR ll = lr THEN ll ELSE ll + lr END AS locked, " + r6("ll / l") + " AS lock_rate FROM exl")))
+def g07(spark, sf):
+    wide = _weekly(spark, sf).filter(_scalar()).groupBy("subject", "period", "source_order").agg(
+        F.max(F.when(F.col("metric") == ORDERS, F.col("value"))).alias("orders"),
+        F.max(F.when(F.col("metric") != ORDERS, F.col("value"))).alias("locked"),
+    ).withColumn("lock_rate", F.col("locked") / F.col("orders")).withColumn("row_ord", F.lit(1))
+    merged = merge.merge_records(wide, ["subject", "period"], ["orders", "locked", "lock_rate"], T.export_ranges(spark, sf), "period")
+    return out(merged, "subject", "period", "orders", "locked", "lock_rate")
+
+
+@register("g09_merge_fee", query("fc", (
+    "SELECT generation, period, band, coalesce(CAST(nullif(count(*) FILTER (flag = 'A'), 0) AS DOUBLE), CAST(count(*) AS DOUBLE)) AS value FROM fc GROUP BY 1, 2, 3")))
+def g09(spark, sf):
+    cube = T.fee_observations(spark, sf)
+    first = T.fee_table(cube.filter("l_returnflag = 'A'")).filter("row_kind = 'orders'").withColumn("source_order", F.lit(0))
+    second = T.fee_table(cube).filter("row_kind = 'orders'").withColumn("source_order", F.lit(1))
+    return out(merge.merge_fee(first.unionByName(second)), "generation", "period", "band", "value")
+
+
+@register("g10_merge_blocks", query("exl", (
+    f"SELECT '累计锁单' AS block, subject, period, {_SUM} AS value FROM exl UNION ALL SELECT '占比', subject, period, " + r6("ll / l") + " FROM exl")))
+def g10(spark, sf):
+    obs = _weekly(spark, sf)
+    count = obs.filter(_scalar() & (F.col("metric") == ORDERS)).withColumn("block", F.lit("累计锁单"))
+    share = obs.filter(F.col("metric") == POWER).withColumn("block", F.lit(SHARE))
+    merged = merge.merge_blocks(count.unionByName(share), ["subject", "period"], T.export_ranges(spark, sf))
+    return out(merged, "block", "subject", "period", "value")
+
+
+@register("g11_merge_chart", query("exl", (
+    f"SELECT subject, period, 'total' AS series, {_SUM} AS value FROM exl UNION ALL "
+    "SELECT subject, period, 'F', " + r6("CASE WHEN pieces > 1 AND l <> r THEN (ll + lr) / (l + r) ELSE ll / l END") + " FROM exl")))
+def g11(spark, sf):
+    obs = _weekly(spark, sf)
+    total = obs.filter(_scalar() & (F.col("metric") == ORDERS)).withColumn("series", F.lit(None).cast("string"))
+    line = obs.filter(F.col("metric") == POWER).withColumn("series", F.col("category"))
+    columns = ["report", "subject", "grain", "period", "series", "value", "source_order", "row_ord"]
+    merged = merge.merge_chart(total.select(*columns).unionByName(line.select(*columns)), T.export_ranges(spark, sf))
+    return out(merged.withColumn("series", F.coalesce("series", F.lit("total"))), "subject", "period", "series", "value")
+
+
+@register("g15_dedupe_messages", query("ev", "SELECT DISTINCT brand, generation, event_type FROM ev"))
+def g15(spark, sf):
+    return out(merge.dedupe_messages(T.event_places(spark, sf).select("brand", "generation", "event_type")), "brand", "generation", "event_type")
+
+
+@register("j01_refresh_batch", query("exl", (
+    f"SELECT subject, period, metric, {_SUM} AS value FROM pcs WHERE period IN (SELECT period FROM exl WHERE f2 = (SELECT max(f2) FROM exl))"), _PIECES))
+def j01(spark, sf):
+    obs = _weekly(spark, sf).filter(_scalar())
+    last = obs.agg(F.max("source_order").alias("source_order"))
+    newest = obs.join(last, "source_order", "left_semi")
+    keys = refresh.affected_keys(newest)
+    wanted = keys.select("period").distinct()
+    every = refresh.affected_keys(obs).join(wanted, "period", "left_semi")
+    merged = refresh.refresh_batch(obs, every, T.export_ranges(spark, sf))
+    return out(merged, "subject", "period", "metric", "value")
+
+
+@register("j03_hourly_counts", query("ev", (
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, brand AS subject, count(*) FILTER (event_type = 'purchase') AS orders, count(*) FILTER (event_type = 'error') AS cancel "
+    "FROM ev WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2")))
+def j03(spark, sf):
+    events = T.event_places(spark, sf).withColumn("subject", F.col("brand")).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = rhythm.hourly_counts(events)
+    return out(counts.withColumn("hour", F.date_format("hour_start", "yyyy-MM-dd HH")), "hour", "subject", "orders", "cancel")
+
+
+# ---- ordered operators ------------------------------------------------------------------
+
+@register("e11_islands", query("od", (
+    "SELECT generation, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, count(*) AS length FROM (SELECT generation, day, "
+    "day - CAST(row_number() OVER (PARTITION BY generation ORDER BY day) AS INTEGER) AS run FROM od) GROUP BY generation, run")))
+def e11(spark, sf):
+    days = T.order_days(spark, sf).select("generation", F.date_format("day", "yyyy-MM-dd").alias("label"))
+    runs = ordered.compress_labels(days, ["generation"], "label")
+    return out(runs, "generation", F.col("first_label").alias("first_day"), F.col("last_label").alias("last_day"), "length")
+
+
+@register("e12_cell_rectangles", query("ev", (
+    "SELECT brand, row_first, row_last, min(hour) AS col_first, max(hour) AS col_last FROM (SELECT *, hour - row_number() OVER (PARTITION BY brand, row_first, row_last ORDER BY hour) AS g FROM ("
+    "SELECT brand, hour, min(d) AS row_first, max(d) AS row_last FROM (SELECT *, d - row_number() OVER (PARTITION BY brand, hour ORDER BY d) AS run FROM (SELECT DISTINCT brand, hour(ts) AS hour, day(ts) AS d FROM ev WHERE event_type = 'error')) "
+    "GROUP BY brand, hour, run)) GROUP BY brand, row_first, row_last, g")))
+def e12(spark, sf):
+    points = T.event_places(spark, sf).filter("event_type = 'error'").select(
+        "brand", F.dayofmonth("ts").cast("bigint").alias("row"), F.hour("ts").cast("bigint").alias("col")
+    )
+    return out(ordered.cell_rectangles(points, ["brand"]), "brand", "row_first", "row_last", "col_first", "col_last")
+
+
+@register("e13_forward_fill", query("ev", (
+    "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY brand ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM ev")))
+def e13(spark, sf):
+    rows = T.event_places(spark, sf).select("brand", "event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("value"))
+    return out(ordered.forward_fill(rows, ["value"], ["brand"], "event_id", chunk=4096), "event_id", "value")
+
+
+@register("e13_running_count", query("ev", (
+    "SELECT event_id, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY brand ORDER BY event_id) AS block FROM ev")))
+def e13_count(spark, sf):
+    rows = T.event_places(spark, sf).select("brand", "event_id", "event_type")
+    counted = ordered.running_count(rows, F.col("event_type") == "signup", "block", ["brand"], "event_id", chunk=4096)
+    return out(counted, "event_id", "block")
+
+
+# ---- layouts: sheets written as cells and read back -------------------------------------
+
+def _cells(df, file, sheet, row, col, s=None, d=None, ts=None, fmt="General"):
+    none = F.lit(None)
+    kind = "n" if d is not None else ("d" if ts is not None else "s")
+    return df.select(
+        file.alias("file"), sheet.alias("sheet"), row.cast("int").alias("row"), col.cast("int").alias("col"), F.lit(kind).alias("kind"),
+        (s if s is not None else none).cast("string").alias("s"), (d if d is not None else none).cast("double").alias("d"),
+        (ts if ts is not None else none).cast("timestamp_ntz").alias("ts"), F.lit(fmt).alias("fmt"), F.lit(False).alias("hidden"),
+    )
+
+
+def metric_cells(spark, sf):
+    """The monthly mix report as sheets: labels in columns 1-3, periods from column 4.
+
+    Metric and statistic are only written where they change, as in printed reports.
+    """
+    obs = T.mix_observations(spark, sf).filter("value is not null")
+    labels = obs.select("subject", "metric", "stat", "category", "row_ord").distinct()
+    w = Window.partitionBy("subject").orderBy("stat", "row_ord", "category")
+    rows = labels.withColumn("row", F.row_number().over(w) + 1)
+    rows = rows.withColumn("_m", F.lag("metric").over(w)).withColumn("_s", F.lag("stat").over(w))
+    sheet, file = F.concat("subject", F.lit("by月")), F.lit("mix")
+    changed = F.coalesce(F.col("_m") != F.col("metric"), F.lit(True)) | F.coalesce(F.col("_s") != F.col("stat"), F.lit(True))
+    months = F.months_between("period_start", F.lit("1995-01-01").cast("date")).cast("int") + 4
+    numbered = obs.join(rows.select("subject", "metric", "stat", "category", "row"), ["subject", "metric", "stat", "category"])
+    return ordered.union_all([
+        _cells(obs.select("subject", "period", "period_start").distinct(), file, sheet, F.lit(1), months, s=F.col("period")),
+        _cells(rows.filter(changed), file, sheet, F.col("row"), F.lit(1), s=F.col("metric")),
+        _cells(rows.filter(changed), file, sheet, F.col("row"), F.lit(2), s=F.col("stat")),
+        _cells(rows, file, sheet, F.col("row"), F.lit(3), s=F.col("category")),
+        _cells(numbered, file, sheet, F.col("row"), months, d=F.col("value"), fmt="0.00"),
+    ])
+
+
+@register("a04_tidy_metric_cells", query("mx", (
+    "SELECT subject || 'by月' AS sheet, period, metric, '占比' AS stat, category, " + r6("share") + " AS value FROM mx UNION ALL "
+    "SELECT subject || 'by月', period, metric, '数量', category, n FROM mx WHERE n IS NOT NULL")))
+def a04(spark, sf):
+    return out(layout.tidy_metric_cells(metric_cells(spark, sf)), "sheet", "period", "metric", "stat", "category", "value")
+
+
+@register("a14_raw_tables", query("mx", (
+    "SELECT sheet, sum(width) AS cells, count(*) AS rows FROM (SELECT subject || 'by月' AS sheet, metric || category || 'a' AS r, count(*) AS width FROM mx GROUP BY 1, 2 UNION ALL "
+    "SELECT subject || 'by月', metric || category || 'b', count(n) FROM mx WHERE n IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT subject || 'by月', 'h', count(DISTINCT period) FROM mx GROUP BY 1) GROUP BY 1").replace("sum(width) AS cells", "CAST(sum(width) AS BIGINT) AS cells")))
+def a14(spark, sf):
+    raw = layout.raw_tables(metric_cells(spark, sf))
+    # Cells of the period columns only: label columns are 1 to 3.
+    body = F.size(F.filter(F.map_keys("values"), lambda c: c > 3)).cast("bigint")
+    return out(raw.groupBy("sheet").agg(F.sum(body).alias("cells"), F.count(F.lit(1)).alias("rows")), "sheet", "cells", "rows")
+
+
+@register("a19_preview", query("mx", (
+    "SELECT 'mix' AS file, subject || 'by月' AS sheet, count(*) FILTER (rw <= 80 AND (year(ps) - 1995) * 12 + month(ps) + 3 <= 24) AS numeric_cells FROM ("
+    "SELECT subject, ps, dense_rank() OVER (PARTITION BY subject ORDER BY st, ord, category) + 1 AS rw FROM (SELECT subject, ps, ord, category, '占比' AS st FROM mx UNION ALL "
+    "SELECT subject, ps, ord, category, '数量' FROM mx WHERE n IS NOT NULL)) GROUP BY 1, 2")))
+def a19(spark, sf):
+    return out(layout.preview(metric_cells(spark, sf)), "file", "sheet", "numeric_cells")
+
+
+@register("a05_tidy_chart_cells", query("exl", (
+    "SELECT subject, subject || '周留存大定' AS headline, period, '' AS series, l AS value FROM exl UNION ALL SELECT subject, subject || '周留存大定', period, 'F', " + r6("ll / l") + " FROM exl")))
+def a05(spark, sf):
+    obs = merge.merge_sources(_weekly(spark, sf))
+    total = obs.filter(_scalar() & (F.col("metric") == ORDERS))
+    share = obs.filter(F.col("metric") == POWER)
+    blocks = total.select("subject").distinct().withColumn("top", F.length("subject") * 10 + F.ascii("subject") * 1000 + F.ascii(F.substring("subject", 2, 1)) * 37)
+    file, sheet = F.lit("chart"), F.lit("图表by周")
+    week = F.floor(F.datediff(periods.iso_week(F.col("period"))["start"], F.lit("2022-12-26").cast("date")) / 7) + 3
+    t, s = total.join(blocks, "subject"), share.join(blocks, "subject")
+    cells = ordered.union_all([
+        _cells(blocks, file, sheet, F.col("top"), F.lit(1), s=F.col("subject")),
+        _cells(blocks, file, sheet, F.col("top") + 1, F.lit(2), s=F.concat("subject", F.lit("周留存大定"))),
+        _cells(blocks, file, sheet, F.col("top") + 2, F.lit(2), s=F.lit("F")),
+        _cells(blocks, file, sheet, F.col("top") + 3, F.lit(2), s=F.lit("总计")),
+        _cells(t, file, sheet, F.col("top") + 1, week, s=F.col("period")),
+        _cells(t, file, sheet, F.col("top") + 3, week, d=F.col("value")),
+        _cells(s, file, sheet, F.col("top") + 2, week, d=F.col("value")),
+    ])
+    rows = layout.tidy_chart_cells(cells)
+    return out(rows.withColumn("series", F.coalesce("series", F.lit(""))), "subject", "headline", "period", "series", "value")
+
+
+@register("a06_header_records", query("rh", "SELECT subject AS sheet, strftime(day, '%Y-%m-%d') AS date, CAST(hour AS DOUBLE) AS hour, orders, cancel FROM rh"))
+def a06(spark, sf):
+    from ..labels import HOURLY_HEADERS
+
+    rows = T.retreat_hourly(spark, sf)
+    w = Window.partitionBy("subject").orderBy("date", "hour")
+    rows = rows.withColumn("row", F.row_number().over(w) + 3)
+    heads = rows.select("subject").distinct()
+    file, sheet = F.lit("cancel"), F.col("subject")
+    titles = ((1, "总退订数"), (3, "下单日期"), (4, "小时"), (6, "小订 数量"))
+    cells = ordered.union_all(
+        [_cells(heads, file, sheet, F.lit(1), F.lit(1), s=F.lit("小订日期"))]
+        + [_cells(heads, file, sheet, F.lit(3), F.lit(c), s=F.lit(t)) for c, t in titles]
+        + [
+            _cells(rows, file, sheet, F.col("row"), F.lit(1), d=F.col("cancel")),
+            _cells(rows, file, sheet, F.col("row"), F.lit(3), ts=F.col("date").cast("timestamp_ntz")),
+            _cells(rows, file, sheet, F.col("row"), F.lit(4), d=F.col("hour")),
+            _cells(rows, file, sheet, F.col("row"), F.lit(6), d=F.col("orders")),
+        ]
+    )
+    header = layout.resolve_header(cells, HOURLY_HEADERS, ["date", "hour", "orders", "cancel"])
+    records = layout.header_records(cells, header, ["date"], ["hour", "orders", "cancel"])
+    return out(records, "sheet", "date", "hour", "orders", "cancel")
+
+
+@register("a07_tidy_cohort_cells", query("co", "SELECT subject AS sheet, period, " + ", ".join(f"s{i}" for i in range(1, 8)) + " FROM co WHERE grain = 'month'"))
+def a07(spark, sf):
+    from ..labels import STAGES
+
+    rows = T.cohorts(spark, sf).filter("grain = 'month'")
+    w = Window.partitionBy("subject").orderBy("period")
+    rows = rows.withColumn("row", F.row_number().over(w) + 2)
+    heads = rows.select("subject").distinct()
+    file, sheet = F.lit("conversion"), F.col("subject")
+    # Stages stand in reverse order, the period in the last column.
+    at = {i: 9 - i for i in range(1, 8)}
+    cells = ordered.union_all(
+        [_cells(heads, file, sheet, F.lit(1), F.lit(at[i + 1]), s=F.lit(stage)) for i, stage in enumerate(STAGES)]
+        + [_cells(heads, file, sheet, F.lit(2), F.lit(at[i]), s=F.lit("数量")) for i in at]
+        + [_cells(heads, file, sheet, F.lit(1), F.lit(10), s=F.lit("月")), _cells(rows, file, sheet, F.col("row"), F.lit(10), s=F.col("period"))]
+        + [_cells(rows.filter(f"s{i} is not null"), file, sheet, F.col("row"), F.lit(at[i]), d=F.col(f"s{i}")) for i in at]
+    )
+    return out(layout.tidy_cohort_cells(cells), "sheet", "period", *[f"s{i}" for i in range(1, 8)])
+
+
+@register("a15_search_page", (
+    "SELECT doc_id, lang, source FROM documents WHERE lower(text) LIKE '%license%' OR lower(lang) LIKE '%license%' OR lower(source) LIKE '%license%' ORDER BY doc_id LIMIT 50 OFFSET 5"))
+def a15(spark, sf):
+    docs = T.table(spark, sf, "documents")
+    return out(reports.search_page(docs, "License", "doc_id", offset=5, limit=50, columns=["text", "lang", "source"]), "doc_id", "lang", "source")
+
+
+@register("a15_search_total", "SELECT count(*) AS total FROM pages WHERE lower(url) LIKE '%example.com%' OR lower(html) LIKE '%example.com%'")
+def a15_total(spark, sf):
+    return out(reports.search_total(T.table(spark, sf, "pages"), "Example.com", columns=["url", "html"]), "total")
+
+
+@register("a16_csv_values", (
+    "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS l_quantity, l_returnflag FROM lineitem"))
+def a16(spark, sf):
+    return reports.csv_values(T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))
+
+
+# ---- subjects, lineage, quality ---------------------------------------------------------
+
+_RULES = names.NamingRules(group="ALL", brand="(?:AFRICA|AMERICA|ASIA|EUROPE|MIDDLEEAST)")
+
+
+def _sheet_names(spark, sf):
+    """Sheet names like 'ASIA BUILDING 2024款by月', one per brand, segment and order year."""
+    orders = T.table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
+    customer = T.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(T.places(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.concat("brand", F.lit(" "), "c_mktsegment", F.lit(" "), (F.col("y") + 25).cast("string"), F.lit("款by月"))
+    return rows.groupBy(name.alias("name")).agg(F.min("y").cast("bigint").alias("ord"))
+
+
+_NAMES = ("nm AS (SELECT DISTINCT brand, brand || ' ' || c_mktsegment || ' ' || CAST(year(o_orderdate) + 25 AS VARCHAR) || '款' AS name, brand || c_mktsegment AS model, year(o_orderdate) + 25 AS y "
+          "FROM orders JOIN customer ON o_custkey = c_custkey JOIN places ON c_nationkey = n_nationkey)")
+
+
+def _discovered(spark, sf):
+    none = spark.createDataFrame([], "name string, ord bigint")
+    campaigns = spark.createDataFrame([], "generation string, sub_generation string")
+    brands = T.table(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("bigint").alias("ord"))
+    return quality.discover_subjects(_sheet_names(spark, sf), none.unionByName(brands), campaigns, _RULES)
+
+
+@register("i01_discover_subjects", query("places", (
+    "SELECT name, 'generation' AS type, replace(brand, ' ', '') AS parent FROM nm UNION ALL SELECT r_name, 'brand', 'ALL' FROM region UNION ALL SELECT 'ALL', 'group', NULL"), _NAMES))
+def i01(spark, sf):
+    return out(_discovered(spark, sf), "name", "type", "parent")
+
+
+@register("b05_latest_generations", query("places", "SELECT arg_max(name, y) AS name FROM nm GROUP BY model", _NAMES))
+def b05(spark, sf):
+    return out(quality.latest_generations(_discovered(spark, sf).filter("type = 'generation'")), "name")
+
+
+@register("b04_latest_model_year", query("places", "SELECT arg_max(name, y) AS subject FROM nm GROUP BY model", _NAMES))
+def b04(spark, sf):
+    found = _discovered(spark, sf).filter("type = 'generation'").select(F.col("name").alias("subject"))
+    return out(overview.latest_model_year(found), "subject")
+
+
+@register("h15_generation_names", query("places", (
+    "SELECT name, lower(replace(model, ' ', '')) AS model_key, CAST(y AS BIGINT) AS year, trim(substr(name, length(brand) + 1, length(name) - length(brand) - 5)) || ' ' || substr(CAST(y AS VARCHAR), 3) AS short FROM nm WHERE brand <> 'MIDDLE EAST'"), _NAMES))
+def h15(spark, sf):
+    found = _discovered(spark, sf).filter("type = 'generation' and parent <> 'MIDDLEEAST'")
+    c = F.col("name")
+    return out(found, "name", names.generation_model_key(c).alias("model_key"), names.generation_year(c).alias("year"), names.short_name(c, _RULES).alias("short"))
+
+
+@register("f02_subject_order", query("subj", (
+    "SELECT name, CASE type WHEN 'group' THEN 0 WHEN 'brand' THEN 1 ELSE 2 END AS type_order, coalesce(r_regionkey, 1000000) AS brand_order FROM subj LEFT JOIN region ON r_name = CASE WHEN type = 'brand' THEN name ELSE parent END").replace("coalesce(r_regionkey", "coalesce(CAST(r_regionkey AS BIGINT)")))
+def f02(spark, sf):
+    from ..operators.compare import subject_order
+
+    brands = T.table(spark, sf, "region").select(F.col("r_name").alias("brand"), F.col("r_regionkey").alias("position"))
+    return out(subject_order(T.subjects(spark, sf), brands), "name", "type_order", "brand_order")
+
+
+def _sources(spark, sf):
+    obs = T.observations(spark, sf, ("week", "month"))
+    module = F.when(F.col("metric") == ORDERS, "order_mix").when(F.col("metric") == RETAINED, "overview").otherwise("lock_mix")
+    return obs.select("subject", F.col("report").alias("file"), F.col("grain").alias("sheet"), module.alias("module")).distinct()
+
+
+_SRC = ("src AS (SELECT DISTINCT subject, 'order_mix' AS file, grain AS sheet, m.module FROM oc, (VALUES ('order_mix'), ('overview')) m(module) WHERE grain <> 'day' "
+        "UNION SELECT DISTINCT subject, 'lock_mix', grain, 'lock_mix' FROM ob WHERE grain <> 'day')")
+
+
+@register("c13_consumers", query("oc ob", "SELECT subject, file, sheet, string_agg(module, ',' ORDER BY module) AS modules, count(*) AS n_modules FROM src GROUP BY 1, 2, 3", _SRC))
+def c13(spark, sf):
+    return out(quality.consumers(_sources(spark, sf)), "subject", "file", "sheet", "modules", "n_modules")
+
+
+@register("c14_expand_lineage", query("oc ob", (
+    "SELECT DISTINCT s.subject, s.module, coalesce(a.pf, s.file) AS file, s.sheet FROM src s LEFT JOIN (SELECT DISTINCT 'order_mix' AS file, 'orders_' || CAST(year(o_orderdate) + 28 AS VARCHAR) || CASE WHEN month(o_orderdate) > 6 THEN 'H2' ELSE 'H1' END AS pf FROM orders) a "
+    "ON a.file = s.file AND s.sheet = 'week'"), _SRC))
+def c14(spark, sf):
+    aliases = T.export_ranges(spark, sf).select(
+        F.lit("order_mix").alias("file"), F.lit("week").alias("sheet"), F.col("source_file").alias("physical_file"), F.lit("week").alias("physical_sheet")
+    )
+    return out(quality.expand_lineage(_sources(spark, sf), aliases), "subject", "module", "file", "sheet")
+
+
+@register("c16_capabilities", query("oc ob", "SELECT subject, 'overview,order_mix,' || CASE WHEN bool_or(module = 'lock_mix') THEN 'lock_mix,' ELSE '' END || 'raw' AS modules FROM src GROUP BY 1", _SRC))
+def c16(spark, sf):
+    order = ["overview", "channel_analysis", "order_mix", "lock_mix"]
+    return out(quality.capabilities(T.subjects(spark, sf), _sources(spark, sf), order), "subject", "modules")
+
+
+def _sheet_list(spark, sf):
+    """One sheet per (nation, segment) with its orders as rows; two segments have no module."""
+    orders = T.table(spark, sf, "orders").select("o_custkey", "o_orderstatus")
+    customer = T.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "c_mktsegment").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("o_orderstatus") == "P").alias("numeric")
+    ).join(T.places(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+    known = F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "MACHINERY")
+    return joined.select(
+        F.col("brand").alias("subject"), F.col("c_mktsegment").alias("file"), F.col("generation").alias("sheet"),
+        F.when(known, F.lower("c_mktsegment")).alias("module"), "rows", "numeric",
+    )
+
+
+_SHEETS = ("sl AS (SELECT brand AS subject, c_mktsegment AS file, generation AS sheet, CASE WHEN c_mktsegment IN ('AUTOMOBILE','BUILDING','MACHINERY') THEN lower(c_mktsegment) END AS module, count(*) AS rows, "
+           "count(*) FILTER (o_orderstatus = 'P') AS numeric FROM orders JOIN customer ON o_custkey = c_custkey JOIN places ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, c_mktsegment), "
+           "stt AS (SELECT *, CASE WHEN module IS NULL THEN 'unmatched' WHEN module = 'building' THEN 'consumed' WHEN numeric = 0 THEN 'check: no numbers' WHEN rows <= 2 THEN 'check: header only' ELSE 'check: not used' END AS status FROM sl)")
+
+
+def _statuses(spark, sf):
+    sheets = _sheet_list(spark, sf)
+    used = quality.consumers(sheets.filter("module = 'building'").select("subject", "file", "sheet", F.lit("overview").alias("module")))
+    return quality.import_status(sheets, used)
+
+
+@register("i04_import_status", query("places", "SELECT subject, file, sheet, status FROM stt", _SHEETS))
+def i04(spark, sf):
+    return out(_statuses(spark, sf), "subject", "file", "sheet", "status")
+
+
+@register("d35_import_health", query("places", (
+    "SELECT subject, count(*) FILTER (status = 'unmatched') AS unmatched, count(*) FILTER (status <> 'unmatched') AS recognised, count(*) FILTER (status LIKE 'check%') AS to_check, "
+    "count(DISTINCT file) AS files, CAST(coalesce(sum(numeric) FILTER (status = 'unmatched'), 0) AS BIGINT) AS unmatched_numeric FROM stt GROUP BY 1"), _SHEETS))
+def d35(spark, sf):
+    return out(quality.import_health(_statuses(spark, sf)), "subject", "unmatched", "recognised", "to_check", "files", "unmatched_numeric")
+
+
+@register("i02_validate", query("ob", (
+    "SELECT 'overview' AS module, problem, count(*) AS rows, count(DISTINCT subject) AS subjects FROM (SELECT subject, 'unknown subject' AS problem FROM ob WHERE subject = 'ALL' UNION ALL "
+    "SELECT subject, 'invalid number' FROM ob WHERE retained = 0 UNION ALL SELECT subject, 'source missing' FROM ob WHERE grain = 'week') GROUP BY 1, 2")))
+def i02(spark, sf):
+    base = overview.overview_base(T.observations(spark, sf))
+    kpis = base.select(
+        F.lit("overview").alias("module"), "subject", "grain", "period", F.lit("rate").alias("label"),
+        F.when(F.col("retained") == 0, F.lit(float("nan"))).otherwise(F.col("orders")).alias("value"), F.lit("").alias("text"),
+        F.lit("orders").alias("file"), F.when(F.col("grain") != "week", F.col("grain")).alias("sheet"),
+    )
+    return out(quality.validate(kpis, T.subjects(spark, sf).filter("type <> 'group'")), "module", "problem", "rows", "subjects")
+
+
+@register("i06_module_order", query("oc ob", "SELECT module, 'missing' AS problem FROM (SELECT DISTINCT module FROM src WHERE module <> 'overview') UNION ALL SELECT 'forecast', 'unknown'", _SRC))
+def i06(spark, sf):
+    configured = spark.range(1).select(F.explode(F.array(F.lit("overview"), F.lit("forecast"))).alias("module"))
+    return out(quality.check_module_order(configured, _sources(spark, sf).select("module").distinct()), "module", "problem")
+
+
+@register("d_labels_without_document", "SELECT l.doc_id, l.quality FROM labels l ANTI JOIN documents d ON d.doc_id = l.doc_id")
+def d_labels(spark, sf):
+    labels = T.table(spark, sf, "labels")
+    return out(labels.join(T.table(spark, sf, "documents"), "doc_id", "left_anti"), "doc_id", "quality")
+
+
+# ---- notes ------------------------------------------------------------------------------
+
+@register("c11_annotations_for", query("nt subj", (
+    "SELECT s.name, count(*) AS notes FROM subj s JOIN nt n ON n.target = s.name OR n.target = s.parent GROUP BY 1")))
+def c11(spark, sf):
+    subjects = T.subjects(spark, sf)
+    shown = annotate.annotations_for(T.notes(spark, sf), subjects)
+    named = shown.join(subjects.select(F.col("id").alias("subject_id"), "name"), "subject_id")
+    return out(named.groupBy("name").agg(F.count(F.lit(1)).alias("notes")), "name", "notes")
+
+
+@register("c12_annotate_periods", query("nt subj", (
+    "SELECT v.name, v.period, arg_min(text, date || text) AS text, arg_min(date, date || text) AS date, count(*) - 1 AS more FROM (SELECT s.name, n.*, " + wk("n.day") + " AS period "
+    "FROM subj s JOIN nt n ON n.target = s.name OR n.target = s.parent) v GROUP BY 1, 2")))
+def c12(spark, sf):
+    subjects = T.subjects(spark, sf)
+    shown = annotate.annotations_for(T.notes(spark, sf), subjects)
+    weeks = T.event_places(spark, sf).select(periods.week_label(F.col("ts").cast("date")).alias("period")).distinct()
+    pages = subjects.select(F.col("id").alias("subject_id"), "name").join(weeks)
+    return out(annotate.annotate_periods(shown, pages, "week"), "name", "period", "text", "date", "more")
+
+
+@register("c17_apply_changes", query("ev", (
+    "SELECT status, action, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'update' WHEN event_type = 'signup' THEN 'delete' ELSE 'add' END AS action, "
+    "CASE WHEN event_type = 'click' THEN CASE WHEN value > 20 THEN 422 ELSE 200 END WHEN event_type = 'view' THEN 404 WHEN value > 10 THEN 409 ELSE 200 END AS status FROM "
+    "(SELECT * FROM ev WHERE event_type <> 'purchase')) GROUP BY 1, 2").replace("ELSE 'add' END AS action", "WHEN event_type = 'view' THEN 'update' ELSE 'add' END AS action")))
+def c17(spark, sf):
+    e = T.event_places(spark, sf).filter("event_type <> 'purchase'")
+    kind = F.col("event_type")
+    action = F.when(kind.isin("error", "view"), "update").when(kind == "signup", "delete").otherwise("add")
+    changes = e.select(
+        F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("ord"), action.alias("action"),
+        F.when(F.col("value") > 10, 2).otherwise(1).alias("expected_version"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date"), F.lit("*").alias("subject"),
+        F.when((kind == "click") & (F.col("value") > 20), F.lit("  ")).otherwise(F.col("event_type")).alias("text"),
+    )
+    _, audit = annotate.apply_changes(T.notes(spark, sf), changes, T.subjects(spark, sf))
+    return out(audit.groupBy("status", "action").agg(F.count(F.lit(1)).alias("n")), "status", "action", "n")
+
+
+@register("h22_note_problem", query("", (
+    "SELECT problem, count(*) AS n FROM (SELECT CASE WHEN length(text) > 80 THEN 'length' WHEN regexp_matches(trim(text), '[\\x00-\\x1f\\x7f]') THEN 'control character' ELSE 'ok' END AS problem FROM conversations) GROUP BY 1").replace("WITH  ", "")))
+def h22(spark, sf):
+    turns = T.table(spark, sf, "conversations")
+    problem = annotate.note_problem(F.lit("2024-01-05"), F.lit("*"), F.col("text"))
+    return out(turns.groupBy(F.coalesce(problem, F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("n")), "problem", "n")
+
+
+# ---- expressions ------------------------------------------------------------------------
+
+@register("h04_norm_number", (
+    "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN -o_totalprice WHEN 2 THEN round(o_totalprice / 100, 6) WHEN 4 THEN NULL ELSE o_totalprice END + 0.0 AS value FROM orders"))
+def h04(spark, sf):
+    o = T.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    shape, plain = F.pmod("o_orderkey", F.lit(5)), F.format_number("o_totalprice", 2)
+    text = (
+        F.when(shape == 0, F.concat(F.lit(" ¥"), plain, F.lit(" 元"))).when(shape == 1, F.concat(F.lit("("), plain, F.lit(")")))
+        .when(shape == 2, F.concat(plain, F.lit("%"))).when(shape == 3, F.concat(F.lit("RMB"), plain)).otherwise(F.lit("n/a"))
+    )
+    return out(o.select("o_orderkey", numbers.norm_number(text).alias("value")), "o_orderkey", "value")
+
+
+@register("h05_norm_rate", (
+    "SELECT l_orderkey, l_linenumber, round(l_discount, 6) AS a, round(l_discount, 6) AS b, CASE WHEN l_discount * 100 > 1.5 THEN round(l_discount, 6) ELSE round(l_discount * 100, 6) END AS c FROM lineitem"))
+def h05(spark, sf):
+    li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    d, none = F.col("l_discount"), F.lit(None).cast("string")
+    whole = F.round(d * 100, 6)
+    return out(
+        li, "l_orderkey", "l_linenumber", numbers.norm_rate(F.concat(F.format_number(d * 100, 4), F.lit("%"))).alias("a"),
+        numbers.norm_rate(none, d, F.lit("0.0%")).alias("b"), numbers.norm_rate(none, whole, F.lit("General")).alias("c"),
+    )
+
+
+@register("h06_iso_week", (
+    "SELECT DISTINCT " + wk("d") + " AS label, strftime(s, '%Y-%m-%d') AS first_day, strftime(s + 6, '%Y-%m-%d') AS last_day, CASE WHEN year(s) <> year(s + 6) THEN 'year' WHEN s <= make_date(year(s), 6, 30) AND s + 6 > make_date(year(s), 6, 30) THEN 'half' END AS boundary FROM "
+    "(SELECT CAST(l_shipdate + INTERVAL 28 YEAR AS DATE) AS d, CAST(date_trunc('week', CAST(l_shipdate + INTERVAL 28 YEAR AS DATE)) AS DATE) AS s FROM lineitem)"))
+def h06(spark, sf):
+    d = F.add_months(F.col("l_shipdate").cast("date"), 336)
+    weeks = T.table(spark, sf, "lineitem").select(periods.week_label(d).alias("label")).distinct()
+    w = periods.iso_week(F.col("label"))
+    rows = weeks.select(w.alias("w")).select("w.*")
+    return out(rows, "label", F.col("start").alias("first_day"), F.col("end").alias("last_day"), "boundary")
+
+
+@register("h07_day_key", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day FROM orders")
+def h07(spark, sf):
+    o = T.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    shape = F.pmod("o_orderkey", F.lit(4))
+    text = (
+        F.when(shape == 0, F.date_format("d", "yyyy/M/d")).when(shape == 1, F.concat(F.date_format("d", "yyyy"), F.lit("年"), F.date_format("d", "MM"), F.lit("月"), F.date_format("d", "dd"), F.lit("日")))
+        .when(shape == 2, F.concat(F.date_format("d", "yyyy.MM.dd"), F.lit(" 00:00:00")))
+    )
+    serial = F.when(shape == 3, F.datediff("d", F.lit("1899-12-30").cast("date")).cast("double"))
+    return out(o.select("o_orderkey", periods.day_key(text, serial).alias("day")), "o_orderkey", "day")
+
+
+@register("h01_clean_text", "SELECT doc_id, length(trim(regexp_replace(replace(text, chr(8209), '-'), '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))) AS n FROM documents")
+def h01(spark, sf):
+    from ..functions.text import clean_text
+
+    return out(T.table(spark, sf, "documents"), "doc_id", F.length(clean_text(F.col("text"))).alias("n"))
+
+
+@register("h13_subject_id", query("subj", "SELECT name, type || '_' || substr(sha1(replace(name, ' ', '')), 1, 10) AS id FROM subj"))
+def h13(spark, sf):
+    return out(T.subjects(spark, sf), "name", names.subject_id(F.col("name"), F.col("type")).alias("id"))
+
+
+@register("h19_parse_rank_item", query("fr", f"SELECT generation, label, {r6('rate')} AS rate, {dbl('amount')} AS amount FROM fr"))
+def h19(spark, sf):
+    ranked = T.fee_rank(T.fee_observations(spark, sf))
+    item = names.parse_rank_item(F.col("item_text"))
+    return out(ranked.select("generation", item.alias("i")).select("generation", "i.*"), "generation", "label", "rate", "amount")
+
+
+@register("h20_normalize_band", (
+    "SELECT l_orderkey, l_linenumber, CASE WHEN a = 0 THEN '免费' WHEN a < 5000 THEN '0-5000' WHEN a < 10000 THEN '5000-10000' ELSE '10000-以上' END AS band FROM (SELECT *, l_extendedprice * l_discount AS a FROM lineitem)"))
+def h20(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    a = F.col("l_extendedprice") * F.col("l_discount")
+    text = F.when(a == 0, "免费选配").when(a < 5000, "5000元以下").when(a < 10000, "5000~10000元").otherwise("10000 元以上")
+    return out(li.select("l_orderkey", "l_linenumber", names.normalize_band(text).alias("band")), "l_orderkey", "l_linenumber", "band")
+
+
+@register("h21_annotation_key", query("ev", (
+    "SELECT event_id, strftime(day, '%Y-%m-%d') AS d, CAST(isoyear(day) AS VARCHAR) || '-WK' || lpad(CAST(weekofyear(day) AS VARCHAR), 2, '0') AS w, strftime(day, '%Y-%m') AS m FROM ev")))
+def h21(spark, sf):
+    date = F.date_format("ts", "yyyy-MM-dd")
+    return out(T.event_places(spark, sf), "event_id", *[periods.annotation_key(date, g).alias(k) for g, k in (("day", "d"), ("week", "w"), ("month", "m"))])
+
+
+@register("f01_period_order", query("ob", (
+    "SELECT subject, period, row_number() OVER (PARTITION BY subject ORDER BY CAST(substr(period, 1, 2) AS INTEGER), CAST(substr(period, 5) AS INTEGER)) AS position FROM ob WHERE grain = 'week'")))
+def f01(spark, sf):
+    weeks = overview.overview_base(T.observations(spark, sf, ("week",)))
+    key = periods.period_order(F.col("period"))
+    w = Window.partitionBy("subject").orderBy(key["summary"], key["natural"])
+    return out(weeks.select("subject", "period", F.row_number().over(w).alias("position")), "subject", "period", "position")
+
+

@@ -85,7 +85,7 @@ CTE = {
     ),
     "mx": (
         "SELECT subject, strftime(ps, '%y-%m') AS period, ps, metric, category, "
-        "base + coalesce(TRY_CAST(nullif(regexp_extract(category, '(\\d+)', 1), '') AS INTEGER), length(category)) AS ord, "
+        "(base + coalesce(TRY_CAST(nullif(regexp_extract(category, '(\\d+)', 1), '') AS INTEGER), length(category))) * 256 + ascii(category) AS ord, "
         "n / sum(n) OVER (PARTITION BY subject, ps, metric) AS share, CASE WHEN n > 1 THEN n END AS n FROM pc"
     ),
     "mxp": (
@@ -209,7 +209,7 @@ CTE = {
         "FROM lp JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"
     ),
     "tk": (
-        "SELECT subject, ps, period, CAST(rank AS INTEGER) AS rank, sum(share) OVER (PARTITION BY subject, ps ORDER BY rank) AS cum FROM (SELECT *, row_number() OVER "
+        "SELECT subject, ps, period, CAST(rank AS INTEGER) AS rank, round(sum(share) OVER (PARTITION BY subject, ps ORDER BY rank), 9) AS cum FROM (SELECT *, row_number() OVER "
         "(PARTITION BY subject, ps ORDER BY share DESC, code) AS rank FROM sk) WHERE rank <= 200"
     ),
     "fc": (

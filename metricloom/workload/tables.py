@@ -155,7 +155,7 @@ def mix_observations(spark, folder) -> DataFrame:
         F.struct(F.lit(SHARE).alias("stat"), (F.col("n") / total).alias("value")),
         F.struct(F.lit(QTY).alias("stat"), F.when(F.col("n") > 1, F.col("n")).alias("value")),
     )
-    ord_ = F.col("base") + F.coalesce(F.regexp_extract("category", r"(\d+)", 1).try_cast("int"), F.length("category"))
+    ord_ = (F.col("base") + F.coalesce(F.regexp_extract("category", r"(\d+)", 1).try_cast("int"), F.length("category"))) * 256 + F.ascii("category")
     return counts.select("subject", "period_start", "metric", "category", ord_.alias("row_ord"), rows.alias("r")).select(
         F.lit("order_mix").alias("report"), "subject", F.lit("month").alias("grain"),
         F.date_format("period_start", "yy-MM").alias("period"), "period_start", "metric", "category", "row_ord", F.explode("r").alias("x"),
