@@ -314,7 +314,7 @@ def conflicts(obs: DataFrame, merged: DataFrame, coverage: DataFrame) -> DataFra
     """
     pieces = with_side(observation_pieces(obs, drop_summaries=False), coverage).filter("value is not null or raw is not null")
     winner = merged.select(
-        *OBS_KEYS, F.col("source_order").alias("first_order"), "first_value", "second_value",
+        *OBS_KEYS, F.col("source_order").alias("first_order"), "first_value", "second_value", "first_is_left",
         F.col("value").alias("kept_value"),
     )
     joined = pieces.join(winner, OBS_KEYS)

@@ -99,7 +99,7 @@ def g06(spark, sf):
 
 
 @register("g_merge_report", query("ex0 exl", (
-    "SELECT subject, metric, stat, count(*) AS n, count(value) AS known, round(sum(value), 4) AS total FROM ("
+    "SELECT subject, metric, stat, count(*) AS n, count(value) AS known, round(sum(value) + 1e-8, 3) AS total FROM ("
     f"SELECT subject, metric, '数量' AS stat, {_SUM} AS value FROM pcs UNION ALL SELECT subject, '门店类型', '数量', n FROM sgm UNION ALL "
     "SELECT s.subject, '门店类型', '占比', coalesce(q.value, s.share) FROM (SELECT s.subject, s.seg, s.ps, " + wk("s.ps") + " AS period, arg_min(s.n / w.n, s.f) AS share FROM sg s JOIN exw w ON w.subject = s.subject AND w.ps = s.ps AND w.f = s.f GROUP BY 1, 2, 3) s "
     "LEFT JOIN q ON q.subject = s.subject AND q.period = s.period AND q.metric = '门店类型' AND q.category = s.seg UNION ALL "
@@ -109,7 +109,7 @@ def g06(spark, sf):
 def g_report(spark, sf):
     merged = merge.merge_report(_weekly(spark, sf), T.export_ranges(spark, sf))
     rows = merged.groupBy("subject", "metric", "stat").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.round(F.sum("value"), 4).alias("total")
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.round(F.sum("value") + 1e-8, 3).alias("total")
     )
     return out(rows, "subject", "metric", "stat", "n", "known", "total")
 
@@ -154,13 +154,13 @@ def g03(spark, sf):
 
 @register("c10_value_or_covered_zero", query("od", (
     "SELECT n.generation AS subject, strftime(d.day, '%Y-%m-%d') AS day, CASE WHEN v.locked > 0 THEN v.locked WHEN d.day BETWEEN n.a AND n.b THEN 0.0 END AS value FROM "
-    "(SELECT DISTINCT day FROM od) d, (SELECT generation, min(day) AS a, max(day) AS b FROM od WHERE locked > 0 GROUP BY 1) n LEFT JOIN od v ON v.generation = n.generation AND v.day = d.day")))
+    "(SELECT generation, day FROM (SELECT DISTINCT brand, day FROM od) JOIN places USING (brand)) d JOIN (SELECT generation, min(day) AS a, max(day) AS b FROM od WHERE locked > 0 GROUP BY 1) n USING (generation) LEFT JOIN od v ON v.generation = n.generation AND v.day = d.day")))
 def c10(spark, sf):
     days = T.order_days(spark, sf)
     values = days.filter("locked > 0").select(F.col("generation").alias("subject"), "day", F.col("locked").alias("value"))
     spans = values.groupBy("subject").agg(F.min("day").alias("start"), F.max("day").alias("end"))
-    calendar = days.agg(F.collect_set("day").alias("d"))
-    wanted = spans.select("subject").join(calendar).select("subject", F.explode("d").alias("day"))
+    # Every generation is asked for on every day its brand has orders.
+    wanted = days.select("brand", "day").distinct().join(T.places(spark, sf), "brand").select(F.col("generation").alias("subject"), "day")
     return out(coverage.value_or_covered_zero(wanted, values, spans, ["subject"]), "subject", "day", "value")
 
 
@@ -287,7 +287,7 @@ def metric_cells(spark, sf):
 
     Metric and statistic are only written where they change, as in printed reports.
     """
-    obs = T.mix_observations(spark, sf).filter("value is not null")
+    obs = cut_lineage(T.mix_observations(spark, sf).filter("value is not null"))
     labels = obs.select("subject", "metric", "stat", "category", "row_ord").distinct()
     w = Window.partitionBy("subject").orderBy("stat", "row_ord", "category")
     rows = labels.withColumn("row", F.row_number().over(w) + 1)
@@ -333,7 +333,7 @@ def a19(spark, sf):
 @register("a05_tidy_chart_cells", query("exl", (
     "SELECT subject, subject || '周留存大定' AS headline, period, '' AS series, l AS value FROM exl UNION ALL SELECT subject, subject || '周留存大定', period, 'F', " + r6("ll / l") + " FROM exl")))
 def a05(spark, sf):
-    obs = merge.merge_sources(_weekly(spark, sf))
+    obs = cut_lineage(merge.merge_sources(_weekly(spark, sf)))
     total = obs.filter(_scalar() & (F.col("metric") == ORDERS))
     share = obs.filter(F.col("metric") == POWER)
     blocks = total.select("subject").distinct().withColumn("top", F.length("subject") * 10 + F.ascii("subject") * 1000 + F.ascii(F.substring("subject", 2, 1)) * 37)
@@ -357,7 +357,7 @@ def a05(spark, sf):
 def a06(spark, sf):
     from ..labels import HOURLY_HEADERS
 
-    rows = T.retreat_hourly(spark, sf)
+    rows = cut_lineage(T.retreat_hourly(spark, sf))
     w = Window.partitionBy("subject").orderBy("date", "hour")
     rows = rows.withColumn("row", F.row_number().over(w) + 3)
     heads = rows.select("subject").distinct()
@@ -382,7 +382,7 @@ def a06(spark, sf):
 def a07(spark, sf):
     from ..labels import STAGES
 
-    rows = T.cohorts(spark, sf).filter("grain = 'month'")
+    rows = cut_lineage(T.cohorts(spark, sf).filter("grain = 'month'"))
     w = Window.partitionBy("subject").orderBy("period")
     rows = rows.withColumn("row", F.row_number().over(w) + 2)
     heads = rows.select("subject").distinct()
@@ -585,8 +585,9 @@ def c11(spark, sf):
 def c12(spark, sf):
     subjects = T.subjects(spark, sf)
     shown = annotate.annotations_for(T.notes(spark, sf), subjects)
-    weeks = T.event_places(spark, sf).select(periods.week_label(F.col("ts").cast("date")).alias("period")).distinct()
-    pages = subjects.select(F.col("id").alias("subject_id"), "name").join(weeks)
+    week = periods.week_label(F.col("ts").cast("date")).alias("period")
+    active = T.by_level(T.event_places(spark, sf).select("brand", "generation", week).distinct()).select(F.col("subject").alias("name"), "period").distinct()
+    pages = active.join(subjects.select(F.col("id").alias("subject_id"), "name"), "name")
     return out(annotate.annotate_periods(shown, pages, "week"), "name", "period", "text", "date", "more")
 
 
@@ -608,8 +609,8 @@ def c17(spark, sf):
     return out(audit.groupBy("status", "action").agg(F.count(F.lit(1)).alias("n")), "status", "action", "n")
 
 
-@register("h22_note_problem", query("", (
-    "SELECT problem, count(*) AS n FROM (SELECT CASE WHEN length(text) > 80 THEN 'length' WHEN regexp_matches(trim(text), '[\\x00-\\x1f\\x7f]') THEN 'control character' ELSE 'ok' END AS problem FROM conversations) GROUP BY 1").replace("WITH  ", "")))
+@register("h22_note_problem", (
+    "SELECT problem, count(*) AS n FROM (SELECT CASE WHEN length(text) > 80 THEN 'length' WHEN regexp_matches(trim(text), '[\\x00-\\x1f\\x7f]') THEN 'control character' ELSE 'ok' END AS problem FROM conversations) GROUP BY 1"))
 def h22(spark, sf):
     turns = T.table(spark, sf, "conversations")
     problem = annotate.note_problem(F.lit("2024-01-05"), F.lit("*"), F.col("text"))
