@@ -51,7 +51,7 @@ SKU_SHARE = _table(
 SKU_TOPK = _table(subject=_S, period=_S, label=_S, rank=_I, share=_D)
 FEE_OBS = _table(
     brand=_S, generation=_S, period=_S, band=_S, row_kind=_S, grp=_S, label=_S,
-    value=_D, col_ord=_I,
+    value=_D, col_ord=_I, row_ord=_I,
 )
 FEE_RANK = _table(brand=_S, generation=_S, rank=_I, item_text=_S, ord=_I)
 NOTES = _table(id=_S, date=_S, subject=_S, text=_S, version=_I)

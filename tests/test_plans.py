@@ -161,8 +161,7 @@ def test_fee(spark):
 def test_fee_total_column_first_and_true_zero_wins(spark):
     rows = [{"period": "26-07", "band": b, "row_kind": k, "grp": "合计", "value": v, "row_ord": 1}
             for k, b, v in (("option_total", "免费", 5.0), ("option_total", "总计", 0.0), ("actual_total", "免费", None), ("actual_total", "0-5000", 7.0))]
-    schema = schemas.FEE_OBS.add("row_ord", "int") if "row_ord" not in schemas.FEE_OBS.fieldNames() else schemas.FEE_OBS
-    row = fee.fee_month_totals(make(spark, schema, fee_rows(rows))).first()
+    row = fee.fee_month_totals(make(spark, schemas.FEE_OBS, fee_rows(rows))).first()
     assert (row["option_total"], row["actual_total"]) == (0.0, 7.0)
 
 
