@@ -39,16 +39,36 @@ def annotation_scope(subjects: DataFrame, depth: int = 3) -> DataFrame:
     return everyone.unionByName(tree).distinct()
 
 
-def annotations_for(notes: DataFrame, subjects: DataFrame, depth: int = 3) -> DataFrame:
-    """Notes next to every subject that shows them."""
+def _filed(notes: DataFrame, subjects: DataFrame) -> DataFrame:
     groups = subjects.filter("type = 'group'").select(F.col("id").alias("subject"), F.lit(True).alias("_group"))
-    filed = notes.join(groups, "subject", "left").withColumn(
+    return notes.join(groups, "subject", "left").withColumn(
         "scope", F.when(F.col("_group"), F.lit("*")).otherwise(F.col("subject"))
     )
+
+
+def annotations_for(notes: DataFrame, subjects: DataFrame, depth: int = 3) -> DataFrame:
+    """Notes next to every subject that shows them."""
     scope = annotation_scope(subjects, depth).withColumnRenamed("id", "subject_id")
-    return filed.join(scope, "scope").select(
+    return _filed(notes, subjects).join(scope, "scope").select(
         "subject_id", F.col("id").alias("note_id"), "date", "subject", "text"
-    ).distinct()
+    )
+
+
+def annotate_subject_periods(notes: DataFrame, subjects: DataFrame, periods: DataFrame, grain: str, depth: int = 3) -> DataFrame:
+    """First note and number of further notes of every (subject_id, period).
+
+    Notes are reduced to one row per scope and period key before they meet the subjects, so
+    global notes are not multiplied by the number of subjects.
+    """
+    keyed = _filed(notes, subjects).withColumn("_key", annotation_key(F.col("date"), grain)).filter("_key is not null")
+    first = F.struct("date", "text", F.col("id").alias("note_id"))
+    reduced = keyed.groupBy("scope", "_key").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    scope = annotation_scope(subjects, depth).withColumnRenamed("id", "subject_id")
+    found = reduced.join(scope, "scope").groupBy("subject_id", "_key").agg(
+        F.min("_first").alias("_first"), (F.sum("_n") - 1).alias("more")
+    )
+    wanted = periods.withColumn("_key", chart_period_key(F.col("period"), grain)).filter("_key is not null")
+    return wanted.join(found, ["subject_id", "_key"]).select(*periods.columns, "_first.date", "_first.text", "more")
 
 
 def annotate_periods(notes: DataFrame, periods: DataFrame, grain: str, by=("subject_id",)) -> DataFrame:
@@ -87,8 +107,9 @@ def apply_changes(current: DataFrame, changes: DataFrame, subjects: DataFrame):
     allowed = subjects.select(F.col("id").alias("subject"), F.lit(True).alias("_ok")).unionByName(
         subjects.sparkSession.range(1).select(F.lit("*").alias("subject"), F.lit(True).alias("_ok"))
     )
-    w = Window.partitionBy("id").orderBy("ord")
-    ranked = changes.withColumn("_rn", F.row_number().over(w))
+    # An aggregate and a join instead of a numbering: one note may have very many changes.
+    first = changes.groupBy("id").agg(F.min("ord").alias("_first"))
+    ranked = changes.join(first, "id").withColumn("_late", F.col("ord") > F.col("_first"))
     held = current.select("id", F.col("version").alias("_version"), F.col("date").alias("_date"), F.col("subject").alias("_subject"), F.col("text").alias("_text"))
     judged = ranked.join(held, "id", "left").join(allowed, "subject", "left")
     bad = note_problem(F.col("date"), F.col("subject"), F.col("text")).isNotNull() | F.col("_ok").isNull()
@@ -96,7 +117,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, subjects: DataFrame):
     status = (
         F.when(adds & F.col("_version").isNotNull(), 409)
         .when(~adds & F.col("_version").isNull(), 404)
-        .when(F.col("_rn") > 1, 409)
+        .when(F.col("_late"), 409)
         .when(~adds & (F.col("expected_version") != F.col("_version")), 409)
         .when((F.col("action") != "delete") & bad, 422)
         .otherwise(200)

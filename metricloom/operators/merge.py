@@ -22,6 +22,7 @@ from ..labels import (
     RETAINED, RETAINED_OLD, SHARE, STORES,
 )
 from .coverage import with_side
+from .lineage import cut_lineage
 
 OBS_KEYS = ["report", "subject", "grain", "metric", "stat", "category", "period"]
 _NOT_ADDABLE = r"占比|比例|率|平均|均价|时长|天数|（天）|\(天\)"
@@ -146,15 +147,16 @@ def merge_distinct_stores(obs: DataFrame, coverage: DataFrame) -> DataFrame:
             F.when(F.col("complete") & (F.col("low") == F.col("high")), F.col("low")), "layout"
         ).alias("n")
     )
-    channels = stores.select(*sheet, "category").distinct()
-    # Absence matters: every export that shows the period takes part for every channel.
-    grid = channels.join(files, sheet).join(per_file, sheet + ["category", "source_order"], "left")
-    judged = grid.groupBy(*sheet, "category").agg(
+    # Absence matters: a channel is complete only if every export that shows the period
+    # has a known number for it, which the two counts tell without a grid.
+    shown = files.groupBy(*sheet).agg(
         F.count(F.lit(1)).alias("sources"),
         F.count_if(F.col("is_left")).alias("lefts"),
         F.count_if(~F.col("is_left")).alias("rights"),
-        F.count("n").alias("knowns"), F.min("n").alias("low"), F.max("n").alias("high"),
     ).filter("lefts > 0 and rights > 0")
+    judged = per_file.groupBy(*sheet, "category").agg(
+        F.count("n").alias("knowns"), F.min("n").alias("low"), F.max("n").alias("high"),
+    ).join(shown, sheet)
     pair = F.expr("sources = 2 and lefts = 1 and rights = 1")
     complete = F.expr("knowns = sources")
     return judged.select(
@@ -218,7 +220,8 @@ def rebuild_ratios(obs: DataFrame, merged: DataFrame, coverage: DataFrame) -> Da
 
 def merge_report(obs: DataFrame, coverage: DataFrame) -> DataFrame:
     """The full merge of a mix report: base rule, boundary weeks, store counts, ratios."""
-    merged = merge_sources(obs, coverage)
+    # Read three times below and by every analysis after it.
+    merged = cut_lineage(merge_sources(obs, coverage))
     stores = merge_distinct_stores(obs, coverage).select(
         "report", "subject", "grain", "period", "category", F.col("value").alias("_stores"), F.lit(True).alias("_judged")
     )

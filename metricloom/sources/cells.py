@@ -85,7 +85,8 @@ def tidy_chart_cells(cells: DataFrame) -> DataFrame:
     kept = names.join(closed, _SHEET + ["block"]).filter(
         "name is not null and (_blank is null or row < _blank) and (_total is null or row <= _total)"
     )
-    header = cells.filter("col >= 3").join(starts, _SHEET).filter("row = start + 1").select(
+    head_rows = starts.select(*_SHEET, "block", (F.col("start") + 1).alias("row"))
+    header = cells.filter("col >= 3").join(head_rows, _SHEET + ["row"]).select(
         *_SHEET, "block", "col", source_key(cell_text()).alias("period")
     )
     body = cells.filter("col >= 3").join(kept.select(*_SHEET, "row", "block", "title", "name"), _SHEET + ["row"])
@@ -184,14 +185,18 @@ def split_parallel_blocks(cells: DataFrame) -> DataFrame:
         *_SHEET, "title", F.col("col").alias("from_col"),
         F.lead("col").over(w).alias("to_col"), F.row_number().over(w).alias("block_no"),
     )
+    # Every used column belongs to the last title at or before it.
+    tagged = used.join(spans.select(*_SHEET, F.col("from_col").alias("col"), "from_col"), _SHEET + ["col"], "left")
+    owned = forward_fill(tagged, ["from_col"], _SHEET, "col").filter("from_col is not null")
+    width = owned.groupBy(*_SHEET, "from_col").agg(F.count(F.lit(1)).alias("used")).join(spans, _SHEET + ["from_col"])
     # A block ends where a used column is missing before the next title.
-    inside = used.join(spans, _SHEET).filter("col >= from_col and (to_col is null or col < to_col)")
-    width = inside.groupBy(*_SHEET, "block_no", "title", "from_col", "to_col").agg(F.count(F.lit(1)).alias("used"))
     parallel = width.groupBy(*_SHEET).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.when(F.col("to_col").isNull(), True).otherwise(F.col("used") < F.col("to_col") - F.col("from_col"))).alias("_gaps"),
     ).filter("_n >= 2 and _gaps")
-    chosen = inside.join(parallel.select(*_SHEET), _SHEET, "left_semi").select(*_SHEET, "col", "title", "block_no", "from_col")
+    chosen = owned.join(parallel.select(*_SHEET), _SHEET, "left_semi").join(
+        spans.select(*_SHEET, "from_col", "title", "block_no"), _SHEET + ["from_col"]
+    )
     return stored.join(chosen, _SHEET + ["col"])
 
 

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..labels import LOCKED, ORDERS, QTY, RETAINED
-from ..operators import compare, ordered
+from ..labels import RETAINED
+from ..operators import compare
+from ..operators.lineage import cut_lineage
 from ..plans import cancellation, channel, conversion, fee, launch, overview, sku, structures
 from . import tables as T
 from .registry import out, register
-from .sql import dbl, query, r6, wk
+from .sql import dbl, query, r6
 
 _PAGE = ("subject", "grain", "period")
 
@@ -556,7 +557,7 @@ def d11_launch(spark, sf):
 # ---- SKU --------------------------------------------------------------------------------
 
 def _sku(spark, sf):
-    share = T.sku_shares(spark, sf)
+    share = cut_lineage(T.sku_shares(spark, sf))
     # Nine places, so that a cumulative share of exactly 80 % is 80 % whatever the summing order.
     return share, sku.cumulative_topk(share).withColumn("share", F.round("share", 9))
 

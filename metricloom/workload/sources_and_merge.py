@@ -94,7 +94,7 @@ _RATIOS = (
 @register("g06_rebuild_ratios", query("ex0 exl", _RATIOS, _SEG))
 def g06(spark, sf):
     obs, spans = _weekly(spark, sf), T.export_ranges(spark, sf)
-    ratios = merge.rebuild_ratios(obs, merge.merge_sources(obs, spans), spans)
+    ratios = merge.rebuild_ratios(obs, cut_lineage(merge.merge_sources(obs, spans)), spans)
     return out(ratios, "subject", "period", "metric", "category", "value", "method")
 
 
@@ -584,11 +584,11 @@ def c11(spark, sf):
     "FROM subj s JOIN nt n ON n.target = s.name OR n.target = s.parent) v GROUP BY 1, 2")))
 def c12(spark, sf):
     subjects = T.subjects(spark, sf)
-    shown = annotate.annotations_for(T.notes(spark, sf), subjects)
     week = periods.week_label(F.col("ts").cast("date")).alias("period")
     active = T.by_level(T.event_places(spark, sf).select("brand", "generation", week).distinct()).select(F.col("subject").alias("name"), "period").distinct()
     pages = active.join(subjects.select(F.col("id").alias("subject_id"), "name"), "name")
-    return out(annotate.annotate_periods(shown, pages, "week"), "name", "period", "text", "date", "more")
+    shown = annotate.annotate_subject_periods(T.notes(spark, sf), subjects, pages, "week")
+    return out(shown, "name", "period", "text", "date", "more")
 
 
 @register("c17_apply_changes", query("ev", (

@@ -12,6 +12,7 @@ from ..labels import (
     ACTIVE_STORES_OLD, BATTERY, CHANNEL, DELIVERED, LAUNCH_CUM_DIRECT, LAUNCH_CUM_LOCK, LOCKED, ORDERS, POWER, QTY,
     RETAINED, SHARE, STORES, VERSION,
 )
+from ..operators.lineage import cut_lineage
 from ..operators.ordered import union_all
 
 GROUP = "ALL"
@@ -67,19 +68,26 @@ def by_level(df: DataFrame) -> DataFrame:
 
 
 def by_grain(df: DataFrame, grains=("day", "week", "month"), day: str = "day") -> DataFrame:
-    d = F.col(day)
-    rows = [
-        F.struct(F.lit(g).alias("grain"), label_for(d, g).alias("period"), start_for(d, g).alias("period_start"))
-        for g in grains
-    ]
+    """Each row once per grain, with the first day of its period; labels are added after the
+    aggregation by ``with_label``, on far fewer rows."""
+    rows = [F.struct(F.lit(g).alias("grain"), start_for(F.col(day), g).alias("period_start")) for g in grains]
     return df.select("*", F.explode(F.array(*rows)).alias("_g")).select(*df.columns, "_g.*")
 
 
+def with_label(df: DataFrame) -> DataFrame:
+    start = F.col("period_start")
+    label = F.when(F.col("grain") == "day", label_for(start, "day")).when(
+        F.col("grain") == "week", label_for(start, "week")
+    ).otherwise(label_for(start, "month"))
+    return df.withColumn("period", label)
+
+
 def order_counts(spark, folder, grains=("day", "week", "month")) -> DataFrame:
     """The four order figures per subject, grain and period."""
-    rows = by_grain(by_level(order_days(spark, folder)), grains)
     names = ("orders", "retained", "locked", "delivered")
-    return rows.groupBy("subject", "grain", "period", "period_start").agg(*[F.sum(n).alias(n) for n in names])
+    days = by_level(order_days(spark, folder)).groupBy("subject", "day").agg(*[F.sum(n).alias(n) for n in names])
+    rows = by_grain(days, grains).groupBy("subject", "grain", "period_start").agg(*[F.sum(n).alias(n) for n in names])
+    return with_label(rows)
 
 
 def observations(spark, folder, grains=("day", "week", "month")) -> DataFrame:
@@ -199,9 +207,9 @@ def store_tables(spark, folder):
 
     A generation overrides a channel with its customers in credit.
     """
-    customer = table(spark, folder, "customer").groupBy("c_nationkey", "c_mktsegment").agg(
+    customer = cut_lineage(table(spark, folder, "customer").groupBy("c_nationkey", "c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") > 5000).alias("rich")
-    ).join(places(spark, folder), F.col("c_nationkey") == F.col("n_nationkey"))
+    ).join(places(spark, folder), F.col("c_nationkey") == F.col("n_nationkey")))
     counts = customer.groupBy("brand", F.col("c_mktsegment").alias("channel")).agg(F.sum("n").cast("double").alias("n"))
     overrides = customer.filter("c_mktsegment <> 'BUILDING'").select(
         F.col("generation").alias("subject"), F.col("c_mktsegment").alias("channel"), F.col("rich").cast("double").alias("n")
@@ -236,9 +244,9 @@ def cohorts(spark, folder) -> DataFrame:
         F.sum(F.abs(F.datediff("first_ship", "day"))).alias("wait"), F.count("first_ship").alias("shipped"),
         F.sum(F.datediff("last_ship", "first_ship")).alias("spread"),
     ).join(places(spark, folder), F.col("c_nationkey") == F.col("n_nationkey")).drop("c_nationkey", "n_nationkey")
-    rows = by_grain(by_level(daily), ("week", "month")).groupBy("subject", "grain", "period", "period_start").agg(
+    rows = with_label(by_grain(by_level(daily), ("week", "month")).groupBy("subject", "grain", "period_start").agg(
         *[F.sum(f"s{i}").alias(f"s{i}") for i in range(1, 8)], *[F.sum(c).alias(c) for c in ("wait", "shipped", "spread")]
-    )
+    ))
     # Stage 3 of very small cohorts is not published.
     s3_known = F.when(F.col("s1") >= 3, F.col("s3"))
     return rows.select(
@@ -387,7 +395,7 @@ def fee_observations(spark, folder) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("option"),
         F.sum(amount * (1 - F.col("l_tax"))).alias("actual"),
     ).select(*[k for k in keys if k != "e"], "e.band", "e.pos", "n", "option", "actual")
-    return cube.withColumn("period", F.date_format("m", "yy-MM"))
+    return cut_lineage(cube.withColumn("period", F.date_format("m", "yy-MM")))
 
 
 def fee_table(cube: DataFrame) -> DataFrame:
@@ -475,7 +483,9 @@ def exports(spark, folder, grains=("week", "day")) -> DataFrame:
     daily = facts.groupBy("subject", "day", "source_order", "segment").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f")
     )
-    timed = by_grain(daily, grains)
+    timed = with_label(
+        by_grain(daily, grains).groupBy("subject", "grain", "period_start", "source_order", "segment").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    )
     keys = ["subject", "grain", "period", "source_order"]
     totals = timed.groupBy(*keys).agg(F.sum("n").cast("double").alias("n"), F.sum("f").cast("double").alias("f"))
     rows = F.array(
