@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import clean_text
+from ..functions.text import clean_text, compact_text
 from ..labels import REPORTS
 
 
@@ -170,3 +170,12 @@ def title_columns(df: DataFrame, order: str, sample: int = 100) -> DataFrame:
     return long.groupBy("name").agg(F.avg(F.when(data, 1.0).otherwise(0.0)).alias("data_share")).withColumn(
         "is_title", F.col("data_share") < 0.5
     )
+
+
+def select_sheet(obs: DataFrame, report: str, subject: str, grain: str, suffix: str = None, charts: bool = False) -> DataFrame:
+    """Rows of one sheet: report, subject (spaces ignored), grain, optional name suffix."""
+    rows = obs.filter((F.col("report") == report) & (F.col("grain") == grain))
+    rows = rows.filter(compact_text(F.col("subject")) == compact_text(F.lit(subject)))
+    if suffix:
+        rows = rows.filter(F.col("source_sheet").endswith(suffix))
+    return rows if charts else rows.filter(~F.coalesce(F.col("source_sheet"), F.lit("")).contains("图表"))

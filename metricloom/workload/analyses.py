@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..labels import RETAINED
 from ..operators import compare
 from ..operators.lineage import cut_lineage
-from ..plans import cancellation, channel, conversion, fee, launch, overview, sku, structures
+from ..plans import cancellation, channel, conversion, fee, launch, overview, registry, sku, structures
 from . import tables as T
 from .registry import out, register
 from .sql import dbl, query, r6
@@ -763,3 +763,70 @@ def f07(spark, sf):
     return out(fee.fee_column_order(_fee(spark, sf)), "generation", "period", "band", "position")
 
 
+
+
+# ---- key figures of whole analyses ------------------------------------------------------
+
+def _figure_rows(source, module, subject, grain, period, values):
+    return " UNION ALL ".join(
+        f"SELECT '{module}' AS module, {subject} AS subject, {grain} AS grain, {period} AS period, '{label}' AS label, {r6(expr)} AS value FROM {source}"
+        for label, expr in values.items()
+    )
+
+
+@register("k_conversion", query("co", _figure_rows("fn", "conversion", "subject", "grain", "period", {
+    "total_rate": "s7 / CASE WHEN s1 > 0 THEN s1 END * 100", "orders": "s1", "delivered": "s7",
+    "largest_loss": "CASE WHEN s3 IS NOT NULL THEN greatest(s1 - s2, s2 - s3, s3 - s4, s4 - s5, s5 - s6, s6 - s7, 0) END"}), "fn AS (SELECT * FROM co)"))
+def k_conversion(spark, sf):
+    return out(registry.conversion_figures(T.cohorts(spark, sf)), *registry.COLUMNS)
+
+
+@register("k_cancellation", query("rhyr", _figure_rows("ca", "cancellation", "subject", "'day'", "period", {
+    "orders": "orders", "retained": "retained", "cancel": "cancel", "retention": "coalesce(retained / nullif(orders, 0), 0) * 100"}),
+    f"ca AS (SELECT subject, campaign AS period, orders, retained, cancel FROM ({_CT}) UNION ALL SELECT subject, 'all', sum(orders), sum(retained), sum(cancel) FROM ({_CT}) GROUP BY 1)"))
+def k_cancellation(spark, sf):
+    return out(registry.cancellation_figures(_rhythm(spark, sf)), *registry.COLUMNS)
+
+
+@register("k_launch", query("lph", _figure_rows("la", "launch_rhythm", "subject", "'day'", "'all'", {
+    "orders": "orders", "locked": "locked", "small_rate": "small_rate * 100", "direct_share": "direct_share * 100"}),
+    "la AS (SELECT subject, sum(orders) AS orders, CASE WHEN count(locked) = count(*) THEN sum(locked) END AS locked, "
+    "coalesce(sum(small) FILTER (srate > 0 AND small / srate > 0) / nullif(sum(small / srate) FILTER (srate > 0 AND small / srate > 0), 0), 0) AS small_rate, "
+    "CASE WHEN count(num) = count(*) AND count(den) = count(*) THEN sum(num) / CASE WHEN sum(den) > 0 THEN sum(den) END END AS direct_share FROM lph GROUP BY 1)"))
+def k_launch(spark, sf):
+    return out(registry.launch_figures(T.launch_observations(spark, sf)), *registry.COLUMNS)
+
+
+@register("k_option_fee_brand", query("fb fr", _figure_rows("fg", "option_fee", "brand", "'month'", "'all'", {
+    "generations": "generations", "avg_option": "avg_option", "paid_percent": "paid", "top_percent": "top"}),
+    "fg AS (SELECT * FROM (SELECT brand, count(DISTINCT generation) AS generations, round_even(max(rate) FILTER (rank = 1) * 100, 0) AS top FROM fr GROUP BY 1) "
+    "JOIN (SELECT brand, round_even(avg(v), 0) AS avg_option FROM (SELECT brand, generation, flag, sum(amt) / count(*) AS v FROM fc GROUP BY 1, 2, 3) GROUP BY 1) USING (brand) "
+    "JOIN (SELECT brand, round_even(sum(n) FILTER (band <> '免费') / sum(n) * 100, 0) AS paid FROM fb GROUP BY 1) USING (brand))"))
+def k_fee_brand(spark, sf):
+    cube = T.fee_observations(spark, sf)
+    ranks = T.fee_rank(cube).withColumn("ord", F.col("rank"))
+    return out(registry.fee_brand_figures(T.fee_table(cube), ranks), *registry.COLUMNS)
+
+
+@register("k_option_fee_generation", query("fc", _figure_rows("gg", "option_fee", "generation", "'month'", "period", {
+    "option_total": "option_total", "actual_total": "actual_total", "best_paid": "best"}),
+    _PAID + ", gg AS (SELECT l.generation, l.period, best, option_total, actual_total FROM (SELECT generation, arg_max(period, m) AS period FROM fc WHERE band <> '免费' GROUP BY 1) l "
+    "JOIN (SELECT generation, period, round_even(max(rate) * 100, 0) AS best FROM paid GROUP BY 1, 2) b USING (generation, period) "
+    "JOIN (SELECT generation, period, round_even(sum(amt) / count(*), 0) AS option_total, round_even(sum(act) / count(*), 0) AS actual_total FROM fc GROUP BY 1, 2) t USING (generation, period))"))
+def k_fee_generation(spark, sf):
+    return out(registry.fee_generation_figures(_fee(spark, sf)), *registry.COLUMNS)
+
+
+@register("k_sku", query("sk tk", _figure_rows("sf", "sku", "subject", "'week'", "period", {
+    "active": "active", "top3": "top3 * 100", "top5": "top5 * 100", "needed": "needed"}),
+    _AL + f", sf AS (SELECT * FROM ({_T35}) JOIN (SELECT subject, period, CASE WHEN count(share) = count(*) THEN count(*) FILTER (share > 0) END AS active FROM al GROUP BY 1, 2) USING (subject, period))"))
+def k_sku(spark, sf):
+    return out(registry.sku_figures(*_sku(spark, sf)), *registry.COLUMNS)
+
+
+@register("k_order_mix", query("mxc", _figure_rows("mk", "order_mix", "subject", "'month'", "period", {
+    "dimensions": "dimensions", "options": "options", "leading_share": "top * 100", "focused": "focused", "max_change": "moved * 100"}),
+    "mk AS (SELECT subject, period, count(*) AS dimensions, sum(options) AS options, max(top) AS top, count(*) FILTER (top >= 0.5) AS focused, max(moved) AS moved FROM "
+    "(SELECT subject, period, metric, max(share) AS top, count(*) AS options, max(abs(change)) AS moved FROM mxc GROUP BY 1, 2, 3) GROUP BY 1, 2)"))
+def k_order_mix(spark, sf):
+    return out(registry.mix_figures(T.mix_observations(spark, sf)), *registry.COLUMNS)

@@ -114,3 +114,23 @@ def test_refresh_recomputes_only_touched_periods(spark, folder):
     got = {r["period"]: r["value"] for r in refresh.latest_results(spark, folder + "/out").collect()}
     assert got == {"26WK53": 230.0, "26WK40": 7.0}
     assert {r["value"] for r in merge_report(first.unionByName(second), ranges).collect()} == {230.0, 7.0}
+
+
+def test_batch_of_all_analyses(spark, folder):
+    from metricloom.plans.registry import build_all, run_batch
+
+    rows = [{"report": r, "metric": m, "period": p, "value": v, "grain": "day"}
+            for p, v in (("2026-01-01", 4.0), ("2026-01-02", 6.0)) for r, m in (("order_mix", "大定"), ("lock_mix", "交车锁单"))]
+    obs = observations(spark, rows).withColumn("period_start", F.to_date("period"))
+    cohorts = make(spark, schemas.COHORTS, [{"subject": "M", "grain": "week", "period": "26WK01", **{f"s{i}": 10.0 - i for i in range(1, 8)}}])
+    tables = {"observations": obs, "cohorts": cohorts}
+    assert {r["module"] for r in build_all(tables).select("module").distinct().collect()} == {"overview", "conversion"}
+    run_batch(tables, folder, "b1")
+    shown = reports.read_published(spark, folder, "overview", "M").filter("label = '大定' and period = '2026-01-02'").first()
+    assert shown["value"] == 6.0 and shown["comparison"]["rate"] == 0.5
+
+
+def test_select_sheet(spark):
+    obs = observations(spark, [{"metric": "大定", "period": "26WK01", "value": 1.0, "source_sheet": s} for s in ("甲 M9by周", "甲 M9by周图表")], subject="甲 M9")
+    assert reports.select_sheet(obs, "大定选配比例", "甲M9", "week").count() == 1
+    assert reports.select_sheet(obs, "大定选配比例", "甲M9", "week", suffix="图表", charts=True).count() == 1
