@@ -76,7 +76,6 @@ def merge_pieces(pieces: DataFrame, keys, coverage: DataFrame = None) -> DataFra
         F.min_by("value", "_ord").alias("first_value"),
         F.min("_ord").alias("_first"),
         F.min_by("is_left", "_ord").alias("_left"),
-        F.min_by("quantity", "_ord").alias("_addable"),
     )
     if coverage is None:
         merged = first.withColumn("second_value", F.lit(None).cast("double")).withColumn(
@@ -84,7 +83,7 @@ def merge_pieces(pieces: DataFrame, keys, coverage: DataFrame = None) -> DataFra
         )
     else:
         # Only boundary-week quantities with a proven side can be a second piece.
-        open_first = first.filter("_left is not null and _addable and first_value >= 0")
+        open_first = first.filter("_left is not null and first_value >= 0")
         candidates = present.filter("quantity and boundary is not null and is_left is not null").filter(
             observed(F.col("value")).isNotNull()
         )

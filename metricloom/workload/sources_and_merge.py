@@ -602,7 +602,7 @@ def c17(spark, sf):
     changes = e.select(
         F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("ord"), action.alias("action"),
         F.when(F.col("value") > 10, 2).otherwise(1).alias("expected_version"),
-        F.date_format("ts", "yyyy-MM-dd").alias("date"), F.lit("*").alias("subject"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date"), F.concat(F.lit("brand_"), F.substring(F.sha1("brand"), 1, 10)).alias("subject"),
         F.when((kind == "click") & (F.col("value") > 20), F.lit("  ")).otherwise(F.col("event_type")).alias("text"),
     )
     _, audit = annotate.apply_changes(T.notes(spark, sf), changes, T.subjects(spark, sf))
