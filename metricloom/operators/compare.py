@@ -40,12 +40,15 @@ def kpi_comparison(kpis: DataFrame, part=("module", "subject", "grain", "label")
 
     A page without the label leaves the label unavailable on the next page.
     """
-    page = [p for p in part if p != "label"]
-    detail = kpis.filter(~is_summary_period(F.col("period")))
-    steps = previous_period(detail, page).select(*page, "period", "prev_period")
-    before = detail.select(*page, F.col("period").alias("prev_period"), "label", F.col("value").alias("_prev"))
-    joined = kpis.join(steps, page + ["period"], "left").join(before, page + ["prev_period", "label"], "left")
-    return joined.select(*kpis.columns, comparison(F.col("value"), F.col("_prev")).alias("comparison"))
+    page = [p for p in part if p != "label"] + ["_summary"]
+    # Pages are numbered per subject; a label compares only with the page right before. Both
+    # windows share one partitioning, and a page holds a handful of labels.
+    pages = Window.partitionBy(*page).orderBy("period_start", "period")
+    labels = Window.partitionBy(*page, "label").orderBy("_page")
+    numbered = kpis.withColumn("_summary", is_summary_period(F.col("period"))).withColumn("_page", F.dense_rank().over(pages))
+    adjoining = ~F.col("_summary") & (F.lag("_page").over(labels) == F.col("_page") - 1)
+    before = numbered.withColumn("_prev", F.when(adjoining, F.lag("value").over(labels)))
+    return before.select(*kpis.columns, comparison(F.col("value"), F.col("_prev")).alias("comparison"))
 
 
 def default_period(df: DataFrame, part=("subject", "grain"), order="ord") -> DataFrame:
