@@ -1,0 +1,95 @@
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from metricloom.llm import pii, quality, secrets, weak
+
+
+def by_row(rows, value):
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0, *value(r)) for r in rows)
+
+
+def text_rows(df, value):
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0, *value(r["text"])) for r in df.collect())
+
+
+def base_digest(spans, kinds):
+    return (*[sum(s[0] == k for s in spans) for k in kinds], brute.sha([f"{k}:{a}:{b}" for k, a, b in spans]))
+
+
+@pytest.mark.parametrize("name", ["odd", "given"])
+def test_base_personal_data(request, name):
+    docs = request.getfixturevalue(name)
+    got = by_row(pii.digest(pii.find(docs)).collect(), lambda r: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]))
+    assert got == text_rows(docs, lambda t: base_digest(brute.personal(t), pii.KINDS))
+
+
+@pytest.mark.parametrize("name", ["odd", "given"])
+def test_base_secrets(request, name):
+    docs = request.getfixturevalue(name)
+    got = by_row(secrets.digest(secrets.find(docs)).collect(), lambda r: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]))
+    assert got == text_rows(docs, lambda t: base_digest(brute.secret(t), secrets.KINDS[:3]))
+
+
+@pytest.mark.parametrize("name", ["odd", "given"])
+def test_quality_counts(request, name):
+    docs = request.getfixturevalue(name)
+    rows = quality.judge(docs).select("doc_id", "measured.*", "kept").collect()
+    got = by_row(rows, lambda r: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]))
+    assert got == text_rows(docs, brute.quality_counts)
+    failed = [r for r in rows if r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]]
+    assert failed and not any(r["kept"] for r in failed)
+
+
+def test_added_spans_overlap_no_base_span(odd):
+    rows = pii.find(odd).filter("kind is not null").collect()
+    base = [r for r in rows if r["base"]]
+    for r in rows:
+        if not r["base"]:
+            assert not any(b["rid"] == r["rid"] and b["start"] < r["end"] and r["start"] < b["end"] for b in base)
+
+
+def test_reliabilities_match_plain_iteration(spark):
+    rng = np.random.default_rng(1)
+    truth = rng.random(3000) < 0.7
+    accuracy = [0.9, 0.8, 0.7, 0.95]
+    votes = np.array([[int(t) if rng.random() < a else int(not t) for a in accuracy] for t in truth])
+    votes[rng.random(votes.shape) < 0.3] = -1
+    df = spark.createDataFrame([("g", v.tolist()) for v in votes], "g string, v array<tinyint>")
+    got = weak.fit_reliability(df, "g", "v", 4, rounds=25)["g"]
+
+    n, prior, good, bad, k = len(votes), 0.5, np.full(4, 0.85), np.full(4, 0.85), 0.05 * len(votes)
+    for _ in range(25):
+        logit = np.log(prior / (1 - prior)) + ((votes == 1) * np.log(good / (1 - bad))).sum(1) + ((votes == 0) * np.log((1 - good) / bad)).sum(1)
+        q = 1 / (1 + np.exp(-logit))
+        prior = np.clip((q.sum() + k * 0.5) / (n + k), 0.02, 0.98)
+        good = np.clip(((votes == 1) * q[:, None]).sum(0) + k * 0.85, 0, None) / (((votes != -1) * q[:, None]).sum(0) + k)
+        bad = (((votes == 0) * (1 - q)[:, None]).sum(0) + k * 0.85) / (((votes != -1) * (1 - q)[:, None]).sum(0) + k)
+        good, bad = np.clip(good, 0.55, 0.99), np.clip(bad, 0.55, 0.99)
+    assert np.allclose(got.good, good, atol=1e-9) and np.allclose(got.bad, bad, atol=1e-9) and abs(got.prior - prior) < 1e-9
+    assert abs(got.good[0] - 0.9) < 0.05
+
+
+def test_good_documents_stay_and_all_columns_return(given, odd):
+    kept = quality.keep_good(given)
+    assert kept.columns == given.columns
+    judged = {r["doc_id"]: r["kept"] for r in quality.judge(given).collect()}
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {k for k, v in judged.items() if v}
+    extra = quality.keep_good(given.withColumn("measured", F.lit("x")).withColumn("own_text", F.lit(1)))
+    assert extra.count() == kept.count() and "measured" in extra.columns
+
+
+def test_tables_without_rows(empty):
+    assert pii.digest(pii.find(empty)).count() == 0
+    assert secrets.digest(secrets.find(empty)).count() == 0
+    assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0 and secrets.mask(empty).count() == 0
+
+
+def test_mask_takes_owner_specific_values_only(spark):
+    own, shared = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "0123456789abcdef0123456789abcdef01234567"
+    rows = [(i, f"𝔘 token = \"{shared}\" end", "en", f"s{i}", 5) for i in range(9)] + [(20, f"x token = \"{own}\" y token = \"{own}\" z", "en", "s1", 5), (21, "clean text", "en", None, 10), (22, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in secrets.mask(docs).collect()}
+    assert len(got) == len(rows) and own not in got[20]["text"] and got[20]["text"] == "x token = \"[SECRET]\" y token = \"[SECRET]\" z" and got[20]["n_chars"] == len(got[20]["text"])
+    assert got[21]["text"] == "clean text" and got[22]["text"] is None and all(shared in got[i]["text"] for i in range(9))
