@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import pii, quality, secrets
+from metricloom.llm import decontaminate, hyperminhash, pii, quality, secrets
 
 QUERIES = {}
 ORACLE = {}
@@ -40,3 +40,36 @@ def op4(spark, folder):
 @register("op5_secrets")
 def op5(spark, folder):
     return secrets.digest(secrets.find(table(spark, folder, "documents")))
+
+
+def words_sql(text: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
+
+
+OP2_SQL = rf"""
+WITH iw AS (SELECT item_id, {words_sql("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM iw WHERE len(w) > 0)),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, {words_sql("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM documents),
+ks AS (SELECT DISTINCT k FROM win),
+grams AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram
+          FROM (SELECT rid, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM dw, ks WHERE len(w) >= k)),
+occ AS (SELECT g.rid, g.i, g.k, win.item_id FROM grams g JOIN win ON g.k = win.k AND g.gram = win.gram),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + k - 1)) AS p FROM occ) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
+
+@register("op2_decontamination", OP2_SQL)
+def op2(spark, folder):
+    index = decontaminate.build(table(spark, folder, "documents"))
+    return decontaminate.digest(decontaminate.search(index, decontaminate.windows(table(spark, folder, "benchmark"))))
+
+
+@register("op10_hyperminhash")
+def op10(spark, folder):
+    return hyperminhash.group(table(spark, folder, "documents"))

@@ -62,3 +62,54 @@ def quality_counts(text):
             covered |= set(range(i, i + 5))
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def shingle_set(text):
+    w = WORD.findall(lower(text))
+    return frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset({tuple(w)} if w else ())
+
+
+def near_classes(rows):
+    """doc_id -> (set size, smallest identifier of the class), over all pairs."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= 80 * max(len(a), len(b)):
+                both = len(a & b)
+                if 100 * both >= 80 * (len(a) + len(b) - both):
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def contaminated(docs, items):
+    windows = {}
+    for i, t in items:
+        w = TERM.findall(lower(t))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+    sizes = {len(w) for w in windows}
+    for d, t in docs:
+        w, hit, found = TERM.findall(lower(t)), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (x := tuple(w[k : k + n])) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[x]
+        yield d, len(w), len(hit), len(found), sha(sorted(found)), bool(hit)
