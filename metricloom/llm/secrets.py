@@ -74,7 +74,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     table = written(rows.drop("before", "after", "hit"), "secrets")
     counted = ownership(table.filter("real").select("value_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"), "owner"))
     live = (F.col("owners") <= max_owners) & (_random_looking(F.col("value")) | F.col("kind").isin("key", "login"))
-    judged = table.join(counted, "value_hash", "left").withColumn("live", F.coalesce(F.col("real") & live, F.lit(False)))
+    # Rows without a candidate get a key of their own, so that they don't meet in one task.
+    spread = table.withColumn("value_hash", F.coalesce("value_hash", F.concat(F.lit("-"), F.col("rid").cast("string"))))
+    judged = spread.join(counted, "value_hash", "left").withColumn("live", F.coalesce(F.col("real") & live, F.lit(False)))
     judged = judged.withColumn("reported", F.col("real") & (F.col("base") | F.col("live")))
     return judged.select("rid", "doc_id", *[F.when(F.col("real"), F.col(c)).alias(c) for c in ("kind", "start", "end", "value", "base", "repositories", "owners")], "live", "reported")
 
@@ -99,8 +101,8 @@ def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     """The rows with live-looking secrets replaced by ``[SECRET]`` and ``length`` set to the new text's
     length where that column exists and the text changed. Examples that many owners share stay.
 
-    The values to replace come back per document as short arrays, joined on its identifier and the
-    hash of its text; texts are not moved for documents without a live secret.
+    The places to replace come back per document as one short array, joined on its identifier and
+    the hash of its text.
     """
     keyed = docs.withColumn((key := fresh(docs, "text_key")[0]), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     found = find(docs.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))), key, text, owner, max_owners)

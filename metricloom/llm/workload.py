@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, hyperminhash, pii, quality, secrets
+from metricloom.llm import decontaminate, hyperminhash, mixing, pii, quality, secrets
 
 QUERIES = {}
 ORACLE = {}
@@ -73,3 +73,41 @@ def op2(spark, folder):
 @register("op10_hyperminhash")
 def op10(spark, folder):
     return hyperminhash.group(table(spark, folder, "documents"))
+
+
+def sainte_lague_sql(rows: str, name: str, group: str, weight: str, of: str, seats: str, most: str) -> str:
+    """Seats handed out one by one to the highest quotient, over all quotients of each row."""
+    return f"""
+{name}_q AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY w / (2 * k + 1) DESC, tie NULLS LAST, k) AS place
+  FROM (SELECT *, CAST({weight} AS DOUBLE) AS w, unnest(generate_series(0, CAST({most} AS BIGINT) - 1)) AS k FROM {rows}) WHERE w > 0),
+{name} AS (SELECT r.*, coalesce(n, 0) AS quota FROM {rows} r LEFT JOIN
+  (SELECT id, count(*) AS n FROM {name}_q WHERE place <= {seats} GROUP BY id) USING (id))"""
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+al AS (SELECT CAST(sum(size) AS BIGINT) AS t FROM d),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST({mixing.REPEATS} * source_size AS DOUBLE) AS room FROM s0),
+s2 AS (SELECT *, row_number() OVER o AS at_, coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_ FROM s1 WINDOW o AS (ORDER BY room / weight, source NULLS LAST)),
+s3 AS (SELECT s2.*, (CAST(t AS DOUBLE) - before) / CAST(left_ AS DOUBLE) AS level FROM s2, al),
+op AS (SELECT at_ AS open_at, level AS final FROM s3 WHERE level * weight <= room ORDER BY at_ LIMIT 1),
+tg AS (SELECT source, source_size, CASE WHEN at_ < open_at THEN room ELSE final * weight END AS target, at_ AS id, source AS tie FROM s3, op),
+{sainte_lague_sql("tg", "sq", "1", "target", "t", f"(SELECT t // {mixing.BLOCK} FROM al)", f"floor(source_size * {mixing.REPEATS} / {mixing.BLOCK})")},
+sh AS (SELECT d.*, CAST(('0x' || substr(key, 1, 8)) AS BIGINT) % (SELECT greatest(1, least({mixing.MOST_SHARDS}, t // {mixing.SHARD_WORDS})) FROM al) AS shard FROM d),
+p0 AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM sh GROUP BY source, shard),
+p1 AS (SELECT p0.*, row_number() OVER () AS id, shard AS tie, source_size, target, sq.quota AS source_quota FROM p0 JOIN sq ON p0.source IS NOT DISTINCT FROM sq.source),
+{sainte_lague_sql("p1", "pq", "source", "shard_size", "source_size", "source_quota", f"floor(shard_size * {mixing.REPEATS} / {mixing.BLOCK})")},
+ln AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sh),
+rs AS (SELECT ln.*, source_size, target, shard_size, quota * {mixing.BLOCK} AS words,
+         CASE WHEN shard_size > 0 THEN (quota * {mixing.BLOCK}) // shard_size ELSE 0 END AS rounds
+       FROM ln JOIN pq ON ln.source IS NOT DISTINCT FROM pq.source AND ln.shard = pq.shard)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(rounds * size + least(size, greatest(words - rounds * shard_size - before, 0)) AS BIGINT) AS taken FROM rs
+"""
+
+
+@register("op3_source_mix", OP3_SQL)
+def op3(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
