@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, hyperminhash, mixing, pii, quality, secrets
+from metricloom.llm import decontaminate, hyperminhash, mixing, pii, quality, secrets, urlfilter, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -111,3 +111,41 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 @register("op3_source_mix", OP3_SQL)
 def op3(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
+
+
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d FROM p),
+m AS (SELECT d, max(page_id) AS best FROM q WHERE n >= {warc.SMALL} GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, q.d AS payload_digest,
+       CASE WHEN n >= {warc.SMALL} AND page_id IS DISTINCT FROM best AND best IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {warc.SMALL} AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM q LEFT JOIN m ON q.d = m.d
+"""
+
+
+@register("op6_warc", OP6_SQL)
+def op6(spark, folder):
+    return warc.digest(warc.read(spark, warc.archive(table(spark, folder, "pages"))))
+
+
+def _terms_sql(terms) -> str:
+    return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" for t in terms)
+
+
+_RULES_SQL = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+_FITS_SQL = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in _RULES_SQL]
+OP9_SQL = rf"""
+WITH a AS (SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
+  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+b AS (SELECT *, CASE {' '.join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(_FITS_SQL, _RULES_SQL, strict=True))} END AS rule,
+  CASE {' '.join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(_FITS_SQL, _RULES_SQL, strict=True))} END AS ruled,
+  {_terms_sql(urlfilter.STRICT)} AS n_strict, {_terms_sql(urlfilter.SOFT)} AS n_soft FROM a)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN n_strict > 0 OR n_soft >= {urlfilter.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM b
+"""
+
+
+@register("op9_url_filter", OP9_SQL)
+def op9(spark, folder):
+    return urlfilter.judge(table(spark, folder, "pages"))
