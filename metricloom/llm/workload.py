@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, hyperminhash, mixing, pii, quality, secrets, urlfilter, warc
+from metricloom.llm import decontaminate, hyperminhash, mixing, pii, quality, secrets, toxicity, urlfilter, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -149,3 +149,8 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN n_strict > 0 OR n_so
 @register("op9_url_filter", OP9_SQL)
 def op9(spark, folder):
     return urlfilter.judge(table(spark, folder, "pages"))
+
+
+@register("op8_toxicity")
+def op8(spark, folder):
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
