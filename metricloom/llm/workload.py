@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, hyperminhash, mixing, pii, quality, secrets, toxicity, urlfilter, warc
+from metricloom.llm import decontaminate, hyperminhash, mixing, pii, quality, secrets, toxicity, transcript, urlfilter, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -154,3 +154,11 @@ def op9(spark, folder):
 @register("op8_toxicity")
 def op8(spark, folder):
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op7_transcripts")
+def op7(spark, folder):
+    lines = transcript.flatten(table(spark, folder, "conversations"))
+    span = transcript.PARTS * transcript.TURN_LINES
+    found = transcript.turns(transcript.decode(lines.select("conv_id", "line_no", "line"), transcript.learn(lines), span))
+    return found.select("conv_id", "turn_no", F.floor(F.col("first_line") / transcript.TURN_LINES).cast("long").alias("turn"), "role", "text", F.sha2("rendered", 256).alias("rendered_sha256"))
