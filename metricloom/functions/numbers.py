@@ -99,12 +99,6 @@ def complete_sum(c: Column) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
 
 
-def complete_sum_over(c: Column, window) -> Column:
-    return F.when(
-        F.count(c).over(window) == F.count(F.lit(1)).over(window), F.sum(c).over(window)
-    )
-
-
 def same_value(a: Column, b: Column) -> Column:
     """Equality for reporting: relative or absolute difference within 1e-12."""
     near = F.abs(a - b) <= F.greatest(

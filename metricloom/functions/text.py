@@ -28,21 +28,3 @@ def compact_identifier(c: Column) -> Column:
 def header_key(c: Column) -> Column:
     """Identity of a header cell: as an identifier, percent signs ignored."""
     return F.regexp_replace(compact_identifier(c), "[%％]", "")
-
-
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(clean_text(c), F.lit(""))
-
-
-def starts_with_any(c: Column, words) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | c.startswith(word)
-    return hit
-
-
-def contains_any(c: Column, words) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | c.contains(word)
-    return hit

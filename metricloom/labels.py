@@ -37,18 +37,35 @@ REPORTS = (
     ("首销期订单节奏", "launch_rhythm"),
 )
 
+# The order report by module name and by keyword.
+ORDER_REPORTS = ("order_mix", "大定选配比例")
+
 # Primary quantity used to weight ratios, by the word found in the report name.
-PRIMARY_BY_REPORT = (("锁单", "交车锁单"), ("小订", "小订"), ("大定", "大定"))
+PRIMARY_BY_REPORT = (
+    ("锁单", "交车锁单"), ("小订", "小订"), ("大定", "大定"), ("lock_mix", "交车锁单"), ("small_order_mix", "小订"), ("order_mix", "大定"),
+)
 
 # Labels that mark a field as an addable quantity.
 QUANTITY_LABELS = ("数量", "订单量", "订单数", "单量", "累计锁单")
 
+# Words that mark a field as a ratio, an average or a duration, which can't be added.
+RATIO_WORDS = ("占比", "比例", "率", "平均", "均价", "时长", "天数", "（天）", "(天)")
+
 # Block titles that hold counts in side-by-side layouts.
 COUNT_BLOCKS = ("累计锁单", "锁单数量", "订单数量")
 
 # Words that mark a period as a summary page.
 SUMMARY_MARKERS = ("近", "汇总", "累计", "总计")
 
+# Period label of figures over all periods of a subject.
+ALL_PERIODS = "all"
+
+# Words of summary labels: totals, "the last", its units, and measures that may follow a total.
+TOTAL_WORDS = ("总计", "合计", "汇总", "累计")
+RECENT_WORD = "近"
+DAY_WORDS = ("天", "日", "周", "月")
+MEASURE_WORDS = ("占比", "比例", "数量")
+
 # Amount bands in business order.
 FREE_BAND = "免费"
 BAND_ORDER = (
@@ -59,6 +76,16 @@ BAND_ORDER = (
 # Grain words used in sheet names.
 GRAINS = {"时": "hour", "天": "day", "周": "week", "月": "month"}
 
+# Words in sheet names: charts, net measures before the grain, kinds of analysis at the end.
+CHART_WORD = "图表"
+NET_MEASURES = ("净大定", "净小订")
+SHEET_KINDS = ("SKU", "组合", "日度退订", "选配退订", "小订分时退订", "选配渗透率排名", "付费选配占比", "选配渗透率")
+
+# Words in names of generations: several models together, trims, and short forms.
+COMBINED_WORDS = ("总计", "汇总")
+TRIM_WORDS = ("增程", "纯电", "智驾版", "标准版")
+SHORT_WORDS = {"Ultimate": "U", "典藏大观": "大观"}
+
 # Declared coverage cells.
 COVERAGE_STARTS = ("数据开始日期", "统计开始日期", "导出开始日期", "数据起始日期", "统计起始日期")
 COVERAGE_ENDS = (
@@ -104,7 +131,6 @@ LAUNCH_ORDERS = ("当日大定数量",)
 LAUNCH_RETAINED = ("当日留存大定数量", "当日净大定数量")
 LAUNCH_SMALL = ("当日小订转大定数量",)
 LAUNCH_DIRECT = ("当日直接大定数量",)
-LAUNCH_LOCK = ("当日交车锁单数量",)
 LAUNCH_CUM_DIRECT = "累计直接大定数量"
 LAUNCH_CUM_GROSS = ("累计总大定数量", "累计大定数量")
 LAUNCH_CUM_SMALL = ("累计小订转大定数量", "累计小订转大数量")

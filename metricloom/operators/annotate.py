@@ -4,15 +4,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import annotation_key, chart_period_key
+from .lineage import cut_lineage
+from .ordered import union_all
 
-MAX_DEPTH = 8
-
-
-def ancestors(subjects: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(subjects: DataFrame) -> DataFrame:
     """(id, ancestor) pairs, the subject itself included; parents named by id or by name.
 
-    One hop is a lookup table (child id, parent id); hops are joined up to the depth of the
-    tree, with DISTINCT so that a cyclic parent chain ends.
+    One hop is a lookup table (child id, parent id). Hops are joined until no new pair appears,
+    which is the depth of the tree, or the length of a cycle of parents.
     """
     by_id = subjects.select(F.col("id").alias("_ref"), F.col("id").alias("parent_id"), F.lit(1).alias("_by"))
     by_name = subjects.select(F.col("name").alias("_ref"), F.col("id").alias("parent_id"), F.lit(2).alias("_by"))
@@ -21,21 +20,23 @@ def ancestors(subjects: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     reached = subjects.select("id", F.col("id").alias("ancestor"))
     frontier = reached
     closure = reached
-    for _ in range(depth):
-        step = hop.select(F.col("id").alias("ancestor"), "parent_id")
-        frontier = frontier.join(step, "ancestor").select("id", F.col("parent_id").alias("ancestor"))
+    step = cut_lineage(hop.select(F.col("id").alias("ancestor"), "parent_id"))
+    while True:
+        reached = frontier.join(step, "ancestor").select("id", F.col("parent_id").alias("ancestor")).distinct()
+        frontier = cut_lineage(reached.join(closure, ["id", "ancestor"], "left_anti"))
+        if frontier.isEmpty():
+            return closure
         closure = closure.unionByName(frontier)
-    return closure.distinct()
 
 
-def annotation_scope(subjects: DataFrame, depth: int = 3) -> DataFrame:
+def annotation_scope(subjects: DataFrame) -> DataFrame:
     """Scopes whose notes a subject shows: '*', itself and its ancestors.
 
     Notes on a group are shown everywhere; ``annotations_for`` files them under '*', so no
     product of subjects and groups is needed.
     """
     everyone = subjects.select("id", F.lit("*").alias("scope"))
-    tree = ancestors(subjects, depth).select("id", F.col("ancestor").alias("scope"))
+    tree = ancestors(subjects).select("id", F.col("ancestor").alias("scope"))
     return everyone.unionByName(tree).distinct()
 
 
@@ -46,15 +47,15 @@ def _filed(notes: DataFrame, subjects: DataFrame) -> DataFrame:
     )
 
 
-def annotations_for(notes: DataFrame, subjects: DataFrame, depth: int = 3) -> DataFrame:
+def annotations_for(notes: DataFrame, subjects: DataFrame) -> DataFrame:
     """Notes next to every subject that shows them."""
-    scope = annotation_scope(subjects, depth).withColumnRenamed("id", "subject_id")
+    scope = annotation_scope(subjects).withColumnRenamed("id", "subject_id")
     return _filed(notes, subjects).join(scope, "scope").select(
         "subject_id", F.col("id").alias("note_id"), "date", "subject", "text"
     )
 
 
-def annotate_subject_periods(notes: DataFrame, subjects: DataFrame, periods: DataFrame, grain: str, depth: int = 3) -> DataFrame:
+def annotate_subject_periods(notes: DataFrame, subjects: DataFrame, periods: DataFrame, grain: str) -> DataFrame:
     """First note and number of further notes of every (subject_id, period).
 
     Notes are reduced to one row per scope and period key before they meet the subjects, so
@@ -63,7 +64,7 @@ def annotate_subject_periods(notes: DataFrame, subjects: DataFrame, periods: Dat
     keyed = _filed(notes, subjects).withColumn("_key", annotation_key(F.col("date"), grain)).filter("_key is not null")
     first = F.struct("date", "text", F.col("id").alias("note_id"))
     reduced = keyed.groupBy("scope", "_key").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    scope = annotation_scope(subjects, depth).withColumnRenamed("id", "subject_id")
+    scope = annotation_scope(subjects).withColumnRenamed("id", "subject_id")
     found = reduced.join(scope, "scope").groupBy("subject_id", "_key").agg(
         F.min("_first").alias("_first"), (F.sum("_n") - 1).alias("more")
     )
@@ -99,38 +100,42 @@ def note_problem(date: Column, subject: Column, text: Column) -> Column:
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, subjects: DataFrame):
-    """Apply add / update / delete to versioned notes.
+    """Apply add / update / delete to versioned notes in the order of ``ord``.
 
-    The first change per id counts, later ones of the same batch are stale (they cannot know
-    the version the first one makes). Returns (new state, one status row per change).
+    Every change meets the state that the accepted ones before it left, so a later change of
+    the same note counts when the first failed or when it expects the version the first made.
+    One round accepts the first acceptable change of every note, by an aggregate and a join and
+    without gathering a note's changes; there are as many rounds as a note has accepted changes.
+    Returns (new state, one status row per change).
     """
     allowed = subjects.select(F.col("id").alias("subject"), F.lit(True).alias("_ok"))
-    # An aggregate and a join instead of a numbering: one note may have very many changes.
-    first = changes.groupBy("id").agg(F.min("ord").alias("_first"))
-    ranked = changes.join(first, "id").withColumn("_late", F.col("ord") > F.col("_first"))
-    held = current.select("id", F.col("version").alias("_version"), F.col("date").alias("_date"), F.col("subject").alias("_subject"), F.col("text").alias("_text"))
-    judged = ranked.join(held, "id", "left").join(allowed, "subject", "left")
     bad = note_problem(F.col("date"), F.col("subject"), F.col("text")).isNotNull() | (F.col("_ok").isNull() & (F.col("subject") != "*"))
     adds = F.col("action") == "add"
-    status = (
-        F.when(adds & F.col("_version").isNotNull(), 409)
-        .when(~adds & F.col("_version").isNull(), 404)
-        .when(F.col("_late"), 409)
-        .when(~adds & (F.col("expected_version") != F.col("_version")), 409)
-        .when((F.col("action") != "delete") & bad, 422)
-        .otherwise(200)
-    )
-    audit = judged.withColumn("status", status)
-    accepted = audit.filter("status = 200").select(
-        "id", "action", F.col("date").alias("n_date"), F.col("subject").alias("n_subject"), F.trim("text").alias("n_text")
-    )
-    joined = current.join(accepted, "id", "full")
-    edited = F.col("action").isin("add", "update")
-    state = joined.filter("action is null or action <> 'delete'").select(
-        "id",
-        F.when(edited, F.col("n_date")).otherwise(F.col("date")).alias("date"),
-        F.when(edited, F.col("n_subject")).otherwise(F.col("subject")).alias("subject"),
-        F.when(edited, F.col("n_text")).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("action") == "add", 1).when(F.col("action") == "update", F.col("version") + 1).otherwise(F.col("version")).alias("version"),
-    )
-    return state, audit.select("id", "ord", "action", "status", F.when(F.col("status") == 200, F.coalesce(F.col("_version"), F.lit(0)) + 1).alias("new_version"))
+    wrong = (F.col("action") != "delete") & bad
+    left = changes.join(allowed, "subject", "left").withColumn("_wrong", F.coalesce(wrong, F.lit(False)))
+    left = cut_lineage(left.select("id", "ord", "action", "expected_version", "date", "subject", F.trim("text").alias("text"), "_wrong"))
+    state, judged = current.select("id", "date", "subject", "text", "version"), []
+    while not left.isEmpty():
+        held = state.select("id", F.col("version").alias("_version"))
+        there = F.col("_version").isNotNull()
+        status = (
+            F.when(adds & there, 409).when(~adds & ~there, 404)
+            .when(~adds & ~F.coalesce(F.col("expected_version") == F.col("_version"), F.lit(False)), 409)
+            .when(F.col("_wrong"), 422).otherwise(200)
+        )
+        seen = left.join(held, "id", "left").withColumn("status", status)
+        first = seen.filter("status = 200").groupBy("id").agg(F.min("ord").alias("_first"))
+        reached = cut_lineage(seen.join(first, "id", "left"))
+        # Up to and with the accepted change the verdicts are final; what follows meets the new state.
+        final = reached.filter("_first is null or ord <= _first")
+        made = F.when(F.col("status") == 200, F.coalesce("_version", F.lit(0)) + 1)
+        judged.append(final.select("id", "ord", "action", "status", made.alias("new_version")))
+        accepted = final.filter("status = 200").select(
+            "id", "action", F.col("date").alias("n_date"), F.col("subject").alias("n_subject"), F.col("text").alias("n_text"), made.alias("n_version")
+        )
+        joined = state.join(accepted, "id", "full").filter("action is null or action <> 'delete'")
+        edited = F.col("action").isNotNull()
+        state = cut_lineage(joined.select("id", *[F.when(edited, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("date", "subject", "text", "version")]))
+        left = reached.filter("ord > _first").drop("_version", "_first", "status")
+    audit = union_all(judged) if judged else changes.limit(0).select("id", "ord", "action", F.lit(0).alias("status"), F.lit(0).alias("new_version"))
+    return state, audit

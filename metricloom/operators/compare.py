@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import observed, relative_change
 from ..functions.periods import is_summary_period, period_order, period_start
 from ..functions.names import first_number
-from ..labels import BATTERY
+from ..labels import ALL_PERIODS, BATTERY
 from .ordered import previous_period
 
 
@@ -45,7 +45,7 @@ def kpi_comparison(kpis: DataFrame, part=("module", "subject", "grain", "label")
     # windows share one partitioning, and a page holds a handful of labels.
     pages = Window.partitionBy(*page).orderBy("period_start", "period")
     labels = Window.partitionBy(*page, "label").orderBy("_page")
-    numbered = kpis.withColumn("_summary", is_summary_period(F.col("period"))).withColumn("_page", F.dense_rank().over(pages))
+    numbered = kpis.withColumn("_summary", is_summary_period(F.col("period")) | (F.col("period") == ALL_PERIODS)).withColumn("_page", F.dense_rank().over(pages))
     adjoining = ~F.col("_summary") & (F.lag("_page").over(labels) == F.col("_page") - 1)
     before = numbered.withColumn("_prev", F.when(adjoining, F.lag("value").over(labels)))
     return before.select(*kpis.columns, comparison(F.col("value"), F.col("_prev")).alias("comparison"))
@@ -86,7 +86,7 @@ def empty_rise_reason(df: DataFrame, part) -> DataFrame:
     )
 
 
-def structure_change(df: DataFrame, part=("subject", "grain")) -> DataFrame:
+def structure_change(df: DataFrame, part=("report", "subject", "grain")) -> DataFrame:
     """Share change per label against the previous page; a label new on the page has change 0."""
     part = list(part)
     steps = previous_period(df, part).select(*part, "period", "prev_period")
@@ -96,7 +96,7 @@ def structure_change(df: DataFrame, part=("subject", "grain")) -> DataFrame:
     return joined.select(*df.columns, prior.alias("previous"), (F.col("share") - prior).alias("change"))
 
 
-def structure_rank(df: DataFrame, part=("subject", "grain", "period", "metric")) -> DataFrame:
+def structure_rank(df: DataFrame, part=("report", "subject", "grain", "period", "metric")) -> DataFrame:
     """Rank inside a dimension: share descending, battery dimensions by capacity ascending."""
     battery = F.col("metric").contains(BATTERY)
     key = F.when(battery, first_number(F.col("category")).cast("double")).otherwise(-F.col("share"))
@@ -104,7 +104,7 @@ def structure_rank(df: DataFrame, part=("subject", "grain", "period", "metric"))
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def battery_history(df: DataFrame, part=("subject", "grain")) -> DataFrame:
+def battery_history(df: DataFrame, part=("report", "subject", "grain")) -> DataFrame:
     """Every battery label at every period (absent = 0) with its relative change."""
     part = list(part)
     rows = df.filter(F.col("metric") == BATTERY)
@@ -120,7 +120,7 @@ def battery_history(df: DataFrame, part=("subject", "grain")) -> DataFrame:
     )
 
 
-def change_top(df: DataFrame, n: int = 18, part=("subject", "grain", "period")) -> DataFrame:
+def change_top(df: DataFrame, n: int = 18, part=("report", "subject", "grain", "period")) -> DataFrame:
     w = Window.partitionBy(*part).orderBy(F.desc(F.abs("change")), "ord")
     return df.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
 
@@ -139,17 +139,6 @@ def last_known(df: DataFrame, names, part, order="step_ord", metric="metric", va
     return df.groupBy(*part).agg(F.coalesce(*found).alias("value"))
 
 
-def pivot_periods(df: DataFrame, rows, period: str, value: str, periods) -> DataFrame:
-    """Wide report layout for a known list of periods."""
-    return df.groupBy(*rows).pivot(period, list(periods)).agg(F.first(value))
-
-
-def natural_order(df: DataFrame, period: str = "period") -> DataFrame:
-    """Report order at a sink: summaries last, digits as numbers."""
-    key = period_order(F.col(period))
-    return df.orderBy(key["summary"], F.coalesce(period_start(F.col(period)).cast("string"), key["natural"]))
-
-
 def subject_order(subjects: DataFrame, brand_order: DataFrame) -> DataFrame:
     """Group first, then brands in business order, then generations by brand and name."""
     rank = F.create_map(F.lit("group"), F.lit(0), F.lit("brand"), F.lit(1), F.lit("generation"), F.lit(2))

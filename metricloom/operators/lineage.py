@@ -1,5 +1,6 @@
 """Cutting the lineage of a table that several later steps read."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -8,11 +9,15 @@ from pyspark.sql import DataFrame
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and continue from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a
-    new temporary one is used. The files outlive lost executors.
+    The folder is the session's ``spark.checkpoint.dir``. A local session without one gets a new
+    temporary folder; a cluster session is refused, as its machines share no such folder. The
+    files outlive lost executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

@@ -11,6 +11,8 @@ Priority is one number per piece (file order, then row order), which keeps the a
 buffers fixed-width and the aggregation hash-based instead of sort-based.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,13 @@ from ..functions.periods import is_summary_period, period_key
 from ..functions.text import clean_text
 from ..labels import (
     ACTIVE_STORES_OLD, CHANNEL, COUNT_BLOCKS, PRIMARY_BY_REPORT, QTY, QUANTITY_LABELS,
-    RETAINED, RETAINED_OLD, SHARE, STORES,
+    RATIO_WORDS, RETAINED, RETAINED_OLD, SHARE, STORES,
 )
 from .coverage import with_side
 from .lineage import cut_lineage
 
 OBS_KEYS = ["report", "subject", "grain", "metric", "stat", "category", "period"]
-_NOT_ADDABLE = r"占比|比例|率|平均|均价|时长|天数|（天）|\(天\)"
+_NOT_ADDABLE = "|".join(re.escape(word) for word in RATIO_WORDS)
 
 
 def is_store_field(metric="metric", stat="stat") -> Column:

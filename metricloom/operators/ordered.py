@@ -140,13 +140,5 @@ def previous_period(periods: DataFrame, part, period: str = "period", order: str
     return unique.withColumn("prev_period", F.lag(period).over(w))
 
 
-def densify(df: DataFrame, part, series, period_cols, values, zero: bool = False) -> DataFrame:
-    """Every series of a key at every period of that key; missing values NULL or 0."""
-    part, series, period_cols = list(part), list(series), list(period_cols)
-    grid = df.select(*part, *series).distinct().join(df.select(*part, *period_cols).distinct(), part)
-    full = grid.join(df.select(*part, *series, *period_cols, *values), part + series + period_cols, "left")
-    return full.fillna(0, subset=list(values)) if zero else full
-
-
 def union_all(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

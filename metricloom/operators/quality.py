@@ -142,7 +142,3 @@ def import_health(statuses: DataFrame) -> DataFrame:
         F.countDistinct("file").alias("files"),
         F.coalesce(F.sum(F.when(unmatched, F.col("numeric"))), F.lit(0)).alias("unmatched_numeric"),
     )
-
-
-def valid_subjects(names: DataFrame, name: str = "name", rules: NamingRules = DEFAULT_RULES) -> DataFrame:
-    return names.filter(is_subject(F.col(name), rules) & ~is_combined_generation(F.col(name)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import complete_sum, observed, observed_rate
 from ..functions.periods import is_summary_period
 from ..functions.text import compact_text
-from ..labels import ACTIVE_STORES_OLD, CHANNEL, QTY, SHARE, STORES
+from ..labels import ACTIVE_STORES_OLD, CHANNEL, ORDER_REPORTS, QTY, SHARE, STORES
 from ..operators.compare import series_change
 from ..operators.merge import priority
 
@@ -14,6 +14,11 @@ _PAGE = ["subject", "grain", "period", "period_start"]
 _NOT_CHANNELS = ("数量", "总计", "合计", "汇总")
 
 
+def _order_report():
+    """Channels are read from the order report; a lock report has channel rows of its own."""
+    return F.col("report").isin(*ORDER_REPORTS)
+
+
 def effective_store_counts(subjects: DataFrame, counts: DataFrame, overrides: DataFrame, group: str) -> DataFrame:
     """Stores per subject and channel: brand table, then the brand's override, then its own.
 
@@ -41,7 +46,7 @@ def effective_store_counts(subjects: DataFrame, counts: DataFrame, overrides: Da
 
 def channel_universe(obs: DataFrame) -> DataFrame:
     """Channels are the categories of the channel block, in source order; old rows add none."""
-    rows = obs.filter((F.col("metric") == CHANNEL) & F.col("stat").isin(QTY, SHARE, STORES))
+    rows = obs.filter(_order_report() & (F.col("metric") == CHANNEL) & F.col("stat").isin(QTY, SHARE, STORES))
     named = rows.filter(~F.col("category").isin(*_NOT_CHANNELS) & (F.col("category") != ""))
     return named.groupBy("subject", "grain", F.col("category").alias("channel")).agg(F.min("row_ord").alias("ord"))
 
@@ -52,7 +57,7 @@ def channel_values(obs: DataFrame) -> DataFrame:
     One aggregate over the observations; the dense grid is built from its small result. The
     new active-store layout wins wherever it has a physical cell, blank included.
     """
-    detail = obs.filter(~is_summary_period(F.col("period"), "channel"))
+    detail = obs.filter(_order_report() & ~is_summary_period(F.col("period"), "channel"))
     in_block = (F.col("metric") == CHANNEL) & F.col("stat").isin(QTY, SHARE, STORES)
     new = (F.col("metric") == CHANNEL) & (F.col("stat") == STORES)
     old = (F.col("metric") == ACTIVE_STORES_OLD) & (F.col("stat") == QTY)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import union_all
 from ..functions.numbers import complete_sum, finite, observed, observed_rate, safe_rate
 from ..labels import (
     LAUNCH_CUM_DIRECT, LAUNCH_CUM_GROSS, LAUNCH_CUM_LOCK, LAUNCH_CUM_SHARE, LAUNCH_CUM_SMALL,
@@ -131,21 +132,16 @@ def metric_matrix(obs: DataFrame, steps: DataFrame) -> DataFrame:
 def pair_hourly(phases: DataFrame, hourly: DataFrame) -> DataFrame:
     """Hourly sheet of a phase: by campaign if named, else by phase number, else the only one.
 
-    phases, hourly: subject, campaign ('' if none), phase (NULL if none), sheet.
+    phases, hourly: subject, campaign ('' if none), phase (NULL if none), sheet. Each way of
+    matching is a join by equality, on the first sheet of its key.
     """
-    only = phases.groupBy("subject").agg(F.count(F.lit(1)).alias("_phases"))
-    left = phases.join(only, "subject")
-    right = hourly.select(
-        "subject", F.col("campaign").alias("_hc"), F.col("phase").alias("_hp"), F.col("sheet").alias("hourly_sheet"), "ord"
-    )
-    by_campaign = F.col("campaign") != ""
-    match = (
-        F.when(by_campaign, F.col("_hc") == F.col("campaign"))
-        .when(F.col("phase").isNotNull(), F.col("_hp") == F.col("phase"))
-        .otherwise(F.col("_phases") == 1)
-    )
-    found = left.join(right, "subject").filter(match)
-    return found.groupBy("subject", "campaign", "phase", "sheet").agg(F.min_by("hourly_sheet", "ord").alias("hourly_sheet"))
+    first = F.min_by("sheet", "ord").alias("hourly_sheet")
+    key = ["subject", "campaign", "phase", "sheet"]
+    named = phases.filter("campaign <> ''").join(hourly.groupBy("subject", "campaign").agg(first), ["subject", "campaign"])
+    counted = phases.filter("campaign = '' and phase is not null").join(hourly.groupBy("subject", "phase").agg(first), ["subject", "phase"])
+    alone = phases.groupBy("subject").agg(F.count(F.lit(1)).alias("_phases")).filter("_phases = 1").select("subject")
+    single = phases.filter("campaign = '' and phase is null").join(alone, "subject").join(hourly.groupBy("subject").agg(first), "subject")
+    return union_all([x.select(*key, "hourly_sheet") for x in (named, counted, single)])
 
 
 def hourly_profile_input(hourly: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.periods import period_start
+from ..labels import ALL_PERIODS
 from ..operators.compare import kpi_comparison, structure_change
 from ..operators.ordered import union_all
 from ..sources.reports import publish
@@ -25,24 +27,32 @@ class Analysis:
     build: Callable[..., DataFrame]
 
 
-def figures(df: DataFrame, module: str, values: dict, subject="subject", grain="", period="") -> DataFrame:
-    """Wide key figures as long rows; grain and period are column names or fixed texts."""
+def dated(df: DataFrame) -> DataFrame:
+    """Adds the first day that the period's label names; figures compare in that order."""
+    return df.withColumn("period_start", period_start(F.col("period")))
+
+
+def figures(df: DataFrame, module: str, values: dict, subject="subject", grain="", period="", start="") -> DataFrame:
+    """Wide key figures as long rows; grain and period are column names or fixed texts. ``start`` is
+    the column that orders periods whose labels name no day."""
     def text(name):
         return F.col(name) if name in df.columns else F.lit(name)
     rows = F.array(*[F.struct(F.lit(label).alias("label"), c.cast("double").alias("value")) for label, c in values.items()])
-    return df.select(
+    long = df.select(
         F.lit(module).alias("module"), F.col(subject).alias("subject"), text(grain).alias("grain"), text(period).alias("period"),
-        F.explode(rows).alias("x"),
-    ).select("module", "subject", "grain", "period", "x.label", "x.value")
+        *([F.col(start).alias("period_start")] if start else []), F.explode(rows).alias("x"),
+    )
+    shown = long.select("module", "subject", "grain", "period", "x.label", "x.value", *(["period_start"] if start else []))
+    return shown if start else dated(shown)
 
 
 def overview_figures(observations: DataFrame) -> DataFrame:
-    return overview.overview_kpis(overview.overview_base(observations)).select(*COLUMNS)
+    return dated(overview.overview_kpis(overview.overview_base(observations)).select(*COLUMNS))
 
 
 def channel_figures(channel_observations: DataFrame, stores: DataFrame) -> DataFrame:
     _, totals = channel.channel_panel(channel_observations, stores)
-    return channel.channel_kpis(totals).select(*COLUMNS)
+    return dated(channel.channel_kpis(totals).select(*COLUMNS))
 
 
 def mix_figures(mix_observations: DataFrame) -> DataFrame:
@@ -62,12 +72,14 @@ def conversion_figures(cohorts: DataFrame) -> DataFrame:
 def cancellation_figures(rhythm: DataFrame) -> DataFrame:
     """rhythm: subject, campaign, day, orders, cancel."""
     totals = cancellation.campaign_totals(cancellation.rhythm_rates(rhythm))
-    both = totals.select("subject", F.col("campaign").alias("period"), "orders", "retained", "cancel", "retention_rate").unionByName(
-        cancellation.combined_totals(totals).select("subject", F.lit("all").alias("period"), "orders", "retained", "cancel", "retention_rate")
-    )
+    values = ["orders", "retained", "cancel", "retention_rate"]
+    starts = rhythm.groupBy("subject", "campaign").agg(F.min("day").alias("period_start"))
+    pages = totals.join(starts, ["subject", "campaign"]).select("subject", F.col("campaign").alias("period"), "period_start", *values)
+    whole = cancellation.combined_totals(totals).select("subject", F.lit(ALL_PERIODS).alias("period"), F.lit(None).cast("date").alias("period_start"), *values)
+    both = pages.withColumn("period_start", F.col("period_start").cast("date")).unionByName(whole)
     return figures(both, "cancellation", {
         "orders": F.col("orders"), "retained": F.col("retained"), "cancel": F.col("cancel"), "retention": F.col("retention_rate") * 100,
-    }, grain="day", period="period")
+    }, grain="day", period="period", start="period_start")
 
 
 def launch_figures(launch_observations: DataFrame) -> DataFrame:
@@ -128,5 +140,5 @@ def build_all(tables: dict, names=None) -> DataFrame:
 
 def run_batch(tables: dict, root: str, batch_id: str, manifest: DataFrame = None, code_version: str = "") -> None:
     """Compute, compare and publish one batch; a failed job leaves the current batch in place."""
-    compared = kpi_comparison(build_all(tables).withColumn("period_start", F.col("period")))
+    compared = kpi_comparison(build_all(tables))
     publish(compared.drop("period_start"), root, batch_id, manifest, code_version)

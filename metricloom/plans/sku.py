@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.compare import comparison
-from ..operators.ordered import previous_period
 
 _PAGE = ["subject", "period"]
 
@@ -14,6 +13,19 @@ def align_periods(share: DataFrame, topk: DataFrame) -> DataFrame:
     return share.select(*_PAGE).unionByName(topk.select(*_PAGE)).distinct()
 
 
+def complete_counts(share: DataFrame, topk: DataFrame, limit: float = 0.05) -> DataFrame:
+    """Active and long-tail SKUs of every page without the grid of SKUs and periods: a page is
+    complete when as many SKUs have a known share on it as the subject has at all."""
+    codes = share.groupBy("subject").agg(F.countDistinct("code").alias("_codes"))
+    pages = share.groupBy(*_PAGE).agg(
+        F.countDistinct(F.when(F.col("share").isNotNull(), F.col("code"))).alias("_known"),
+        F.count_if(F.col("share") > 0).alias("active"), F.count_if((F.col("share") > 0) & (F.col("share") <= limit)).alias("tail"),
+    )
+    whole = F.col("_known") == F.col("_codes")
+    counted = pages.join(codes, "subject").select(*_PAGE, F.when(whole, F.col("active")).alias("active"), F.when(whole, F.col("tail")).alias("tail"))
+    return align_periods(share, topk).join(counted, _PAGE, "left")
+
+
 def align_sku(share: DataFrame, topk: DataFrame) -> DataFrame:
     """Every SKU at every period of the subject; periods the share block lacks are unknown."""
     codes = share.select("subject", "code", "ord").groupBy("subject", "code").agg(F.min("ord").alias("ord"))
@@ -61,20 +73,24 @@ def coverage_rank(topk: DataFrame, level: float = 0.8) -> DataFrame:
 
 
 def sku_kpis(share: DataFrame, topk: DataFrame) -> DataFrame:
-    periods = align_periods(share, topk)
+    """Key figures of every page; ``period_start`` of either block is carried along."""
+    starts = [b.select(*_PAGE, "period_start") for b in (share, topk) if "period_start" in b.columns]
+    pages = complete_counts(share, topk).drop("tail")
+    if starts:
+        dated = starts[0] if len(starts) == 1 else starts[0].unionByName(starts[1])
+        pages = pages.join(dated.groupBy(*_PAGE).agg(F.min("period_start").alias("period_start")), _PAGE, "left")
     return (
-        periods.join(active_sku(align_sku(share, topk)), _PAGE, "left")
+        pages
         .join(topk_share(topk), _PAGE, "left")
         .join(coverage_rank(topk), _PAGE, "left")
     )
 
 
 def sku_comparison(kpis: DataFrame) -> DataFrame:
-    """Each figure against the sheet's previous period."""
-    steps = previous_period(kpis, ["subject"], "period", "period").select("subject", "period", "prev_period")
+    """Each figure against the sheet's previous period; ``period_start`` orders the pages."""
     names = ["active", "top3", "top5", "needed"]
-    before = kpis.select("subject", F.col("period").alias("prev_period"), *[F.col(n).alias(f"_{n}") for n in names])
-    joined = kpis.join(steps, _PAGE).join(before, ["subject", "prev_period"], "left")
+    w = Window.partitionBy("subject").orderBy("period_start")
+    joined = kpis.select("*", *[F.lag(n).over(w).alias(f"_{n}") for n in names])
     rows = [
         F.struct(F.lit(n).alias("label"), F.col(n).cast("double").alias("value"),
                  comparison(F.col(n).cast("double"), F.col(f"_{n}").cast("double")).alias("comparison"))
@@ -89,11 +105,6 @@ def sku_rank(aligned: DataFrame) -> DataFrame:
     return aligned.withColumn("rank", F.row_number().over(w)).filter("share is not null")
 
 
-def latest_page(df: DataFrame) -> DataFrame:
-    last = df.groupBy("subject").agg(F.max("period").alias("period"))
-    return df.join(last, _PAGE, "left_semi")
-
-
 def topk_matrix(topk: DataFrame) -> DataFrame:
     """Rank x period, dense: a rank without a value at a period is unknown."""
     ranks = topk.select("subject", "rank", "label").distinct()
@@ -103,14 +114,12 @@ def topk_matrix(topk: DataFrame) -> DataFrame:
     ).select(*_PAGE, "rank", "label", "share")
 
 
-def cumulative_topk(share: DataFrame, k: int = 200) -> DataFrame:
-    """The top-k block itself from SKU shares: cumulative share by rank, first k ranks.
-
-    The rank filter sits directly on row_number, so each map task keeps k rows per page.
-    """
+def cumulative_topk(share: DataFrame) -> DataFrame:
+    """The top-k block itself from SKU shares: cumulative share by rank, for every rank."""
     w = Window.partitionBy(*_PAGE).orderBy(F.desc("share"), "ord")
-    top = share.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = share.withColumn("rank", F.row_number().over(w))
     running = Window.partitionBy(*_PAGE).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    kept = [c for c in ("period_start",) if c in share.columns]
     return top.select(
-        *_PAGE, F.concat(F.lit("TOP"), "rank").alias("label"), "rank", F.sum("share").over(running).alias("share")
+        *_PAGE, *kept, F.concat(F.lit("TOP"), "rank").alias("label"), "rank", F.sum("share").over(running).alias("share")
     )

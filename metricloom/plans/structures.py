@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..labels import QTY, SHARE
 
-PAGE = ("subject", "grain", "period")
+PAGE = ("report", "subject", "grain", "period")
 
 
 def structures(obs: DataFrame) -> DataFrame:

@@ -54,6 +54,10 @@ def _matches(df: DataFrame, query: str, columns=None) -> Column:
     return F.exists(texts, lambda t: t.contains(needle)) if needle else F.lit(True)
 
 
+#: Largest page that may be asked for.
+MOST_PAGE_ROWS = 500
+
+
 def search_rows(df: DataFrame, query: str, columns=None) -> DataFrame:
     """Every row in which any column contains the text, case-insensitively."""
     return df.filter(_matches(df, query, columns))
@@ -61,8 +65,9 @@ def search_rows(df: DataFrame, query: str, columns=None) -> DataFrame:
 
 def search_page(df: DataFrame, query: str, order: str, offset: int = 0, limit: int = 50, columns=None) -> DataFrame:
     """One page of the matching rows; the sort keeps only offset+limit rows per task."""
-    limit = max(1, min(int(limit), 500))
-    return search_rows(df, query, columns).orderBy(order).offset(max(0, int(offset))).limit(limit)
+    if not 1 <= limit <= MOST_PAGE_ROWS or offset < 0:
+        raise ValueError(f"a page has 1 to {MOST_PAGE_ROWS} rows and starts at 0 or later")
+    return search_rows(df, query, columns).orderBy(order).offset(offset).limit(limit)
 
 
 def search_total(df: DataFrame, query: str, columns=None) -> DataFrame:

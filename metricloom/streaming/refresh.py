@@ -50,7 +50,3 @@ def latest_results(spark: SparkSession, output: str) -> DataFrame:
     rows = spark.read.parquet(output)
     newest = rows.groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
     return rows.join(newest, KEYS + ["batch_id"], "left_semi").drop("batch_id")
-
-
-def boundary_periods(keys: DataFrame) -> DataFrame:
-    return keys.filter(iso_week(F.col("period"))["boundary"].isNotNull())

@@ -187,9 +187,9 @@ def d37(spark, sf):
 
 @register("k_overview", query("ob", (
     "SELECT subject, grain, period, label, value, CASE WHEN p <> 0 THEN " + r6("(value - p) / abs(p)") + " END AS rate FROM "
-    "(SELECT *, lag(value) OVER (PARTITION BY subject, grain, label ORDER BY period_start) AS p FROM k) WHERE subject = 'ALL'"), _KPI))
+    "(SELECT *, lag(value) OVER (PARTITION BY subject, grain, label ORDER BY period_start) AS p FROM k)"), _KPI))
 def k_overview(spark, sf):
-    base = overview.overview_base(T.observations(spark, sf)).filter(F.col("subject") == T.GROUP)
+    base = overview.overview_base(T.observations(spark, sf))
     compared = compare.kpi_comparison(overview.overview_kpis(base))
     return out(compared.select(*_PAGE, "label", "value", "comparison.rate"), *_PAGE, "label", "value", "rate")
 
@@ -415,7 +415,7 @@ def d08(spark, sf):
 
 def _rhythm(spark, sf):
     days = _campaign_days(spark, sf)
-    hourly = cancellation.hourly_to_day(T.retreat_hourly(spark, sf))
+    hourly = cancellation.hourly_to_day(T.retreat_hourly(spark, sf, "2024-01-15"))
     rhythm = cancellation.small_order_rhythm(days.select("subject", "day", "orders"), hourly, T.retreat_days(spark, sf).select("subject", "day", "cancel"))
     return rhythm.join(days.select("subject", "day", "campaign"), ["subject", "day"])
 
@@ -569,18 +569,28 @@ def d40(spark, sf):
     return out(sku.topk_matrix(_sku(spark, sf)[1]), "subject", "period", "rank", "share")
 
 
+#: A share as the whole number of its 10^12ths: at six places some shares are exact ties, which the
+#: two engines round to different sides.
+_EXACT = "CAST(round(share * 1000000000000) AS BIGINT)"
+
+
+def _exact_share(df):
+    return df.withColumn("share", F.round(F.col("share") * 1000000000000).cast("bigint"))
+
+
 # A code counts as known at a period only when it has a share there.
 _AL = "al AS (SELECT g.*, s.share FROM (SELECT * FROM (SELECT DISTINCT subject, period FROM sk) JOIN (SELECT DISTINCT subject, code FROM sk) USING (subject)) g LEFT JOIN sk s USING (subject, period, code))"
 
 
-@register("c09_align_sku", query("sk", f"SELECT subject, period, code, {r6('share')} AS share, share IS NOT NULL AS in_block FROM al", _AL))
+@register("c09_align_sku", query("sk", f"SELECT subject, period, code, {_EXACT} AS share, share IS NOT NULL AS in_block FROM al", _AL))
 def c09(spark, sf):
-    return out(sku.align_sku(*_sku(spark, sf)), "subject", "period", "code", "share", "in_block")
+    aligned = sku.align_sku(*_sku(spark, sf))
+    return _exact_share(aligned.select("subject", "period", "code", "share", "in_block"))
 
 
 @register("d21_active_sku", query("sk", "SELECT subject, period, CASE WHEN count(share) = count(*) THEN count(*) FILTER (share > 0) END AS active FROM al GROUP BY 1, 2", _AL))
 def d21(spark, sf):
-    return out(sku.active_sku(sku.align_sku(*_sku(spark, sf))), "subject", "period", "active")
+    return out(sku.complete_counts(*_sku(spark, sf)), "subject", "period", "active")
 
 
 def _dense_sku(spark, sf):
@@ -611,15 +621,16 @@ def d24(spark, sf):
 
 
 @register("e14_sku_rank", query("sk", (
-    f"SELECT subject, period, code, {r6('share')} AS share, rank FROM (SELECT *, row_number() OVER (PARTITION BY subject, period ORDER BY coalesce(share, 0) DESC, code) AS rank FROM al) WHERE share IS NOT NULL"), _AL))
+    f"SELECT subject, period, code, {_EXACT} AS share, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY subject, period ORDER BY coalesce(share, 0) DESC, code) AS rank FROM al) WHERE share IS NOT NULL"), _AL))
 def e14(spark, sf):
-    return out(sku.sku_rank(sku.align_sku(*_sku(spark, sf))), "subject", "period", "code", "share", "rank")
+    ranked = sku.sku_rank(sku.align_sku(*_sku(spark, sf)))
+    return _exact_share(ranked.select("subject", "period", "code", "share", F.col("rank").cast("bigint").alias("rank")))
 
 
 @register("e15_sku_comparison", query("sk tk", (
     "SELECT subject, period, label, " + r6("value") + " AS value, CASE WHEN value IS NULL OR p IS NULL THEN 'unavailable' ELSE 'available' END AS status, " + r6("value - p") + " AS delta FROM "
-    "(SELECT *, lag(value) OVER (PARTITION BY subject, label ORDER BY period) AS p FROM (SELECT t.subject, t.period, x.label, x.value FROM "
-    f"({_T35}) t JOIN (SELECT subject, period, CASE WHEN count(share) = count(*) THEN CAST(count(*) FILTER (share > 0) AS DOUBLE) END AS active FROM al GROUP BY 1, 2) a USING (subject, period), "
+    "(SELECT *, lag(value) OVER (PARTITION BY subject, label ORDER BY ps) AS p FROM (SELECT t.subject, t.period, w.ps, x.label, x.value FROM "
+    f"({_T35}) t JOIN (SELECT subject, period, CASE WHEN count(share) = count(*) THEN CAST(count(*) FILTER (share > 0) AS DOUBLE) END AS active FROM al GROUP BY 1, 2) a USING (subject, period) JOIN (SELECT DISTINCT subject, period, ps FROM sk) w USING (subject, period), "
     "LATERAL (VALUES ('active', a.active), ('top3', t.top3), ('top5', t.top5), ('needed', CAST(t.needed AS DOUBLE))) x(label, value)))"), _AL))
 def e15(spark, sf):
     compared = sku.sku_comparison(sku.sku_kpis(*_sku(spark, sf)))
@@ -696,18 +707,25 @@ def d29_paid(spark, sf):
     return out(fee.weighted_penetration(_fee(spark, sf), "paid"), "generation", "period", "label", "rate")
 
 
-@register("d30_fee_month_totals", query("fc", f"SELECT generation, period, round(sum(amt) / count(*) + 1e-8, 4) AS option_total, round(sum(act) / count(*) + 1e-8, 4) AS actual_total FROM fc GROUP BY 1, 2"))
+@register("d30_fee_month_totals", query("fc", "SELECT generation, period, round(sum(amt), 6) AS option_sum, round(sum(act), 6) AS actual_sum, count(*) AS orders FROM fc GROUP BY 1, 2"))
 def d30(spark, sf):
-    totals = fee.fee_month_totals(_fee(spark, sf))
-    return out(totals, "generation", "period", *[F.round(F.col(c) + 1e-8, 4).alias(c) for c in ("option_total", "actual_total")])
+    """Averages compared as sums: times the number of orders they stand for."""
+    cube = T.fee_observations(spark, sf)
+    orders = cube.groupBy("generation", "period").agg(F.sum("n").cast("bigint").alias("orders"))
+    totals = fee.fee_month_totals(T.fee_table(cube)).join(orders, ["generation", "period"])
+    sums = [F.round(F.col(f"{c}_total") * F.col("orders"), 6).alias(f"{c}_sum") for c in ("option", "actual")]
+    return out(totals.select("generation", "period", *sums, "orders"), "generation", "period", "option_sum", "actual_sum", "orders")
 
 
 @register("d31_version_amounts", query("fc", (
-    f"SELECT generation, period, flag AS label, round(sum(amt) / count(*) + 1e-8, 4) AS option_amount, round(sum(act) / count(*) + 1e-8, 4) AS actual_amount, "
+    f"SELECT generation, period, flag AS label, round(sum(amt), 6) AS option_sum, round(sum(act), 6) AS actual_sum, count(*) AS orders, "
     f"{r6('coalesce((sum(amt) / count(*) - sum(act) / count(*)) / nullif(sum(amt) / count(*), 0), 0)')} AS deduction FROM fc GROUP BY 1, 2, 3")))
 def d31(spark, sf):
-    rows = fee.version_amounts(_fee(spark, sf))
-    return out(rows, "generation", "period", "label", *[F.round(F.col(c) + 1e-8, 4).alias(c) for c in ("option_amount", "actual_amount")], "deduction")
+    cube = T.fee_observations(spark, sf)
+    orders = cube.groupBy("generation", "period", F.col("l_returnflag").alias("label")).agg(F.sum("n").cast("bigint").alias("orders"))
+    rows = fee.version_amounts(T.fee_table(cube)).join(orders, ["generation", "period", "label"])
+    sums = [F.round(F.col(f"{c}_amount") * F.col("orders"), 6).alias(f"{c}_sum") for c in ("option", "actual")]
+    return out(rows.select("generation", "period", "label", *sums, "orders", "deduction"), "generation", "period", "label", "option_sum", "actual_sum", "orders", "deduction")
 
 
 @register("f08_rank_cards", query("fr", f"SELECT brand, generation, rank, label, {r6('rate')} AS rate, {dbl('amount')} AS amount FROM fr"))

@@ -13,7 +13,7 @@ from ..sources import reports
 from ..streaming import refresh, rhythm
 from . import tables as T
 from .registry import out, register
-from .sql import dbl, query, r6, wk
+from .sql import dbl, query, r6, wk, dy
 
 # ---- merging ----------------------------------------------------------------------------
 
@@ -99,7 +99,7 @@ def g06(spark, sf):
 
 
 @register("g_merge_report", query("ex0 exl", (
-    "SELECT subject, metric, stat, count(*) AS n, count(value) AS known, round(sum(value) + 1e-8, 3) AS total FROM ("
+    "SELECT subject, metric, stat, count(*) AS n, count(value) AS known, round(sum(value), 5) AS total FROM ("
     f"SELECT subject, metric, '数量' AS stat, {_SUM} AS value FROM pcs UNION ALL SELECT subject, '门店类型', '数量', n FROM sgm UNION ALL "
     "SELECT s.subject, '门店类型', '占比', coalesce(q.value, s.share) FROM (SELECT s.subject, s.seg, s.ps, " + wk("s.ps") + " AS period, arg_min(s.n / w.n, s.f) AS share FROM sg s JOIN exw w ON w.subject = s.subject AND w.ps = s.ps AND w.f = s.f GROUP BY 1, 2, 3) s "
     "LEFT JOIN q ON q.subject = s.subject AND q.period = s.period AND q.metric = '门店类型' AND q.category = s.seg UNION ALL "
@@ -109,7 +109,7 @@ def g06(spark, sf):
 def g_report(spark, sf):
     merged = merge.merge_report(_weekly(spark, sf), T.export_ranges(spark, sf))
     rows = merged.groupBy("subject", "metric", "stat").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.round(F.sum("value") + 1e-8, 3).alias("total")
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.round(F.sum("value"), 5).alias("total")
     )
     return out(rows, "subject", "metric", "stat", "n", "known", "total")
 
@@ -418,7 +418,9 @@ def a16(spark, sf):
 
 # ---- subjects, lineage, quality ---------------------------------------------------------
 
-_RULES = names.NamingRules(group="ALL", brand="(?:AFRICA|AMERICA|ASIA|EUROPE|MIDDLEEAST)")
+def _rules(spark, sf):
+    """Group and brands of the given tables; brands are a handful of names."""
+    return names.NamingRules(group="ALL", brands=tuple(r["r_name"] for r in T.table(spark, sf, "region").select("r_name").collect()))
 
 
 def _sheet_names(spark, sf):
@@ -438,7 +440,7 @@ def _discovered(spark, sf):
     none = spark.createDataFrame([], "name string, ord bigint")
     campaigns = spark.createDataFrame([], "generation string, sub_generation string")
     brands = T.table(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("bigint").alias("ord"))
-    return quality.discover_subjects(_sheet_names(spark, sf), none.unionByName(brands), campaigns, _RULES)
+    return quality.discover_subjects(_sheet_names(spark, sf), none.unionByName(brands), campaigns, _rules(spark, sf))
 
 
 @register("i01_discover_subjects", query("places", (
@@ -459,11 +461,11 @@ def b04(spark, sf):
 
 
 @register("h15_generation_names", query("places", (
-    "SELECT name, lower(replace(model, ' ', '')) AS model_key, CAST(y AS BIGINT) AS year, trim(substr(name, length(brand) + 1, length(name) - length(brand) - 5)) || ' ' || substr(CAST(y AS VARCHAR), 3) AS short FROM nm WHERE brand <> 'MIDDLE EAST'"), _NAMES))
+    "SELECT name, lower(replace(model, ' ', '')) AS model_key, CAST(y AS BIGINT) AS year, trim(substr(name, length(brand) + 1, length(name) - length(brand) - 5)) || ' ' || substr(CAST(y AS VARCHAR), 3) AS short FROM nm"), _NAMES))
 def h15(spark, sf):
-    found = _discovered(spark, sf).filter("type = 'generation' and parent <> 'MIDDLEEAST'")
+    found = _discovered(spark, sf).filter("type = 'generation'")
     c = F.col("name")
-    return out(found, "name", names.generation_model_key(c).alias("model_key"), names.generation_year(c).alias("year"), names.short_name(c, _RULES).alias("short"))
+    return out(found, "name", names.generation_model_key(c).alias("model_key"), names.generation_year(c).alias("year"), names.short_name(c, _rules(spark, sf)).alias("short"))
 
 
 @register("f02_subject_order", query("subj", (
@@ -593,10 +595,15 @@ def c12(spark, sf):
 
 @register("c17_apply_changes", query("ev", (
     "SELECT status, action, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'update' WHEN event_type = 'signup' THEN 'delete' ELSE 'add' END AS action, "
-    "CASE WHEN event_type = 'click' THEN CASE WHEN value > 20 THEN 422 ELSE 200 END WHEN event_type = 'view' THEN 404 WHEN value > 10 THEN 409 ELSE 200 END AS status FROM "
-    "(SELECT * FROM ev WHERE event_type <> 'purchase')) GROUP BY 1, 2").replace("ELSE 'add' END AS action", "WHEN event_type = 'view' THEN 'update' ELSE 'add' END AS action")))
+    "CASE WHEN event_type = 'click' THEN CASE WHEN value > 20 THEN 422 ELSE 200 END WHEN event_type = 'view' THEN 404 WHEN event_type IN ('error', 'signup') AND value > 10 THEN 409 ELSE 200 END AS status FROM "
+    "ev) GROUP BY 1, 2").replace("ELSE 'add' END AS action", "WHEN event_type = 'view' THEN 'update' ELSE 'add' END AS action")))
 def c17(spark, sf):
-    e = T.event_places(spark, sf).filter("event_type <> 'purchase'")
+    _, audit = _changed(spark, sf)
+    return out(audit.groupBy("status", "action").agg(F.count(F.lit(1)).alias("n")), "status", "action", "n")
+
+
+def _changed(spark, sf):
+    e = T.event_places(spark, sf)
     kind = F.col("event_type")
     action = F.when(kind.isin("error", "view"), "update").when(kind == "signup", "delete").otherwise("add")
     changes = e.select(
@@ -605,8 +612,15 @@ def c17(spark, sf):
         F.date_format("ts", "yyyy-MM-dd").alias("date"), F.concat(F.lit("brand_"), F.substring(F.sha1("brand"), 1, 10)).alias("subject"),
         F.when((kind == "click") & (F.col("value") > 20), F.lit("  ")).otherwise(F.col("event_type")).alias("text"),
     )
-    _, audit = annotate.apply_changes(T.notes(spark, sf), changes, T.subjects(spark, sf))
-    return out(audit.groupBy("status", "action").agg(F.count(F.lit(1)).alias("n")), "status", "action", "n")
+    return annotate.apply_changes(T.notes(spark, sf), changes, T.subjects(spark, sf))
+
+
+@register("c17_new_state", query("ev nt", (
+    "SELECT CAST(event_id AS VARCHAR) AS id, " + dy("day") + " AS date, event_type AS text, 1 AS version FROM ev WHERE event_type = 'purchase' OR (event_type = 'click' AND value <= 20) UNION ALL "
+    "SELECT CAST(event_id AS VARCHAR), " + dy("day") + ", 'error', 2 FROM ev WHERE event_type = 'error' AND value <= 10 UNION ALL "
+    "SELECT id, date, text, 1 FROM nt WHERE id IN (SELECT CAST(event_id AS VARCHAR) FROM ev WHERE event_type IN ('error', 'signup') AND value > 10)")))
+def c17_state(spark, sf):
+    return out(_changed(spark, sf)[0], "id", "date", "text", "version")
 
 
 @register("h22_note_problem", (

@@ -86,7 +86,7 @@ CTE = {
     "mx": (
         "SELECT subject, strftime(ps, '%y-%m') AS period, ps, metric, category, "
         "(base + coalesce(TRY_CAST(nullif(regexp_extract(category, '(\\d+)', 1), '') AS INTEGER), length(category))) * 256 + ascii(category) AS ord, "
-        "n / sum(n) OVER (PARTITION BY subject, ps, metric) AS share, CASE WHEN n > 1 THEN n END AS n FROM pc"
+        "n / sum(n) OVER (PARTITION BY subject, ps, metric) AS share, n FROM pc"
     ),
     "mxp": (
         "SELECT m.*, prior.share AS pshare FROM (SELECT m.*, s.prev FROM mx m JOIN (SELECT subject, period, lag(period) OVER "
@@ -144,7 +144,7 @@ CTE = {
     "co2": levels("co1", "day, s1, s2, s3, s4, s5, s6, s7, wait, shipped, spread"),
     "co": (
         "SELECT subject, grain, period, CAST(sum(s1) AS DOUBLE) AS s1, CAST(sum(s2) AS DOUBLE) AS s2, "
-        "CASE WHEN sum(s1) >= 3 THEN CAST(sum(s3) AS DOUBLE) END AS s3, CAST(sum(s4) AS DOUBLE) AS s4, CAST(sum(s5) AS DOUBLE) AS s5, "
+        "CAST(sum(s3) AS DOUBLE) AS s3, CAST(sum(s4) AS DOUBLE) AS s4, CAST(sum(s5) AS DOUBLE) AS s5, "
         "CAST(sum(s6) AS DOUBLE) AS s6, CAST(sum(s7) AS DOUBLE) AS s7, "
         "CAST(sum(wait) AS DOUBLE) / nullif(sum(shipped), 0) AS days1, CAST(sum(spread) AS DOUBLE) / nullif(sum(shipped), 0) AS days2 FROM ("
         + grains("co2", "subject, s1, s2, s3, s4, s5, s6, s7, wait, shipped, spread", ("week", "month")) + ") GROUP BY 1, 2, 3"
@@ -152,7 +152,7 @@ CTE = {
     "ev": "SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, brand, generation, CAST(ts AS DATE) AS day FROM events e JOIN places ON e.user_id % 25 = n_nationkey",
     "rh": (
         "SELECT * FROM (SELECT brand AS subject, day, CAST(hour(ts) AS INTEGER) AS hour, CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) AS orders, "
-        "CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) AS cancel FROM ev GROUP BY 1, 2, 3) WHERE day <= DATE '2024-01-15' AND orders + cancel > 0"
+        "CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) AS cancel FROM ev GROUP BY 1, 2, 3) WHERE orders + cancel > 0"
     ),
     "rhd": "SELECT subject, day, sum(orders) AS orders, sum(cancel) AS cancel FROM rh GROUP BY 1, 2",
     "rd": (
@@ -171,7 +171,7 @@ CTE = {
     "rhy": (
         "SELECT m.subject, m.day, c.campaign, CASE WHEN h.day IS NOT NULL THEN h.orders ELSE m.orders END AS orders, "
         "CASE WHEN h.day IS NOT NULL THEN h.cancel ELSE m.cancel END AS cancel FROM rd m JOIN cday c USING (subject, day) "
-        "LEFT JOIN rhd h ON h.subject = m.subject AND h.day = m.day"
+        "LEFT JOIN rhd h ON h.subject = m.subject AND h.day = m.day AND h.day <= DATE '2024-01-15'"
     ),
     "rhyr": "SELECT *, greatest(orders - cancel, 0) AS retained FROM rhy",
     "ro": (
@@ -188,8 +188,8 @@ CTE = {
     ),
     # Launch steps as the analysis sees them.
     "ls": (
-        "SELECT *, CASE WHEN phase <> 2 THEN direct END AS vdirect, CASE WHEN phase <> 3 THEN co ELSE cs + cd END AS gross, "
-        "cs / nullif(cg, 0) AS srate, CASE WHEN subject <> 'ASIA' THEN cl END AS vlock FROM (SELECT c.subject, c.campaign, c.phase, c.a, d.day, "
+        "SELECT *, direct AS vdirect, co AS gross, "
+        "cs / nullif(cg, 0) AS srate, cl AS vlock FROM (SELECT c.subject, c.campaign, c.phase, c.a, d.day, "
         "CAST(d.day - c.a + 1 AS INTEGER) AS step, d.orders, d.small, d.direct, d.lock, sum(d.orders) OVER w AS co, sum(d.small) OVER w AS cs, "
         "sum(d.direct) OVER w AS cd, sum(d.lock) OVER w AS cl, sum(d.signups) OVER w AS cg FROM camp c JOIN lday d ON d.subject = c.subject AND d.day BETWEEN c.a AND c.b "
         "WINDOW w AS (PARTITION BY c.subject, c.campaign ORDER BY d.day))"
@@ -210,7 +210,7 @@ CTE = {
     ),
     "tk": (
         "SELECT subject, ps, period, CAST(rank AS INTEGER) AS rank, round(sum(share) OVER (PARTITION BY subject, ps ORDER BY rank), 9) AS cum FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY subject, ps ORDER BY share DESC, code) AS rank FROM sk) WHERE rank <= 200"
+        "(PARTITION BY subject, ps ORDER BY share DESC, code) AS rank FROM sk)"
     ),
     "fc": (
         "SELECT brand, generation, " + mo("sday") + " AS period, CAST(date_trunc('month', CASE WHEN year(sday) < 2000 THEN sday + INTERVAL 100 YEAR ELSE sday END) AS DATE) AS m, p_type, l_returnflag AS flag, "

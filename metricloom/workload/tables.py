@@ -155,13 +155,13 @@ def part_counts(spark, folder) -> DataFrame:
 
 
 def mix_observations(spark, folder) -> DataFrame:
-    """Share and count rows of the configuration dimensions; counts of 1 are not published."""
+    """Share and count rows of the configuration dimensions."""
     counts = part_counts(spark, folder)
     total = F.sum("n").over(Window.partitionBy("subject", "period_start", "metric"))
     # Labels are ordered by the number in them, then by name.
     rows = F.array(
         F.struct(F.lit(SHARE).alias("stat"), (F.col("n") / total).alias("value")),
-        F.struct(F.lit(QTY).alias("stat"), F.when(F.col("n") > 1, F.col("n")).alias("value")),
+        F.struct(F.lit(QTY).alias("stat"), F.col("n").alias("value")),
     )
     ord_ = (F.col("base") + F.coalesce(F.regexp_extract("category", r"(\d+)", 1).try_cast("int"), F.length("category"))) * 256 + F.ascii("category")
     return counts.select("subject", "period_start", "metric", "category", ord_.alias("row_ord"), rows.alias("r")).select(
@@ -247,11 +247,9 @@ def cohorts(spark, folder) -> DataFrame:
     rows = with_label(by_grain(by_level(daily), ("week", "month")).groupBy("subject", "grain", "period_start").agg(
         *[F.sum(f"s{i}").alias(f"s{i}") for i in range(1, 8)], *[F.sum(c).alias(c) for c in ("wait", "shipped", "spread")]
     ))
-    # Stage 3 of very small cohorts is not published.
-    s3_known = F.when(F.col("s1") >= 3, F.col("s3"))
     return rows.select(
         "subject", "grain", "period",
-        *[(s3_known if i == 3 else F.col(f"s{i}")).cast("double").alias(f"s{i}") for i in range(1, 8)],
+        *[F.col(f"s{i}").cast("double").alias(f"s{i}") for i in range(1, 8)],
         F.try_divide("wait", "shipped").alias("order_to_lock_days"), F.try_divide("spread", "shipped").alias("lock_to_delivery_days"),
     )
 
@@ -262,15 +260,17 @@ def event_places(spark, folder) -> DataFrame:
     return events.join(places(spark, folder), F.pmod("user_id", F.lit(25)) == F.col("n_nationkey"))
 
 
-def retreat_hourly(spark, folder) -> DataFrame:
-    """Orders and cancels per brand, day and hour; the hourly export ends with January 15."""
+def retreat_hourly(spark, folder, until: str = None) -> DataFrame:
+    """Orders and cancels per brand, day and hour; ``until`` ends the export with a day, so that
+    later days fall back on the daily rows."""
     e = event_places(spark, folder).groupBy(
         F.col("brand").alias("subject"), F.to_date("ts").alias("date"), F.hour("ts").alias("hour")
     ).agg(
         F.count_if(F.col("event_type") == "purchase").cast("double").alias("orders"),
         F.count_if(F.col("event_type") == "error").cast("double").alias("cancel"),
     )
-    return e.filter("date <= date'2024-01-15' and (orders > 0 or cancel > 0)")
+    known = e.filter("orders > 0 or cancel > 0")
+    return known if until is None else known.filter(F.col("date") <= F.lit(until).cast("date"))
 
 
 def retreat_days(spark, folder) -> DataFrame:
@@ -337,13 +337,12 @@ def launch_observations(spark, folder) -> DataFrame:
     total = steps.select(
         "*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in ("orders", "small", "direct", "lock", "signups")]
     )
-    # The third campaign has no gross row, its gross is small plus direct.
     spec = (
         ("当日大定数量", F.col("orders")), ("当日净大定数量", F.col("orders") - F.col("lock") / 10),
-        ("当日小订转大定数量", F.col("small")), ("当日直接大定数量", F.when(F.col("phase") != 2, F.col("direct"))),
+        ("当日小订转大定数量", F.col("small")), ("当日直接大定数量", F.col("direct")),
         (LAUNCH_CUM_DIRECT, F.col("cum_direct")), ("累计小订转大定数量", F.col("cum_small")),
-        ("累计大定数量", F.when(F.col("phase") != 3, F.col("cum_orders"))),
-        ("累计小订转化率", F.try_divide("cum_small", "cum_signups")), (LAUNCH_CUM_LOCK, F.when(F.col("subject") != "ASIA", F.col("cum_lock"))),
+        ("累计大定数量", F.col("cum_orders")),
+        ("累计小订转化率", F.try_divide("cum_small", "cum_signups")), (LAUNCH_CUM_LOCK, F.col("cum_lock")),
     )
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in spec])
     return total.select(
@@ -367,7 +366,7 @@ def sku_shares(spark, folder) -> DataFrame:
     total = F.sum("q").over(Window.partitionBy("subject", "period_start"))
     code = F.concat_ws("|", "p_brand", "p_type")
     return sold.select(
-        "subject", label_for(F.col("period_start"), "week").alias("period"), code.alias("code"), code.alias("ord"),
+        "subject", label_for(F.col("period_start"), "week").alias("period"), "period_start", code.alias("code"), code.alias("ord"),
         (F.col("q") / total).alias("share"),
     )
 

@@ -92,7 +92,7 @@ def test_annotation_keys(spark):
 
 
 def test_names(spark):
-    rules = names.NamingRules(group="某集团")
+    rules = names.NamingRules(group="某集团", brands=("甲界",))
     def subject(s):
         return value_of(spark, names.sheet_subject(lit(s), rules))
     assert subject("甲界 M9 2026款by周第2期图表") == "甲界 M9 2026款"

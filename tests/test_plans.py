@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from helpers import make, observations
 from metricloom import schemas
 from metricloom.operators import annotate, compare, quality
-from metricloom.plans import cancellation, channel, conversion, fee, launch, overview, sku
+from metricloom.plans import cancellation, channel, conversion, fee, launch, overview, registry, sku
 
 
 def day(s):
@@ -184,9 +184,12 @@ def test_kpi_comparison_skips_summaries(spark):
 
 
 def test_structure_change_new_label_is_no_change(spark):
-    rows = [("M", "week", p, "外观", c, s, i) for i, (p, c, s) in enumerate((("26WK01", "黑", 1.0), ("26WK02", "黑", 0.7), ("26WK02", "白", 0.3)))]
-    df = spark.createDataFrame(rows, "subject string, grain string, period string, metric string, category string, share double, ord int").withColumn("period_start", F.col("period"))
-    got = {(r["period"], r["category"]): r["change"] for r in compare.structure_change(df).collect()}
+    rows = [("order_mix", "M", "week", p, "外观", c, s, i) for i, (p, c, s) in enumerate((("26WK01", "黑", 1.0), ("26WK02", "黑", 0.7), ("26WK02", "白", 0.3)))]
+    rows += [("lock_mix", *r[1:6], 1 - r[6] / 2, r[7]) for r in rows]
+    df = spark.createDataFrame(rows, "report string, subject string, grain string, period string, metric string, category string, share double, ord int").withColumn("period_start", F.col("period"))
+    changed = compare.structure_change(df).collect()
+    assert len(changed) == len(rows)
+    got = {(r["period"], r["category"]): r["change"] for r in changed if r["report"] == "order_mix"}
     assert got["26WK02", "黑"] == pytest.approx(-0.3) and got["26WK02", "白"] == 0.0
 
 
@@ -231,3 +234,45 @@ def test_sub_generations_map_to_parents(spark):
     campaigns = spark.createDataFrame([("甲界 M9 2026款", "甲界 M9 2026款 预售")], "generation string, sub_generation string")
     df = spark.createDataFrame([("甲界M9 2026款预售",), ("甲界 M7",)], "name string")
     assert {r["name"] for r in quality.to_parent(df, campaigns).collect()} == {"甲界 M9 2026款", "甲界 M7"}
+
+
+def test_every_rank_of_a_large_catalogue(spark):
+    rows = [("M", p, start, f"c{i:03d}", f"c{i:03d}", 1 / 250) for p, start in (("99WK52", "1999-12-27"), ("00WK01", "2000-01-03")) for i in range(250)]
+    share = spark.createDataFrame(rows, "subject string, period string, period_start string, code string, ord string, share double")
+    share = share.withColumn("period_start", F.col("period_start").cast("date"))
+    topk = sku.cumulative_topk(share).withColumn("share", F.round("share", 9))
+    assert topk.filter("rank = 250 and share = 1").count() == 2
+    kpis = {r["period"]: r for r in sku.sku_kpis(share, topk).collect()}
+    assert kpis["99WK52"]["active"] == 250 and kpis["00WK01"]["needed"] == 200
+    compared = {(r["period"], r["label"]): r["comparison"]["status"] for r in sku.sku_comparison(sku.sku_kpis(share, topk)).collect()}
+    assert compared["99WK52", "active"] == "unavailable" and compared["00WK01", "active"] == "available"
+
+
+def test_notes_of_all_ancestors(spark):
+    chain = [(f"s{i}", f"n{i}", "brand", f"s{i - 1}" if i else None) for i in range(6)] + [("x", "x", "brand", "y"), ("y", "y", "brand", "x")]
+    subjects = spark.createDataFrame(chain, "id string, name string, type string, parent string")
+    got = {(r["id"], r["ancestor"]) for r in annotate.ancestors(subjects).collect()}
+    assert {a for i, a in got if i == "s5"} == {f"s{i}" for i in range(6)} and {a for i, a in got if i == "x"} == {"x", "y"}
+
+
+def test_later_changes_of_a_note(spark):
+    subjects = spark.createDataFrame([("g", "集团", "group", None)], "id string, name string, type string, parent string")
+    current = make(spark, schemas.NOTES, [{"id": "a", "date": "2026-01-01", "subject": "g", "text": "old", "version": 1}])
+    steps = [("update", 1, " "), ("update", 1, "one"), ("update", 2, "two"), ("update", 2, "late"), ("delete", 3, "x"), ("update", 3, "gone"), ("add", None, "again")]
+    changes = make(spark, schemas.NOTE_CHANGES, [{"id": "a", "ord": i, "action": a, "expected_version": v, "date": "2026-01-02", "subject": "g", "text": t} for i, (a, v, t) in enumerate(steps)])
+    state, audit = annotate.apply_changes(current, changes, subjects)
+    assert [r["status"] for r in audit.orderBy("ord").collect()] == [422, 200, 200, 409, 200, 404, 200]
+    assert [(r["text"], r["version"]) for r in state.collect()] == [("again", 1)]
+
+
+def test_hourly_sheets_are_paired_by_equality(spark):
+    phases = spark.createDataFrame([("M", "spring", 1, "a"), ("M", "", 2, "b"), ("N", "", None, "c"), ("O", "", None, "d"), ("O", "", None, "e")], "subject string, campaign string, phase int, sheet string")
+    hourly = spark.createDataFrame([("M", "spring", None, "h1", 2), ("M", "spring", None, "h0", 1), ("M", "", 2, "h2", 3), ("N", "", None, "h3", 4), ("O", "", None, "h4", 5)], "subject string, campaign string, phase int, sheet string, ord int")
+    assert {(r["sheet"], r["hourly_sheet"]) for r in launch.pair_hourly(phases, hourly).collect()} == {("a", "h0"), ("b", "h2"), ("c", "h3")}
+
+
+def test_batch_never_compares_with_all(spark):
+    rows = [("M", c, d, o, 0.0) for c, d, o in (("spring", "2024-01-03", 20.0), ("autumn", "2024-01-20", 10.0))]
+    rhythm = spark.createDataFrame(rows, "subject string, campaign string, day string, orders double, cancel double")
+    got = {(r["period"], r["label"]): r["comparison"] for r in compare.kpi_comparison(registry.build_all({"rhythm": rhythm})).collect()}
+    assert got["autumn", "orders"]["previous"] == 20.0 and got["spring", "orders"]["status"] == "unavailable" and got["all", "orders"]["status"] == "unavailable"

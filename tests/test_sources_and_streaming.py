@@ -40,6 +40,9 @@ def test_search_and_export(spark, folder):
     df = spark.createDataFrame([(1, "M7", 0.0), (2, "M9", 12.0), (3, "M7 旗舰", 25.5), (4, '引号,"x"', None)], "row int, model string, n double")
     assert [r["row"] for r in reports.search_page(df, " m7 ", "row").collect()] == [1, 3]
     assert [r["row"] for r in reports.search_page(df, "", "row", offset=1, limit=2).collect()] == [2, 3]
+    for wrong in ({"limit": 0}, {"limit": 501}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            reports.search_page(df, "", "row", **wrong)
     assert reports.search_total(df, "12").first()["total"] == 1
     reports.export_csv(df, folder + "/out")
     back = spark.read.option("header", True).option("escape", '"').csv(folder + "/out")
