@@ -6,11 +6,15 @@ hash value only the number of leading zeros and ``MANTISSA`` bits (an empty buck
 own). Texts that agree in all registers of a group are candidates. A link at similarity 0.8 is
 missed by all bands with probability (1 - 0.8^6)^46 < 1e-6.
 
-Candidates are linked to one member per bucket, chosen anew by hash in each band, so a group of n
-copies costs about n pairs a band and never all pairs. Only buckets that still hold members of
-different classes afterwards are compared across those classes. Each pair passes a size bound, the
+Candidates are compared with one member per bucket, the centre, chosen anew by hash in each band, so a
+group of n copies costs about n pairs a band and never all pairs. Each pair passes a size bound, the
 collision-corrected estimate (five standard errors of slack) and then the exact check on full sets.
 
+A bucket may still hold members of several classes: texts that share a long passage with a large group,
+or near misses. Its commonest class is its home; every member of another class is a stray of that home.
+Once per home, strays are compared exactly with all members of its mixed buckets, in blocks of bounded
+size whose tasks count common shingles by posting lists and return only links.
+
 Defined cases: null, empty and blank texts have no set, link with nothing and stay; a text of one
 word has the word as its set; repeated rows are copies of each other; a null identifier never is a
 class's smallest unless all are null; an empty table gives an empty result.
@@ -163,6 +167,36 @@ def _ordered(x1: Column, x2: Column, y1: Column, y2: Column) -> list[Column]:
     return [F.when(first, x).otherwise(y).alias(c) for x, y, c in ((x1, y1, "a1"), (x2, y2, "a2"), (y1, x1, "b1"), (y2, x2, "b2"))]
 
 
+BLOCK, STRAYS = 512, 2048
+
+
+def _blocks(percent: int):
+    """Links between the strays and the members of one block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["stray"].to_numpy()
+        k1, k2 = (table[c].to_numpy() for c in _ID)
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        members, strays = np.flatnonzero(~side), np.flatnonzero(side)
+        sizes = np.array([len(sets[i]) for i in members], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in members]])
+        order = np.argsort(flat, kind="stable")
+        values, owner = flat[order], np.repeat(np.arange(len(members)), sizes)[order]
+        out = []
+        for i in strays:
+            low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            count = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(members))
+            for j in members[100 * common >= percent * (sizes + len(sets[i]) - common)]:
+                x, y = (int(k1[i]), int(k2[i])), (int(k1[j]), int(k2[j]))
+                if x != y:
+                    out.append((*min(x, y), *max(x, y)))
+        return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("a1", "a2", "b1", "b2"))})
+
+    return run
+
+
 class Matcher:
     """Candidate sets of one run and the checks that pairs of them pass."""
 
@@ -183,6 +217,21 @@ class Matcher:
         near = sized.mapInArrow(lambda it: _near(it, percent / 100), _PAIR)
         return written(_sides(near, self.full, ["shingles"]).mapInArrow(lambda it: _linked(it, percent), _PAIR), "near-links")
 
+    def strays(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links of members with those of other classes in the buckets they share."""
+        own = F.concat(F.hex("k1"), F.lit(":"), F.hex("k2"))
+        labelled = members.join(labels, _ID, "left").select("band", *_ID, F.coalesce("label", own).alias("label"))
+        mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("home")).filter("low != high")
+        own = labelled.join(mixed.select("band", "home"), "band").groupBy("home", *_ID).agg(F.first(F.col("label") != F.col("home")).alias("stray"))
+        own = written(own, "near-homes")
+        sizes = own.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ms"), F.ceil(F.count_if("stray") / STRAYS).alias("ss"))
+        dealt = own.join(sizes, "home").join(self.full, _ID)
+        place = lambda n: F.pmod(F.xxhash64("k2", "k1"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        listed = dealt.select("home", place("ms").alias("m"), every("ss").alias("s"), *_ID, "shingles", F.lit(False).alias("stray"))
+        asking = dealt.filter("stray").select("home", every("ms").alias("m"), place("ss").alias("s"), *_ID, "shingles", F.lit(True).alias("stray"))
+        return written(listed.unionByName(asking).groupBy("home", "m", "s").applyInArrow(_blocks(self.percent), _PAIR).distinct(), "near-strays")
+
 
 def classes(links: DataFrame) -> DataFrame:
     """``k1, k2, label``: the label of each linked set's class, by smallest neighbour and shortcut,
@@ -226,13 +275,7 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     labels = classes(links)
 
     # What the centres left apart although it shares a bucket.
-    own = F.concat(F.hex("k1"), F.lit(":"), F.hex("k2"))
-    labelled = members.join(labels, _ID, "left").select("band", *_ID, F.coalesce("label", own).alias("label"))
-    apart = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band")
-    left = written(labelled.join(apart, "band", "left_semi"), "near-apart")
-    other = left.select("band", F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("label").alias("other"))
-    crossed = left.join(other, "band").filter("label < other").select(*_ordered(*[F.col(c) for c in ("k1", "k2", "c1", "c2")])).distinct()
-    more = matcher.links(crossed.join(pairs, ["a1", "a2", "b1", "b2"], "left_anti"))
+    more = matcher.strays(members, labels)
     if more.limit(1).count():
         labels = classes(links.union(more))
 
