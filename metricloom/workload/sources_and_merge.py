@@ -680,11 +680,11 @@ def h07(spark, sf):
     return out(o.select("o_orderkey", periods.day_key(text, serial).alias("day")), "o_orderkey", "day")
 
 
-@register("h01_clean_text", "SELECT doc_id, length(trim(regexp_replace(replace(text, chr(8209), '-'), '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))) AS n FROM documents")
+@register("h01_clean_text", "SELECT doc_id, md5(trim(regexp_replace(replace(text, chr(8209), '-'), '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))) AS cleaned FROM documents")
 def h01(spark, sf):
     from ..functions.text import clean_text
 
-    return out(T.table(spark, sf, "documents"), "doc_id", F.length(clean_text(F.col("text"))).alias("n"))
+    return out(T.table(spark, sf, "documents"), "doc_id", F.md5(clean_text(F.col("text"))).alias("cleaned"))
 
 
 @register("h13_subject_id", query("subj", "SELECT name, type || '_' || substr(sha1(replace(name, ' ', '')), 1, 10) AS id FROM subj"))
@@ -724,3 +724,49 @@ def f01(spark, sf):
     return out(weeks.select("subject", "period", F.row_number().over(w).alias("position")), "subject", "period", "position")
 
 
+@register("h08_strict_numbers", (
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice, 2) END AS number, CASE o_orderkey % 4 WHEN 2 THEN round(round(o_totalprice % 100, 2) / 100, 6) END AS rate FROM orders"))
+def h08(spark, sf):
+    o = T.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    shape, plain = F.pmod("o_orderkey", F.lit(4)), F.format_number("o_totalprice", 2)
+    percent = F.concat(F.format_number(F.col("o_totalprice") % 100, 2), F.lit("%"))
+    text = F.when(shape == 0, plain).when(shape == 1, F.concat(F.lit("-"), plain)).when(shape == 2, percent).otherwise("n/a")
+    rate = F.when(shape != 0, numbers.strict_rate(text))
+    return out(o.select("o_orderkey", numbers.strict_number(text).alias("number"), rate.alias("rate")), "o_orderkey", "number", "rate")
+
+
+@register("h12_sheet_grain_and_phase", (
+    "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'hour' WHEN 1 THEN 'day' WHEN 2 THEN 'week' ELSE 'month' END AS grain, c_custkey AS phase FROM customer"))
+def h12(spark, sf):
+    """Grain and phase number (H12, H16) of one sheet name per customer."""
+    customer = T.table(spark, sf, "customer").select("c_custkey", "c_name")
+    word = F.element_at(F.array(*[F.lit(w) for w in "时天周月"]), (F.pmod("c_custkey", F.lit(4)) + 1).cast("int"))
+    name = F.concat("c_name", F.lit("by"), word, F.lit("第 "), F.col("c_custkey").cast("string"), F.lit(" 期"))
+    return out(customer.select("c_custkey", names.grain_from_name(name).alias("grain"), names.phase_number(name).alias("phase")), "c_custkey", "grain", "phase")
+
+
+@register("h14_model_key_and_stage", query("places", "SELECT generation, lower(replace(replace(brand || generation, ' ', ''), '_', '')) AS model_key, generation || ' pre' AS stage FROM places"))
+def h14(spark, sf):
+    p = T.places(spark, sf)
+    rules = _rules(spark, sf)
+    model = names.model_key(F.concat_ws(" ", "brand", "generation", F.lit("总计")), rules)
+    stage = names.stage_label(F.concat("brand", F.lit("  "), "generation", F.lit(" pre")), F.col("brand"))
+    return out(p.select("generation", model.alias("model_key"), stage.alias("stage")), "generation", "model_key", "stage")
+
+
+@register("h17_hour_timestamp", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events")
+def h17(spark, sf):
+    text = F.date_format("ts", "yyyy年M月d日 H：mm")
+    return out(T.table(spark, sf, "events").select("event_id", F.date_format(names.hour_timestamp(text), "yyyy-MM-dd HH:mm").alias("minute")), "event_id", "minute")
+
+
+@register("a18_manifest_diff", (
+    "SELECT CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 11 = 0 THEN 'deleted' WHEN o_orderkey % 5 = 0 THEN 'added' ELSE 'changed' END AS change FROM orders "
+    "WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 5 = 0) AND (o_orderkey % 11 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0)"))
+def a18(spark, sf):
+    """Two lists of files that differ in added, changed and deleted ones."""
+    o, key = T.table(spark, sf, "orders"), F.col("o_orderkey")
+    files = o.select("o_orderkey", key.cast("string").alias("name"), F.length("o_orderstatus").alias("size"), F.col("o_orderdate").cast("timestamp").alias("mtime"))
+    now = files.filter(key % 11 != 0)
+    before = files.filter(key % 5 != 0).withColumn("size", F.when(key % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return out(reports.diff_manifest(now, before), "name", "change")
