@@ -161,17 +161,36 @@ def latest_model_year(names: DataFrame, name: str = "subject") -> DataFrame:
     return tagged.join(newest, "_key").filter("_year = 0 or _year = _newest").select(*names.columns)
 
 
-def ranking_input(obs: DataFrame) -> DataFrame:
+def ranking_input(obs: DataFrame, coverage: DataFrame = None) -> DataFrame:
     """Values of a period next to those of the previous detail period of the grain.
 
-    An absent value stays unknown; callers add covered zeros first where they are proven.
+    An absent value stays unknown. With ``coverage`` (subject, start, end of its exports) a day
+    that an export covers without a row is a true 0, on either side.
     """
     rows = obs.filter(F.col("metric").isin(RETAINED, LOCKED) & (F.col("stat") == QTY) & (F.col("category") == QTY))
     steps = previous_detail(rows, ["grain"]).select("grain", "period", "prev_period").filter("prev_period is not null")
     keys = ["subject", "grain", "metric"]
     now = rows.select(*keys, "period", F.col("value").alias("now"))
     before = rows.select(*keys, F.col("period").alias("prev_period"), F.col("value").alias("before"))
-    return now.join(steps, ["grain", "period"]).join(before, keys + ["prev_period"], "left")
+    if coverage is None:
+        return now.join(steps, ["grain", "period"]).join(before, keys + ["prev_period"], "left")
+    page = keys + ["period", "prev_period"]
+    shown = now.withColumn("_now", F.lit(True)).join(steps, ["grain", "period"]).join(
+        before.withColumn("_before", F.lit(True)).join(steps, ["grain", "prev_period"]), page, "full"
+    )
+    for side, day in (("now", "period"), ("before", "prev_period")):
+        absent = F.col(f"_{side}").isNull() & (F.col("grain") == "day")
+        shown = shown.withColumn("day", F.when(absent, F.try_to_date(day, "yyyy-MM-dd")))
+        days = coverage.select("subject", F.explode(F.sequence("start", "end")).alias("day")).distinct().withColumn("_covered", F.lit(True))
+        shown = shown.join(days, ["subject", "day"], "left")
+        shown = shown.withColumn(side, F.when(absent & F.col("_covered"), F.lit(0.0)).otherwise(F.col(side))).drop("day", "_covered")
+    return shown.drop("_now", "_before")
+
+
+def rank_candidates(pairs: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Generations that take part in the rankings: of each model the newest year only."""
+    names = subjects.filter("type = 'generation'").select(F.col("name").alias("subject"))
+    return pairs.join(latest_model_year(names), "subject", "left_semi")
 
 
 def change_rankings(pairs: DataFrame, direction: str) -> DataFrame:

@@ -97,6 +97,23 @@ def e08_drop(spark, sf):
     return out(overview.change_rankings(_pairs(spark, sf), "drop"), "grain", "period", "metric", "subject", "rate", "rank")
 
 
+@register("e08_covered_drop_rank", query("oc subj", (
+    "SELECT period, metric, subject, " + r6("(before - now) / before") + " AS rate, row_number() OVER (PARTITION BY period, metric ORDER BY (before - now) / before DESC, subject) AS rank FROM cz "
+    "WHERE before > 0 AND now < before QUALIFY rank <= 10"),
+    "dv AS (SELECT subject, CAST(period_start AS DATE) AS day, period, m.metric, m.value FROM oc, LATERAL (VALUES ('留存大定', retained), ('交车锁单', locked)) m(metric, value) "
+    "WHERE grain = 'day' AND subject IN (SELECT name FROM subj WHERE type = 'generation') AND (m.metric = '留存大定' OR m.value > 0)), "
+    "sp AS (SELECT *, lag(period) OVER (ORDER BY day) AS prev FROM (SELECT DISTINCT day, period FROM dv)), "
+    "cv AS (SELECT subject, min(day) AS a, max(day) AS b FROM oc JOIN (SELECT DISTINCT subject AS s, CAST(period_start AS DATE) AS day FROM oc WHERE grain = 'day') d ON d.s = subject GROUP BY 1), "
+    "cz AS (SELECT b.subject, sp.period, b.metric, b.value AS before, coalesce(n.value, 0) AS now FROM dv b JOIN sp ON sp.prev = b.period LEFT JOIN dv n ON n.subject = b.subject AND n.metric = b.metric AND n.period = sp.period "
+    "JOIN cv ON cv.subject = b.subject WHERE n.value IS NOT NULL OR sp.day BETWEEN cv.a AND cv.b)"))
+def e08_covered(spark, sf):
+    """Daily drops of generations; a day without orders inside the range of a subject's orders is a 0."""
+    obs = T.observations(spark, sf, ("day",))
+    ranges = obs.groupBy("subject").agg(F.min("period_start").alias("start"), F.max("period_start").alias("end"))
+    pairs = overview.rank_candidates(overview.ranking_input(obs, ranges), T.subjects(spark, sf))
+    return out(overview.change_rankings(pairs, "drop"), "period", "metric", "subject", "rate", "rank")
+
+
 @register("e08_empty_rise_reason", query("oc ob", (
     "SELECT grain, period, metric, CASE WHEN bool_or(before > 0) THEN 'no riser' ELSE 'no comparable data' END AS reason "
     "FROM pr GROUP BY 1, 2, 3 HAVING NOT bool_or(coalesce(before > 0 AND now > before, false))"), _PAIRS))

@@ -276,3 +276,21 @@ def test_batch_never_compares_with_all(spark):
     rhythm = spark.createDataFrame(rows, "subject string, campaign string, day string, orders double, cancel double")
     got = {(r["period"], r["label"]): r["comparison"] for r in compare.kpi_comparison(registry.build_all({"rhythm": rhythm})).collect()}
     assert got["autumn", "orders"]["previous"] == 20.0 and got["spring", "orders"]["status"] == "unavailable" and got["all", "orders"]["status"] == "unavailable"
+
+
+def test_covered_days_are_zeros_in_rankings(spark):
+    rows = [{"metric": "交车锁单", "period": p, "subject": s, "value": v} for s, p, v in (("甲", "2026-01-01", 5.0), ("乙", "2026-01-01", 5.0), ("丙", "2026-01-02", 1.0))]
+    obs = with_start(observations(spark, rows, grain="day"))
+    coverage = spark.createDataFrame([("甲", day("2026-01-01"), day("2026-01-02"))], "subject string, start date, end date")
+    got = {r["subject"]: (r["now"], r["before"]) for r in overview.ranking_input(obs, coverage).collect()}
+    assert got == {"甲": (0.0, 5.0), "乙": (None, 5.0), "丙": (1.0, None)}
+    assert {r["subject"] for r in overview.ranking_input(obs).collect()} == {"丙"}
+    subjects = spark.createDataFrame([("甲", "generation"), ("丙", "brand")], "name string, type string")
+    assert {r["subject"] for r in overview.rank_candidates(overview.ranking_input(obs, coverage), subjects).collect()} == {"甲"}
+
+
+def test_ratio_weights_know_module_names(spark):
+    from metricloom.operators.merge import primary_metric
+
+    df = spark.createDataFrame([(n,) for n in ("order_mix", "small_order_mix", "lock_mix", "大定选配比例", "else")], "report string")
+    assert [r["m"] for r in df.select(primary_metric().alias("m")).collect()] == ["大定", "小订", "交车锁单", "大定", None]
