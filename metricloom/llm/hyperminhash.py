@@ -234,24 +234,27 @@ class Matcher:
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """``k1, k2, label``: the label of each linked set's class, by smallest neighbour and shortcut,
-    until nothing changes. Rounds are few, as each one also follows the labels found so far."""
+    """``k1, k2, label``: the label of each linked set's class.
+
+    Every round gives each node its smallest neighbour, or itself, as parent and follows parents once
+    more; then links are drawn between parents, and those within one fall away. A group of copies
+    shrinks to a few nodes in its first round, so later rounds read next to nothing.
+    """
     name = lambda a, b: F.concat(F.hex(a), F.lit(":"), F.hex(b))
-    one = links.select(name("a1", "a2").alias("u"), name("b1", "b2").alias("v"))
-    edges = written(one.union(one.select("v", "u")).distinct(), "near-edges")
-    labels = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("label"))
-    labels = written(labels, "near-labels")
-    while True:
-        around = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        stepped = labels.join(around, "u").select("u", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        stepped = written(stepped, "near-step")
-        jump = stepped.select(F.col("u").alias("label"), F.col("label").alias("far"))
-        moved = stepped.join(jump, "label").select("u", F.least("label", "far").alias("label"), "was")
-        labels = written(moved, "near-labels")
-        if labels.filter("label != was").limit(1).count() == 0:
-            break
-        labels = labels.select("u", "label")
-    part = F.split("u", ":")
+    ends = links.select(name("a1", "a2").alias("x"), name("b1", "b2").alias("y"))
+    edges = written(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "near-edges")
+    labels = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node"))
+    while edges.limit(1).count():
+        # Edges run from the smaller to the larger end.
+        parents = edges.groupBy(F.col("v").alias("child")).agg(F.min("u").alias("parent"))
+        parents = written(parents, "near-parents")
+        above = parents.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
+        parents = written(parents.join(above, "parent", "left").select("child", F.coalesce("grand", "parent").alias("parent")), "near-parents")
+        up = lambda c: parents.select(F.col("child").alias(c), F.col("parent").alias(f"{c}_up"))  # noqa: E731, B023
+        drawn = edges.join(up("u"), "u", "left").join(up("v"), "v").select(F.coalesce("u_up", "u").alias("x"), F.col("v_up").alias("y"))
+        edges = written(drawn.filter("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "near-edges")
+        labels = written(labels.join(up("label"), "label", "left").select("node", F.coalesce("label_up", "label").alias("label")), "near-labels")
+    part = F.split("node", ":")
     back = lambda i: F.conv(part[i], 16, -10).cast("long")
     return labels.select(back(0).alias("k1"), back(1).alias("k2"), "label")
 
@@ -282,8 +285,11 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     # Smallest identifier of each class, over all copies of its sets.
     named = sketches.select("doc_id", F.col("n").alias("n_shingles"), *_ID)
     sets = named.filter("n_shingles > 0").groupBy(*_ID).agg(F.min("doc_id").alias("least")).join(labels, _ID, "left")
-    low = sets.filter("label is not null").groupBy("label").agg(F.min("least").alias("low"))
-    found = sets.join(low, "label", "left").select(*_ID, F.coalesce("low", "least").alias("low"))
+    linked = sets.filter("label is not null")
+    low = linked.groupBy("label").agg(F.min("least").alias("low"))
+    # Sets without a link have no label to join on, which would bring them together in one task.
+    alone = sets.filter("label is null").select(*_ID, F.col("least").alias("low"))
+    found = linked.join(low, "label").select(*_ID, "low").unionByName(alone)
     out = named.join(found, _ID, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
