@@ -104,19 +104,20 @@ def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     The places to replace come back per document as one short array, joined on its identifier and
     the hash of its text.
     """
-    keyed = docs.withColumn((key := fresh(docs, "text_key")[0]), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    key, id_, key_, cuts_ = fresh(docs, "text_key", "id_", "key_", "cuts_")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     found = find(docs.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))), key, text, owner, max_owners)
-    live = found.filter("live and reported").select(F.col("doc_id.id").alias("id_"), F.col("doc_id.key").alias("key_"), "start", "end").distinct()
-    cuts = live.groupBy("id_", "key_").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts_"))
-    hit = keyed.join(cuts, keyed[doc_id].eqNullSafe(cuts["id_"]) & (keyed[key] == cuts["key_"]), "left")
+    live = found.filter("live and reported").select(F.col("doc_id.id").alias(id_), F.col("doc_id.key").alias(key_), "start", "end").distinct()
+    cuts = live.groupBy(id_, key_).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts_))
+    hit = keyed.join(cuts, keyed[doc_id].eqNullSafe(cuts[id_]) & (keyed[key] == cuts[key_]), "left")
     # From the back, so that earlier places stay true. A cut inside a later one's reach is skipped.
     start = F.struct(F.col(text).alias("t"), F.length(text).alias("from"))
     step = lambda s, c: F.when(
         c["end"] <= s["from"],
         F.struct(F.concat(F.substr(s["t"], F.lit(1), c["start"]), F.lit("[SECRET]"), F.substr(s["t"], c["end"] + 1)).alias("t"), c["start"].cast("int").alias("from")),
     ).otherwise(s)
-    clean = F.when(F.col("cuts_").isNull(), F.col(text)).otherwise(F.aggregate(F.reverse("cuts_"), start, step, lambda s: s["t"]))
+    clean = F.when(F.col(cuts_).isNull(), F.col(text)).otherwise(F.aggregate(F.reverse(F.col(cuts_)), start, step, lambda s: s["t"]))
     out = hit.withColumn(text, clean)
     if length in docs.columns:
-        out = out.withColumn(length, F.when(F.col("cuts_").isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))
+        out = out.withColumn(length, F.when(F.col(cuts_).isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))
     return out.select(*docs.columns)

@@ -90,6 +90,8 @@ def test_mask_takes_owner_specific_values_only(spark):
     own, shared = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "0123456789abcdef0123456789abcdef01234567"
     rows = [(i, f"𝔘 token = \"{shared}\" end", "en", f"s{i}", 5) for i in range(9)] + [(20, f"x token = \"{own}\" y token = \"{own}\" z", "en", "s1", 5), (21, "clean text", "en", None, 10), (22, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("cuts_", F.lit("x")).withColumn("text_key", F.lit(None).cast("string"))
+    assert secrets.mask(docs).columns == docs.columns
     got = {r["doc_id"]: r for r in secrets.mask(docs).collect()}
     assert len(got) == len(rows) and own not in got[20]["text"] and got[20]["text"] == "x token = \"[SECRET]\" y token = \"[SECRET]\" z" and got[20]["n_chars"] == len(got[20]["text"])
     assert got[21]["text"] == "clean text" and got[22]["text"] is None and all(shared in got[i]["text"] for i in range(9))
