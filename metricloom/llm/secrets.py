@@ -2,14 +2,15 @@
 
 Every candidate value is hashed; over the corpus the distinct documents (repositories) and distinct
 sources (owners) of each hash are counted. A value that several owners carry is a widely copied
-example; one that stays with few owners and looks random is a live-looking credential.
+example; one that stays with few owners is a live credential, if it is of a base kind (the first
+three patterns, from their least lengths on) or looks random.
 
 Defined cases: a null or empty text has no secrets; a null source counts as one owner of its own;
 repeated rows are each reported; an empty table gives an empty result; further columns of a table
 that is cleaned are carried along.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.llm.spans import candidates, clear_of, joined
@@ -63,8 +64,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     """A row per candidate with ``rid`` (the input row), ``doc_id, kind, start, end, value, base,
     repositories, owners, live, reported``; an input row without one has a row of nulls.
 
-    ``live``: at most ``max_owners`` distinct owners and a random look. Reported are all base spans
-    and the live ones of further kinds that overlap no base span.
+    ``live``: at most ``max_owners`` distinct owners; a value of a further kind also looks random.
+    Reported are all base spans and the live ones of further kinds that overlap no base span.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(owner)), F.lit("")).alias("owner"), F.col(text).alias("text_"))
     rows = candidates(own, "text_", PATTERNS, ["doc_id", "owner"])
@@ -73,7 +74,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     rows = rows.withColumn("value_hash", F.when(F.col("real"), F.sha2("value", 256)))
     table = written(rows.drop("before", "after", "hit"), "secrets")
     counted = ownership(table.filter("real").select("value_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"), "owner"))
-    live = (F.col("owners") <= max_owners) & (_random_looking(F.col("value")) | F.col("kind").isin("key", "login"))
+    live = (F.col("owners") <= max_owners) & (F.col("base") | _random_looking(F.col("value")) | F.col("kind").isin("key", "login"))
     # Rows without a candidate get a key of their own, so that they don't meet in one task.
     spread = table.withColumn("value_hash", F.coalesce("value_hash", F.concat(F.lit("-"), F.col("rid").cast("string"))))
     judged = spread.join(counted, "value_hash", "left").withColumn("live", F.coalesce(F.col("real") & live, F.lit(False)))
@@ -98,8 +99,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", length: str = "n_chars", max_owners: int = 3) -> DataFrame:
-    """The rows with live-looking secrets replaced by ``[SECRET]`` and ``length`` set to the new text's
-    length where that column exists and the text changed. Examples that many owners share stay.
+    """The rows with live secrets replaced by ``[SECRET]`` and ``length`` set to the new text's length
+    where that column exists and the text changed. Copied examples stay; every other base value goes,
+    random look or not, without the name it is assigned to. Overlapping values go as one.
 
     The places to replace come back per document as one short array, joined on its identifier and
     the hash of its text.
@@ -107,16 +109,18 @@ def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     key, id_, key_, cuts_ = fresh(docs, "text_key", "id_", "key_", "cuts_")
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     found = find(docs.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))), key, text, owner, max_owners)
-    live = found.filter("live and reported").select(F.col("doc_id.id").alias(id_), F.col("doc_id.key").alias(key_), "start", "end").distinct()
-    cuts = live.groupBy(id_, key_).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts_))
+    start = F.when(F.col("kind") == "assign", F.col("end") - F.length("value")).otherwise(F.col("start"))
+    live = found.filter("live and reported").select(F.col("doc_id.id").alias(id_), F.col("doc_id.key").alias(key_), start.alias("start"), "end").distinct()
+    # A cut that begins before an earlier one has ended belongs to the same union.
+    order = Window.partitionBy(id_, key_).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    live = live.withColumn("opens", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("long"))
+    unions = live.withColumn("union", F.sum("opens").over(order)).groupBy(id_, key_, "union").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = unions.groupBy(id_, key_).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts_))
     hit = keyed.join(cuts, keyed[doc_id].eqNullSafe(cuts[id_]) & (keyed[key] == cuts[key_]), "left")
-    # From the back, so that earlier places stay true. A cut inside a later one's reach is skipped.
-    start = F.struct(F.col(text).alias("t"), F.length(text).alias("from"))
-    step = lambda s, c: F.when(
-        c["end"] <= s["from"],
-        F.struct(F.concat(F.substr(s["t"], F.lit(1), c["start"]), F.lit("[SECRET]"), F.substr(s["t"], c["end"] + 1)).alias("t"), c["start"].cast("int").alias("from")),
-    ).otherwise(s)
-    clean = F.when(F.col(cuts_).isNull(), F.col(text)).otherwise(F.aggregate(F.reverse(F.col(cuts_)), start, step, lambda s: s["t"]))
+    # From the back, so that earlier places stay true.
+    step = lambda t, c: F.concat(F.substr(t, F.lit(1), c["start"]), F.lit("[SECRET]"), F.substr(t, c["end"] + 1))
+    clean = F.when(F.col(cuts_).isNull(), F.col(text)).otherwise(F.aggregate(F.reverse(F.col(cuts_)), F.col(text), step))
     out = hit.withColumn(text, clean)
     if length in docs.columns:
         out = out.withColumn(length, F.when(F.col(cuts_).isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))
