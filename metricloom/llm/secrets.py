@@ -1,11 +1,13 @@
 """Secrets, told from examples by corpus-wide ownership frequency.
 
 Every candidate value is hashed; over the corpus the distinct documents (repositories) and distinct
-sources (owners) of each hash are counted. A value that several owners carry is a widely copied
-example; one that stays with few owners is a live credential, if it is of a base kind (the first
-three patterns, from their least lengths on) or looks random.
+sources (owners) of each hash are counted. A value that more than ``MAX_OWNERS`` owners carry, or more
+than ``MAX_PER_OWNER`` documents per owner, is a widely copied example. One that stays with few
+owners and few of their documents is a live credential, if it is of a base kind (the first three
+patterns, from their least lengths on) or looks random.
 
-Defined cases: a null or empty text has no secrets; a null source counts as one owner of its own;
+Defined cases: a null or empty text has no secrets; a null source counts as one owner of its own and
+a null identifier as one document; rows that share an identifier are one document to the counts;
 repeated rows are each reported; an empty table gives an empty result; further columns of a table
 that is cleaned are carried along.
 """
@@ -29,6 +31,9 @@ PATTERNS = [
     ("login", r"://[A-Za-z0-9._%-]{1,64}:[^\s@/:]{6,128}@"),
 ]
 BASE = 3
+#: A credential is found in a handful of its owner's documents; an example goes through many of them,
+#: also where a corpus has one large source or fewer than four. 20 leaves room for a handful.
+MAX_OWNERS, MAX_PER_OWNER = 3, 20
 
 
 def _value() -> Column:
@@ -60,21 +65,27 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_repository.join(by_owner, "value_hash")
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = 3) -> DataFrame:
+def _copied(max_owners: int, max_per_owner: int) -> Column:
+    return (F.col("owners") > max_owners) | (F.col("repositories") > max_per_owner * F.col("owners"))
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS, max_per_owner: int = MAX_PER_OWNER, repository: str | None = None) -> DataFrame:
     """A row per candidate with ``rid`` (the input row), ``doc_id, kind, start, end, value, base,
     repositories, owners, live, reported``; an input row without one has a row of nulls.
 
-    ``live``: at most ``max_owners`` distinct owners; a value of a further kind also looks random.
-    Reported are all base spans and the live ones of further kinds that overlap no base span.
+    ``live``: at most ``max_owners`` distinct owners and, on average, ``max_per_owner`` distinct
+    documents (by ``repository``, or else ``doc_id``) of each; a value of a further kind also looks
+    random. Reported are all base spans and the live ones of further kinds that overlap no base span.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(owner)), F.lit("")).alias("owner"), F.col(text).alias("text_"))
-    rows = candidates(own, "text_", PATTERNS, ["doc_id", "owner"])
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    own = docs.select(F.col(doc_id).alias("doc_id"), named(repository or doc_id).alias("repository"), named(owner).alias("owner"), F.col(text).alias("text_"))
+    rows = candidates(own, "text_", PATTERNS, ["doc_id", "repository", "owner"])
     rows = rows.withColumn("base", _firm()).withColumn("clear", clear_of(rows, _firm())).withColumn("value", _value())
     rows = rows.withColumn("real", F.col("base") | F.coalesce((F.col("pass") >= BASE) & F.col("clear"), F.lit(False)))
     rows = rows.withColumn("value_hash", F.when(F.col("real"), F.sha2("value", 256)))
     table = written(rows.drop("before", "after", "hit"), "secrets")
-    counted = ownership(table.filter("real").select("value_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"), "owner"))
-    live = (F.col("owners") <= max_owners) & (F.col("base") | _random_looking(F.col("value")) | F.col("kind").isin("key", "login"))
+    counted = ownership(table.filter("real").select("value_hash", "repository", "owner"))
+    live = ~_copied(max_owners, max_per_owner) & (F.col("base") | _random_looking(F.col("value")) | F.col("kind").isin("key", "login"))
     # Rows without a candidate get a key of their own, so that they don't meet in one task.
     spread = table.withColumn("value_hash", F.coalesce("value_hash", F.concat(F.lit("-"), F.col("rid").cast("string"))))
     judged = spread.join(counted, "value_hash", "left").withColumn("live", F.coalesce(F.col("real") & live, F.lit(False)))
@@ -83,22 +94,23 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """One row per input row: counts and hash of the base spans, all reported spans, and how many
-    of them look live or are copied examples."""
+    """One row per input row: counts and hash of the base spans, all reported spans with the distinct
+    documents and owners of each in the same order, and how many are live or copied examples."""
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    span = F.when(F.col("reported"), F.struct(order.alias("at"), "kind", "start", "end", "base"))
+    span = F.when(F.col("reported"), F.struct("start", order.alias("at"), "kind", "end", "base", "repositories", "owners"))
     per = found.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"),
         *[F.count(F.when((F.col("kind") == k) & F.col("base"), 1)).alias(f"n_{k}") for k in KINDS[:BASE]],
         F.count(F.when(F.col("reported") & F.col("live"), 1)).alias("n_live"),
         F.count(F.when(F.col("reported") & ~F.col("live"), 1)).alias("n_copied"),
-        F.collect_list(span).alias("spans"),
+        F.sort_array(F.collect_list(span)).alias("spans"),
     )
     base = F.filter("spans", lambda s: s["base"])
-    return per.select("doc_id", *[f"n_{k}" for k in KINDS[:BASE]], F.sha2(joined(base, ["start", "at"]), 256).alias("base_sha256"), joined(F.col("spans"), ["start", "at"]).alias("spans"), "n_live", "n_copied")
+    counts = [F.array_join(F.col(f"spans.{c}").cast("array<string>"), ",").alias(c) for c in ("repositories", "owners")]
+    return per.select("doc_id", *[f"n_{k}" for k in KINDS[:BASE]], F.sha2(joined(base, ["start", "at"]), 256).alias("base_sha256"), joined(F.col("spans"), ["start", "at"]).alias("spans"), "n_live", "n_copied", *counts)
 
 
-def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", length: str = "n_chars", max_owners: int = 3) -> DataFrame:
+def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", length: str = "n_chars", max_owners: int = MAX_OWNERS, max_per_owner: int = MAX_PER_OWNER) -> DataFrame:
     """The rows with live secrets replaced by ``[SECRET]`` and ``length`` set to the new text's length
     where that column exists and the text changed. Copied examples stay; every other base value goes,
     random look or not, without the name it is assigned to. Overlapping values go as one.
@@ -108,7 +120,8 @@ def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     """
     key, id_, key_, cuts_ = fresh(docs, "text_key", "id_", "key_", "cuts_")
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = find(docs.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))), key, text, owner, max_owners)
+    named = docs.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key")))
+    found = find(named, key, text, owner, max_owners, max_per_owner, repository=doc_id)
     start = F.when(F.col("kind") == "assign", F.col("end") - F.length("value")).otherwise(F.col("start"))
     live = found.filter("live and reported").select(F.col("doc_id.id").alias(id_), F.col("doc_id.key").alias(key_), start.alias("start"), "end").distinct()
     # A cut that begins before an earlier one has ended belongs to the same union.

@@ -107,3 +107,18 @@ def test_mask_takes_every_base_value_whole(spark):
     docs = spark.createDataFrame([(i, t, "s1") for i, (t, _) in texts.items()], "doc_id long, text string, source string")
     assert {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()} == {i: want for i, (_, want) in texts.items()}
     assert {(r["n_live"], r["n_copied"]) for r in secrets.digest(secrets.find(docs)).collect() if r["doc_id"] < 4} == {(1, 0)}
+
+
+def test_copies_within_few_owners_are_examples(spark):
+    """Both counts decide: 30 documents of one source copy a token and a base value, two sources have their own."""
+    login, base = "ghp_aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hJ6", "token=04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    own = "ghp_zB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hJ9"
+    rows = [(i, f"{login} {base}", "s1") for i in range(30)] + [(50, f"x {own} y", "s1"), (51, f"{own} y", None), (None, own, None), (None, own, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.digest(secrets.find(docs)).collect()
+    copied = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 50]
+    assert {(r["spans"], r["n_live"], r["n_copied"], r["repositories"], r["owners"]) for r in copied} == {("assign:41:87,hex:47:87", 0, 2, "30,30", "1,1")}
+    assert {(r["n_live"], r["repositories"], r["owners"]) for r in got if r not in copied} == {(1, "3", "2")}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()}
+    assert masked[0] == rows[0][1] and masked[50] == "x [SECRET] y" and masked[None] == "[SECRET]"
+    assert secrets.digest(secrets.find(docs, max_per_owner=30)).filter("n_copied > 0").count() == 0
