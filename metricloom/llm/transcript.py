@@ -7,10 +7,12 @@ it to each state at its end), matrices of neighbouring runs multiply, and once t
 a long run are known, those inside follow from its parts. Runs of lines are built level by level, a few
 hundred parts in a group, and resolved from the top down.
 
-Input is ``conv_id, line_no, line``; ``line_no`` orders the lines and is cut into ranges of ``span``.
+Input is ``conv_id, line_no, line``; ``line_no`` orders the lines. Runs are cut by the count of lines in
+the sorted order, so that equal, negative or far-apart numbers make no run longer or levels more.
 
 Defined cases: a null line is empty; a null conversation is one of its own; a null line number counts
-as the first; equal line numbers are ordered by text; an empty table gives an empty result.
+as 0; numbers below 0 come before it; equal line numbers are ordered by text; an empty table gives an
+empty result.
 """
 
 import math
@@ -36,6 +38,8 @@ MARKERS = {
 _NAMES = "|".join(sorted((x for m in MARKERS.values() for x in m), key=lambda x: (-len(x), x)))
 MARKER = rf"(?i)^\s*(?:#{{1,4}}\s*({_NAMES})\b\s*:?|<\|({_NAMES})\|>|\[({_NAMES})\]\s*:?|\*\*({_NAMES})\s*:?\*\*\s*:?|({_NAMES})\s*:)\s*"
 PARTS, FLOOR = 256, 0.5
+#: Bits of ``monotonically_increasing_id`` that count the rows of a partition; those above name it.
+ROW_BITS = 33
 
 
 def _marked(line: Column) -> Column:
@@ -97,13 +101,12 @@ def _parts(table: pa.Table, matrix) -> list[np.ndarray]:
     return [np.array(m).reshape(N, N) for m in table["m"].to_pylist()]
 
 
-def _multiply(matrix):
+def _multiply(matrix, keys: list[str]):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("at", "ascending"), ("line", "ascending")] if matrix else "at")
         best = None
-        for m in _parts(table, matrix):
+        for m in _parts(table.sort_by("at"), matrix):
             best = m if best is None else (best[:, :, None] + m[None]).max(1)
-        return table.slice(0, 1).select(["conv_id", "run"]).append_column("m", pa.array([best.ravel().tolist()], pa.list_(pa.float64())))
+        return table.slice(0, 1).select(keys).append_column("m", pa.array([best.ravel().tolist()], pa.list_(pa.float64())))
 
     return run
 
@@ -112,7 +115,7 @@ def _resolve(matrix, keep: list[str]):
     """Ends of the parts of a run whose entering and last state are known."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("at", "ascending"), ("line", "ascending")] if matrix else "at")
+        table = table.sort_by("at")
         enter, last = table["enter"][0].as_py(), table["last"][0].as_py()
         score, back = np.full(N, -math.inf), []
         score[enter] = 0.0
@@ -130,50 +133,85 @@ def _resolve(matrix, keep: list[str]):
     return run
 
 
+def _cut(lines: DataFrame, size: int) -> DataFrame:
+    """The lines in the order of conversation, number and text: ``part`` is a range of this order, ``at``
+    the place in it, ``run`` a stretch of at most ``size`` neighbouring places of one part. Identical lines
+    are told apart by where they were read, so that no range is held together by ties."""
+    own = lines.select("conv_id", F.coalesce(F.col("line_no").cast("long"), F.lit(0)).alias("line_no"), F.coalesce("line", F.lit("")).alias("line"), F.monotonically_increasing_id().alias("tie"))
+    order = ["conv_id", "line_no", "line", "tie"]
+    own = features(own.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie").withColumn("at", F.monotonically_increasing_id()))
+    row = F.col("at").bitwiseAND((1 << ROW_BITS) - 1)
+    return written(own.withColumn("part", F.shiftright("at", ROW_BITS)).withColumn("run", F.floor(row / F.lit(size)).cast("long")), "lines")
+
+
+def _same(a: DataFrame, b: DataFrame, *names: tuple[str, str]) -> Column:
+    same = a["conv_id"].eqNullSafe(b["c_"])
+    for x, y in names:
+        same = same & (a[x] == b[y])
+    return same
+
+
+def _earlier(sums: DataFrame, amount: str) -> DataFrame:
+    """``c_, p_, earlier``: what the parts of a conversation before this one add up to. A conversation
+    has one row here per part."""
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(F.col("conv_id").alias("c_"), F.col("part").alias("p_"), F.coalesce(F.sum(amount).over(before), F.lit(0)).alias("earlier"))
+
+
 def decode(lines: DataFrame, model: dict, span: int = PARTS) -> DataFrame:
-    """Adds ``state`` to lines of ``conv_id, line_no, line``."""
+    """Adds ``state`` to lines of ``conv_id, line_no, line``, with ``part, run, at`` of :func:`_cut`. A run
+    has at most ``span`` lines, and never more than ``PARTS``."""
     conv = lines.schema["conv_id"].dataType.simpleString()
     matrix = _line_matrix(model)
-    own = features(lines.select("conv_id", F.coalesce(F.col("line_no").cast("long"), F.lit(0)).alias("at"), F.coalesce("line", F.lit("")).alias("line")))
-    own = written(own.withColumn("run", F.floor(F.col("at") / F.lit(span)).cast("long")), "lines")
-    runs = f"conv_id {conv}, run long, m array<double>"
-    level = written(own.select("conv_id", "run", "at", "line", "seen").groupBy("conv_id", "run").applyInArrow(_multiply(matrix), runs), "runs")
+    own = _cut(lines, min(span, PARTS))
+    keys = ["conv_id", "part", "run"]
+    first = written(own.select(*keys, "at", "seen").groupBy(*keys).applyInArrow(_multiply(matrix, keys), f"conv_id {conv}, part long, run long, m array<double>"), "first-runs")
+    # The runs of a conversation within a part follow each other, and so they are numbered from 0 on.
+    held = first.groupBy("conv_id", "part").agg(F.min("run").alias("low"), (F.max("run") - F.min("run") + 1).alias("runs"))
+    earlier = _earlier(held, "runs").join(held.select(F.col("conv_id").alias("d_"), F.col("part").alias("q_"), "low"), F.col("c_").eqNullSafe(F.col("d_")) & (F.col("p_") == F.col("q_")))
+    numbered = first.join(earlier, _same(first, earlier, ("part", "p_"))).select(*keys, (F.col("earlier") + F.col("run") - F.col("low")).alias("nth"), "m")
+    numbered = written(numbered, "numbered-runs")
+    level = numbered.select("conv_id", F.col("nth").alias("run"), "m")
     levels = []
     # Runs of runs, until every conversation is one: as many rounds as the longest has digits.
-    while (level.agg(F.max(F.abs("run")).alias("most")).first()["most"] or 0) > 0:
+    while (level.agg(F.max("run").alias("most")).first()["most"] or 0) > 0:
         parts = level.select("conv_id", F.col("run").alias("at"), F.floor(F.col("run") / PARTS).cast("long").alias("run"), "m")
         levels.append(parts)
-        level = written(parts.groupBy("conv_id", "run").applyInArrow(_multiply(None), runs), "runs")
+        level = written(parts.groupBy("conv_id", "run").applyInArrow(_multiply(None, ["conv_id", "run"]), f"conv_id {conv}, run long, m array<double>"), "runs")
     # Row 0 of the matrix: from before the first line. Of equal scores the first state counts.
     from_start = F.slice("m", 1, N)
     known = level.select("conv_id", "run", F.lit(0).alias("enter"), (F.array_position(from_start, F.array_max(from_start)) - 1).cast("int").alias("last"))
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["c_"]) & (a["run"] == b["r_"])
     renamed = lambda k: k.select(F.col("conv_id").alias("c_"), F.col("run").alias("r_"), "enter", "last")
     for parts in reversed(levels):
         above = renamed(known)
-        inner = parts.join(above, same(parts, above)).drop("c_", "r_")
+        inner = parts.join(above, _same(parts, above, ("run", "r_"))).drop("c_", "r_")
         found = inner.groupBy("conv_id", "run").applyInArrow(_resolve(None, ["conv_id", "at"]), f"conv_id {conv}, at long, enter int, last int")
         known = written(found.withColumnRenamed("at", "run"), "ends")
     above = renamed(known)
-    inner = own.join(above, same(own, above)).drop("c_", "r_")
-    found = inner.groupBy("conv_id", "run").applyInArrow(_resolve(matrix, ["conv_id", "run", "at", "line"]), f"conv_id {conv}, run long, at long, line string, enter int, last int")
+    ends = numbered.join(above, _same(numbered, above, ("nth", "r_"))).select(F.col("conv_id").alias("c_"), F.col("part").alias("p_"), F.col("run").alias("r_"), "enter", "last")
+    inner = own.join(ends, _same(own, ends, ("part", "p_"), ("run", "r_"))).drop("c_", "p_", "r_")
+    kept = [*keys, "at", "line_no", "line"]
+    found = inner.groupBy(*keys).applyInArrow(_resolve(matrix, kept), f"conv_id {conv}, part long, run long, at long, line_no long, line string, enter int, last int")
     names = F.array(*[F.lit(s) for s in STATES])
-    return found.select("conv_id", "run", F.col("at").alias("line_no"), "line", F.get(names, F.col("last")).alias("state"))
+    return found.select(*kept, F.get(names, F.col("last")).alias("state"))
 
 
 def turns(decoded: DataFrame) -> DataFrame:
     """``conv_id, turn_no, first_line, role, text, rendered`` of each recovered turn. Turns are counted
-    within runs and runs are added up, so that a long conversation is never one task's work."""
+    within runs, and runs are added up within parts and parts within conversations, so that a long
+    conversation is never one task's work."""
     opens = F.col("state").endswith("-open").cast("long")
-    within = Window.partitionBy("conv_id", "run").orderBy("line_no", "line").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("conv_id", "part", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     numbered = written(decoded.withColumn("nth", F.sum(opens).over(within)), "numbered")
-    sums = numbered.groupBy("conv_id", "run").agg(F.max("nth").alias("turns"))
-    before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("c_"), F.col("run").alias("r_"), F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("earlier"))
-    placed = numbered.join(sums, numbered["conv_id"].eqNullSafe(sums["c_"]) & (numbered["run"] == sums["r_"])).withColumn("turn_no", F.col("earlier") + F.col("nth") - 1)
+    sums = numbered.groupBy("conv_id", "part", "run").agg(F.max("nth").alias("turns"))
+    before = Window.partitionBy("conv_id", "part").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = written(sums.withColumn("inside", F.coalesce(F.sum("turns").over(before), F.lit(0))), "turn-counts")
+    earlier = _earlier(sums.groupBy("conv_id", "part").agg(F.sum("turns").alias("turns")), "turns")
+    sums = sums.join(earlier, _same(sums, earlier, ("part", "p_"))).select("c_", "p_", F.col("run").alias("r_"), (F.col("earlier") + F.col("inside")).alias("earlier"))
+    placed = numbered.join(sums, _same(numbered, sums, ("part", "p_"), ("run", "r_"))).withColumn("turn_no", F.col("earlier") + F.col("nth") - 1)
     bare = F.when(F.col("state").endswith("-open"), F.regexp_replace("line", MARKER, "")).otherwise(F.col("line"))
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", bare.alias("text"))))
-    out = placed.groupBy("conv_id", "turn_no").agg(F.min("line_no").alias("first_line"), F.first(F.substring_index("state", "-", 1)).alias("role"), F.regexp_replace(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n"), r"\n+$", "").alias("text"))
+    ordered = F.sort_array(F.collect_list(F.struct("at", bare.alias("text"))))
+    out = placed.groupBy("conv_id", "turn_no").agg(F.min("line_no").alias("first_line"), F.min_by(F.substring_index("state", "-", 1), "at").alias("role"), F.regexp_replace(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n"), r"\n+$", "").alias("text"))
     return out.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.trim("text"), F.lit("\n<|end|>\n")))
 
 

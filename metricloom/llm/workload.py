@@ -159,6 +159,5 @@ def op8(spark, folder):
 @register("op7_transcripts")
 def op7(spark, folder):
     lines = transcript.flatten(table(spark, folder, "conversations"))
-    span = transcript.PARTS * transcript.TURN_LINES
-    found = transcript.turns(transcript.decode(lines.select("conv_id", "line_no", "line"), transcript.learn(lines), span))
+    found = transcript.turns(transcript.decode(lines.select("conv_id", "line_no", "line"), transcript.learn(lines)))
     return found.select("conv_id", "turn_no", F.floor(F.col("first_line") / transcript.TURN_LINES).cast("long").alias("turn"), "role", "text", F.sha2("rendered", 256).alias("rendered_sha256"))

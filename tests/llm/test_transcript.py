@@ -56,3 +56,28 @@ def test_no_lines(spark, talk):
     none = talk.limit(0).select("conv_id", "line_no", "line")
     assert transcript.turns(transcript.decode(none, transcript.learn(talk))).count() == 0
     assert transcript.flatten(spark.createDataFrame([(1, None, None, None), (None, 0, "odd", "x\ny")], "conv_id long, turn long, role string, text string")).count() == 5
+
+
+def score(model, seen, states):
+    matrix, at = transcript._line_matrix(model), [0, *map(transcript.STATES.index, states)]
+    return sum(matrix(s)[a, b] for s, a, b in zip(seen, at, at[1:], strict=False))
+
+
+def test_runs_are_bounded_whatever_the_line_numbers(spark, talk, monkeypatch):
+    """Repeated and negative numbers: no run is longer than PARTS, and decoding ends and stays exact."""
+    model = transcript.learn(talk)
+    rows = [(None, i % 3 - 1, x) for i, x in enumerate(["User: hi", "A: x", "", "b?", "more", "User: hi"] * 20)] + [(1, -1, "User: a"), (1, -(1 << 40), "b")]
+    lines = spark.createDataFrame(rows, "conv_id long, line_no long, line string").repartition(5)
+    monkeypatch.setattr(transcript, "PARTS", 7)
+    decoded = transcript.decode(lines, model).cache()
+    assert decoded.groupBy("conv_id", "part", "run").count().agg({"count": "max"}).first()[0] <= 7
+    seen = {(r["conv_id"], r["line_no"], r["line"]): r["seen"] for r in transcript.features(lines).collect()}
+    for conv in (None, 1):
+        own = sorted((r for r in decoded.collect() if r["conv_id"] == conv), key=lambda r: r["at"])
+        assert [(r["line_no"], r["line"]) for r in own] == sorted((n, x) for c, n, x in rows if c == conv)
+        # Alike lines have several best paths, so the path's score is compared.
+        each = [seen[conv, r["line_no"], r["line"]] for r in own]
+        assert np.isclose(score(model, each, [r["state"] for r in own]), score(model, each, viterbi(model, each)))
+    got = transcript.turns(decoded).filter("conv_id is null").collect()
+    opened = decoded.filter("conv_id is null and endswith(state, '-open')").count()
+    assert sorted(r["turn_no"] for r in got) == list(range(opened))
