@@ -11,8 +11,9 @@ The test set is a stated query set; its windows go to every segment by broadcast
 ``BROADCAST_BYTES`` and are searched in blocks of that size beyond it.
 
 Defined cases: null, empty and wordless texts have no words and no hits; a wordless item has no
-window; repeated rows are each reported; repeated items count once by identifier; an empty corpus or
-test set gives rows without hits or no rows.
+window; repeated rows are each reported; repeated items count once by identifier; items without an
+identifier count as one item, whose place among ``items`` is null and which the digest's hash leaves out;
+an empty corpus or test set gives rows without hits or no rows.
 """
 
 from collections.abc import Iterator
@@ -75,15 +76,19 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size
     return own.select("item_id", "w", start.alias("i")).select("item_id", F.slice("w", F.col("i"), F.lit(size)).alias("terms")).distinct()
 
 
+def _nulls_first(item: str | None) -> tuple[bool, str]:
+    return item is not None, item or ""
+
+
 class Plan:
     """Windows of a block of the test set as arrays, their terms in order of corpus frequency."""
 
     def __init__(self, rows: list, frequency: dict[bytes, int]):
         rows = [(r["item_id"], [t.encode() for t in r["terms"]]) for r in rows]
-        rows = sorted((i, t) for i, t in rows if all(x in frequency for x in t))
+        rows = sorted(((i, t) for i, t in rows if all(x in frequency for x in t)), key=lambda r: (_nulls_first(r[0]), r[1]))
         self.terms = sorted({x for _, t in rows for x in t})
         place = {t: k for k, t in enumerate(self.terms)}
-        self.items = sorted({i for i, _ in rows})
+        self.items = sorted({i for i, _ in rows}, key=_nulls_first)
         item_place = {t: k for k, t in enumerate(self.items)}
         longest = max((len(t) for _, t in rows), default=0)
         self.item = np.array([item_place[i] for i, _ in rows], np.int32)
@@ -146,8 +151,8 @@ def _segment(table: pa.Table, plan: Plan, slack: int) -> pa.Table:
         "segment": pa.array(np.full(n, head["segment"][0].as_py())),
         "n_words": pa.array(np.diff(bounds)),
         "n_hit": pa.array(covered[bounds[1:]] - covered[bounds[:-1]]),
-        "items": pa.array([sorted(x) for x in exact], pa.list_(pa.string())),
-        "near": pa.array([sorted(y - x) for x, y in zip(exact, near, strict=True)], pa.list_(pa.string())),
+        "items": pa.array([sorted(x, key=_nulls_first) for x in exact], pa.list_(pa.string())),
+        "near": pa.array([sorted(y - x, key=_nulls_first) for x, y in zip(exact, near, strict=True)], pa.list_(pa.string())),
         "spans": pa.array(runs, pa.list_(pa.list_(pa.int32()))),
     }
     return pa.table(columns)

@@ -88,3 +88,15 @@ def test_tables_without_rows(spark, empty, given):
     assert hyperminhash.group(empty).count() == 0 and hyperminhash.keep_one(empty).count() == 0
     assert decontaminate.keep_clean(empty, items).count() == 0
     assert decontaminate.keep_clean(given, items.limit(0)).count() == given.count()
+
+
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 100])
+def test_items_without_identifier(spark, monkeypatch, most):
+    """They count as one item and hit like others; the hash leaves them out."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    docs = spark.createDataFrame([(1, "alpha beta gamma x delta y"), (2, "delta"), (3, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta"), ("q", "gamma x"), ("", "y")], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.search(decontaminate.build(docs), decontaminate.windows(items), slack=1)).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"]) for i in (1, 2, 3)] == [(6, 3), (1, 1), (0, 0)]
+    assert got[1]["items_sha256"] == brute.sha(["", "q"]) and got[2]["items_sha256"] == brute.sha([])
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()] == [3]
