@@ -34,11 +34,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Words:
     """``data``: the words' lower-cased bytes one after the other; ``offsets``: where each begins;
-    ``bounds``: index of the first word of each text, and one past the last."""
+    ``bounds``: index of the first word of each text, and one past the last; ``starts``: where each
+    word begins in the bytes of all texts."""
 
     data: np.ndarray
     offsets: np.ndarray
     bounds: np.ndarray
+    starts: np.ndarray
 
     def array(self) -> pa.Array:
         return pa.Array.from_buffers(pa.large_binary(), len(self.offsets) - 1, [None, pa.py_buffer(self.offsets), pa.py_buffer(self.data)])
@@ -71,7 +73,7 @@ def words(texts: pa.Array, kind: np.ndarray) -> Words:
     after[:-1] = inside[1:]
     after[edges[1:] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    return Words(data[inside], np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64), np.searchsorted(starts, offsets))
+    return Words(data[inside], np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64), np.searchsorted(starts, offsets), starts)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

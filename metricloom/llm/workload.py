@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, fim, hyperminhash, mixing, pii, quality, secrets, toxicity, transcript, urlfilter, warc
+from metricloom.llm import collocation, decontaminate, fim, hyperminhash, mixing, pii, quality, secrets, toxicity, transcript, urlfilter, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -179,3 +179,27 @@ FROM p
 @register("op11_fill_in_middle", OP11_SQL)
 def op11(spark, folder):
     return fim.digest(fim.rewrite(table(spark, folder, "documents")))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT lang, row_number() OVER () AS pid, piece FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k) GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS t FROM g WHERE k >= 2 AND f >= 10),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, CAST(x.f AS BIGINT) AS l, CAST(y.f AS BIGINT) AS r, 1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS s
+         FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c) c
+         JOIN g x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(t[1:j], ' ') JOIN g y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(t[j + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY s, j) = 1),
+long AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, array_to_string(t[1:2], ' ') AS phrase, a AS f FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(t[2:3], ' '), a FROM c WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN long ON b.lang = long.lang AND b.phrase = long.phrase WHERE long.f IS NULL OR 100 * long.f < 50 * b.a),
+ranked AS (SELECT kept.*, row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, l, r, n, CAST(s AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@register("op13_collocations", OP13_SQL)
+def op13(spark, folder):
+    return collocation.top(collocation.phrases(table(spark, folder, "documents")))
