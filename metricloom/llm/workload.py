@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import collocation, decontaminate, fim, hyperminhash, mixing, pii, quality, secrets, toxicity, transcript, urlfilter, warc
+from metricloom.llm import collocation, decontaminate, fim, hyperminhash, lm, mixing, pii, quality, secrets, toxicity, transcript, urlfilter, warc
+
+#: Rank file of a public tokenizer.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 QUERIES = {}
 ORACLE = {}
@@ -203,3 +206,9 @@ SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, l, r, n, CAST(s AS BIGINT) AS
 @register("op13_collocations", OP13_SQL)
 def op13(spark, folder):
     return collocation.top(collocation.phrases(table(spark, folder, "documents")))
+
+
+@register("op12_attention_lm")
+def op12(spark, folder):
+    corpus = lm.prepare(table(spark, folder, "documents"), TOKENIZER)
+    return lm.score(corpus, lm.fit(corpus))
