@@ -73,6 +73,14 @@ BAND_ORDER = (
     "0-10000", "10000-20000", "20000-30000", "30000-以上",
 )
 
+# Words between and behind the numbers of an amount band.
+BAND_JOINS = ("至", "到", "~", "～")
+BAND_BELOW = ("以下", "以内")
+BAND_ABOVE = ("以上",)
+
+# Signs of a ranked item, as character classes.
+BRACKETS_OPEN, BRACKETS_CLOSE, PERCENT_SIGNS = "[（(]", "[)）]", "[%％]"
+
 # Grain words used in sheet names.
 GRAINS = {"时": "hour", "天": "day", "周": "week", "月": "month"}
 

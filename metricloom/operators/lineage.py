@@ -3,21 +3,23 @@
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and continue from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. A local session without one gets a new
-    temporary folder; a cluster session is refused, as its machines share no such folder. The
-    files outlive lost executors.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. A local session without one gets a new temporary folder;
+    a cluster session is refused, as its machines share no such folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and continue from there. The files outlive lost
+    executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -547,7 +547,7 @@ def d15(spark, sf):
 
 @register("d38_metric_matrix", query("ls", (
     "SELECT subject, campaign, step AS step_ord, metric, " + r6("value") + " AS value FROM (SELECT ls.*, x.* FROM ls, LATERAL (VALUES ('当日大定数量', orders), ('当日净大定数量', orders - lock / 10), "
-    "('当日小订转大定数量', small), ('当日直接大定数量', vdirect), ('累计直接大定数量', cd), ('累计小订转大定数量', cs), ('累计大定数量', CASE WHEN phase <> 3 THEN co END), "
+    "('当日小订转大定数量', small), ('当日直接大定数量', vdirect), ('累计直接大定数量', cd), ('累计小订转大定数量', cs), ('累计大定数量', co), "
     "('累计小订转化率', srate), ('累计交车锁单数量', vlock), ('每日直接大定占比', vdirect / CASE WHEN orders > 0 THEN orders END), "
     "('累计直接大定占比', cd / CASE WHEN gross > 0 THEN gross END)) x(metric, value))")))
 def d38(spark, sf):

@@ -1,12 +1,15 @@
 """Registered queries: merging of exports, layouts, quality, notes, streaming, expressions."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import names, numbers, periods
 from ..labels import CHANNEL, ORDERS, POWER, QTY, RETAINED, SHARE, STORES
 from ..operators import annotate, coverage, merge, ordered, quality
-from ..operators.lineage import cut_lineage
+from ..operators.lineage import cut_lineage, shared_folder
 from ..plans import overview
 from ..sources import cells as layout
 from ..sources import reports
@@ -224,6 +227,32 @@ def j01(spark, sf):
     return out(merged, "subject", "period", "metric", "value")
 
 
+@register("j01_refresh_folder", query("exw", (
+    f"SELECT subject, period, metric, {_SUM} AS value, f1 AS source_order FROM pcs"),
+    "exl AS (SELECT subject, ps, " + wk("ps") + " AS period, min(f) AS f1, max(f) AS f2, count(*) AS pieces, arg_min(n, f) AS l, arg_max(n, f) AS r, arg_min(lf, f) AS ll, arg_max(lf, f) AS lr "
+    "FROM exw WHERE f > (SELECT min(f) FROM exw) GROUP BY 1, 2), " + _PIECES))
+def j01_folder(spark, sf):
+    """Results after the latest export was added, the second rewritten with right numbers and the first deleted."""
+    root = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    rows = _weekly(spark, sf).withColumn("source_file", F.concat(F.lit("export_"), F.lpad(F.col("source_order").cast("string"), 4, "0")))
+    rows = rows.withColumn("source_sheet", F.lit(None).cast("string")).select(*schemas.OBSERVATIONS.fieldNames())
+    ends = rows.agg(F.min("source_order").alias("first"), F.max("source_order").alias("last")).first()
+    at, spans = F.col("source_order"), T.export_ranges(spark, sf)
+
+    def write(part):
+        part.withColumn("name", F.col("source_file")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").parquet(f"{root}/in")
+
+    wrong = F.when(at == ends["first"] + 1, F.col("value") * 3).otherwise(F.col("value"))
+    write(rows.filter(at < ends["last"]).withColumn("value", wrong))
+    coverage_of = lambda read: spans.join(read.select("source_order").distinct(), "source_order", "left_semi")
+    refresh.refresh_folder(spark, f"{root}/in", f"{root}/out", coverage_of)
+    write(rows.filter((at == ends["last"]) | (at == ends["first"] + 1)))
+    deleted = "name=export_" + str(ends["first"]).zfill(4)
+    refresh.refresh_folder(spark, f"{root}/in", f"{root}/out", coverage_of, exclude=[deleted])
+    merged = refresh.latest_results(spark, f"{root}/out").filter(_scalar())
+    return out(merged, "subject", "period", "metric", "value", "source_order")
+
+
 @register("j03_hourly_counts", query("ev", (
     "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, brand AS subject, count(*) FILTER (event_type = 'purchase') AS orders, count(*) FILTER (event_type = 'error') AS cancel "
     "FROM ev WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2")))

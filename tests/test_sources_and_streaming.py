@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import shutil
 import tempfile
 
 import pytest
@@ -7,7 +9,6 @@ from pyspark.sql import types as T
 
 from helpers import make, observations
 from metricloom import schemas
-from metricloom.operators.merge import merge_report
 from metricloom.sources import reports
 from metricloom.streaming import refresh, rhythm
 
@@ -100,23 +101,73 @@ def test_stream_equals_batch(spark, folder):
     assert got.exceptAll(batch).count() == 0
 
 
-def test_refresh_recomputes_only_touched_periods(spark, folder):
-    ranges = make(spark, schemas.COVERAGE, [
-        {"source_order": 0, "start": dt.date(2026, 7, 1), "end": dt.date(2026, 12, 31)}, {"source_order": 1, "start": dt.date(2027, 1, 1), "end": dt.date(2027, 6, 30)}])
-    first = observations(spark, [{"metric": "大定", "period": "26WK53", "value": 140.0}, {"metric": "大定", "period": "26WK40", "value": 7.0}])
-    second = observations(spark, [{"metric": "大定", "period": "26WK53", "value": 90.0}], source_order=1)
+RANGES = [
+    {"source_order": 0, "start": dt.date(2026, 7, 1), "end": dt.date(2026, 12, 31)}, {"source_order": 1, "start": dt.date(2027, 1, 1), "end": dt.date(2027, 6, 30)},
+    {"source_order": 2, "start": dt.date(2026, 1, 1), "end": dt.date(2026, 6, 30)},
+]
+
+
+def export(spark, folder, name, rows, order):
+    """One export as one file, so that it can be rewritten under its name."""
+    made = tempfile.mkdtemp(dir=folder)
+    observations(spark, rows, source_order=order).coalesce(1).write.mode("overwrite").parquet(made)
+    [part] = [n for n in os.listdir(made) if n.startswith("part-")]
+    shutil.copyfile(f"{made}/{part}", f"{folder}/in/{name}")
+
+
+def test_refresh_replaces_and_withdraws(spark, folder):
+    os.mkdir(folder + "/in")
+    coverage_of = lambda read: make(spark, schemas.COVERAGE, RANGES).join(read.select("source_order").distinct(), "source_order", "left_semi")
+
     def run():
-        refresh.stream_refresh(spark, folder + "/in", folder + "/cp", folder + "/out", lambda _: ranges).awaitTermination()
-    first.write.parquet(folder + "/in")
-    run()
-    second.write.mode("append").parquet(folder + "/in")
-    run()
-    run()
-    results = spark.read.parquet(folder + "/out")
-    assert sorted((r["batch_id"], r["n"]) for r in results.groupBy("batch_id").agg(F.count("*").alias("n")).collect()) == [(0, 2), (1, 1)]
-    got = {r["period"]: r["value"] for r in refresh.latest_results(spark, folder + "/out").collect()}
-    assert got == {"26WK53": 230.0, "26WK40": 7.0}
-    assert {r["value"] for r in merge_report(first.unionByName(second), ranges).collect()} == {230.0, 7.0}
+        refresh.stream_refresh(spark, folder + "/in", folder + "/cp", folder + "/out", coverage_of, marker="done.ready").awaitTermination()
+        return refresh.current_version(spark, folder + "/out")
+
+    def values(version=None):
+        return {r["period"]: r["value"] for r in refresh.latest_results(spark, folder + "/out", version).collect()}
+
+    export(spark, folder, "a.parquet", [{"metric": "大定", "period": "26WK53", "value": 140.0}, {"metric": "大定", "period": "26WK40", "value": 7.0}], 0)
+    export(spark, folder, "c.parquet", [{"metric": "大定", "period": "26WK10", "value": 3.0}, {"metric": "大定", "period": "26WK40", "value": 9.0}], 2)
+    assert run() == 1 and values() == {"26WK53": 140.0, "26WK40": 7.0, "26WK10": 3.0}
+    # An unchanged folder starts no batch and makes no version.
+    assert run() == 1
+    export(spark, folder, "b.parquet", [{"metric": "大定", "period": "26WK53", "value": 90.0}], 1)
+    assert run() == 2 and values() == {"26WK53": 230.0, "26WK40": 7.0, "26WK10": 3.0}
+    # Rewritten under its name: one key changes, one is new, one is left to the other export.
+    export(spark, folder, "a.parquet", [{"metric": "大定", "period": "26WK53", "value": 100.0}, {"metric": "大定", "period": "26WK41", "value": 1.0}], 0)
+    assert run() == 3 and values() == {"26WK53": 190.0, "26WK41": 1.0, "26WK40": 9.0, "26WK10": 3.0}
+    os.remove(folder + "/in/c.parquet")
+    assert run() == 4 and values() == {"26WK53": 190.0, "26WK41": 1.0}
+    # A reader that holds a version sees it unchanged.
+    assert values(2) == {"26WK53": 230.0, "26WK40": 7.0, "26WK10": 3.0}
+    # Added, rewritten and deleted at once, behind a marker that must be newest.
+    with open(folder + "/in/done.ready", "w"):
+        pass
+    os.utime(folder + "/in/done.ready", (1, 1))
+    export(spark, folder, "d.parquet", [{"metric": "大定", "period": "26WK20", "value": 5.0}], 2)
+    export(spark, folder, "a.parquet", [{"metric": "大定", "period": "26WK41", "value": 2.0}], 0)
+    os.remove(folder + "/in/b.parquet")
+    assert run() == 4 and refresh.refresh_folder(spark, folder + "/in", folder + "/out", coverage_of, marker="done.ready") is None
+    os.utime(folder + "/in/done.ready")
+    assert run() == 5 and values() == {"26WK41": 2.0, "26WK20": 5.0}
+    assert run() == 5
+    for name in ("a", "d"):
+        os.remove(f"{folder}/in/{name}.parquet")
+    os.utime(folder + "/in/done.ready", (2**31, 2**31))
+    assert run() == 6 and values() == {}
+
+
+def test_second_refresh_of_a_version_is_refused(spark, folder, monkeypatch):
+    os.mkdir(folder + "/in")
+    coverage_of = lambda read: make(spark, schemas.COVERAGE, RANGES)
+    export(spark, folder, "a.parquet", [{"metric": "大定", "period": "26WK40", "value": 7.0}], 0)
+    refresh.refresh_folder(spark, folder + "/in", folder + "/out", coverage_of)
+    # Another one that started before the first was done.
+    monkeypatch.setattr(refresh, "current_version", lambda *_: 0)
+    with pytest.raises(Exception, match="(?i)already exists"):
+        refresh.refresh_folder(spark, folder + "/in", folder + "/out", coverage_of)
+    monkeypatch.undo()
+    assert refresh.latest_results(spark, folder + "/out").first()["value"] == 7.0
 
 
 def test_batch_of_all_analyses(spark, folder):
