@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import annotation_key, chart_period_key
 from .lineage import cut_lineage
-from .ordered import union_all
+
 
 def ancestors(subjects: DataFrame) -> DataFrame:
     """(id, ancestor) pairs, the subject itself included; parents named by id or by name.
@@ -99,43 +99,128 @@ def note_problem(date: Column, subject: Column, text: Column) -> Column:
     )
 
 
+#: State of a note that does not exist, beside the versions of those that do.
+_ABSENT = -(1 << 62)
+
+
+def _effect(action: str, expected: int, wrong: bool) -> tuple[int, int] | None:
+    """The one state that a change acts on and what it makes of it; None where it can act on none."""
+    if action == "add":
+        return None if wrong else (_ABSENT, 1)
+    if expected is None or (wrong and action != "delete"):
+        return None
+    return expected, _ABSENT if action == "delete" else expected + 1
+
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*[batch.column(c).to_pylist() for c in ("_pid", "id", "ord", "action", "expected_version", "_wrong", "_version")], strict=True)
+
+
+def _maps(batches):
+    """The changes at the edges of each part, composed: (part, note, first state, states, results)."""
+    import pyarrow as pa
+
+    def composed(key, held, effects):
+        # From the last change back: what acts on a must end where b, which it makes of a, ends.
+        ends = {}
+        for effect in reversed(effects):
+            if effect is not None:
+                ends[effect[0]] = ends.get(effect[1], effect[1])
+        return *key, held, sorted(ends), [ends[k] for k in sorted(ends)]
+
+    def of_parts():
+        key, held, effects, first = None, None, [], True
+        for pid, note, _, action, expected, wrong, version in _rows(batches):
+            if key != (pid, note):
+                if key is not None and (first or pid != key[0]):
+                    yield composed(key, held, effects)
+                first = key is None or pid != key[0]
+                key, held, effects = (pid, note), _ABSENT if version is None else version, []
+            effects.append(_effect(action, expected, wrong))
+        if key is not None:
+            yield composed(key, held, effects)
+
+    for row in of_parts():
+        yield pa.RecordBatch.from_pylist([dict(zip(("_pid", "id", "held", "states", "ends"), row, strict=True))], schema=pa.schema(
+            [("_pid", pa.int32()), ("id", pa.string()), ("held", pa.int64()), ("states", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
+
+
+def _walk(batches):
+    """States that meet the parts of a note, one part after the other."""
+    import bisect
+
+    import pyarrow as pa
+
+    note, state, out = None, None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in ("_pid", "id", "held", "states", "ends")}
+            if row["id"] != note:
+                note, state = row["id"], row["held"]
+            out.append((row["_pid"], note, state))
+            at = bisect.bisect_left(row["states"], state)
+            if at < len(row["states"]) and row["states"][at] == state:
+                state = row["ends"][at]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], names=["_pid", "id", "state"])
+
+
+def _judged(met: dict):
+    def run(batches):
+        import pyarrow as pa
+
+        here, state = None, None
+        for batch in batches:
+            status, made = [], []
+            for pid, note, _, action, expected, wrong, version in _rows([batch]):
+                if here != (pid, note):
+                    here = (pid, note)
+                    state = met.get(here, _ABSENT if version is None else version)
+                there = state != _ABSENT
+                if action == "add":
+                    code = 409 if there else 422 if wrong else 200
+                else:
+                    code = 404 if not there else 409 if expected != state else 422 if wrong and action != "delete" else 200
+                status.append(code)
+                made.append((state if there else 0) + 1 if code == 200 else None)
+                if code == 200:
+                    state = _effect(action, expected, wrong)[1]
+            columns = [batch.column(c) for c in ("id", "ord", "action", "date", "subject", "text")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(status, pa.int32()), pa.array(made, pa.int32())], names=["id", "ord", "action", "date", "subject", "text", "status", "new_version"])
+
+    return run
+
+
 def apply_changes(current: DataFrame, changes: DataFrame, subjects: DataFrame):
     """Apply add / update / delete to versioned notes in the order of ``ord``.
 
-    Every change meets the state that the accepted ones before it left, so a later change of
-    the same note counts when the first failed or when it expects the version the first made.
-    One round accepts the first acceptable change of every note, by an aggregate and a join and
-    without gathering a note's changes; there are as many rounds as a note has accepted changes.
-    Returns (new state, one status row per change).
+    Every change meets the state that the accepted ones before it left, so a later change of the same
+    note counts when the first failed or when it expects the version the first made. A change acts on
+    one state only (no note, or one version), which makes runs of changes easy to compose:
+
+    1. changes are cut by ranges of (note, ord) into parts, so a note with a third of all changes lies
+       in many parts, and lie in order there;
+    2. the run at each edge of a part is composed to one table of states and results, and these are
+       walked note by note: two rows per part, streamed;
+    3. each part is judged from the states that meet it.
+
+    Three passes, however many changes a note has. Returns (new state, one status row per change).
     """
     allowed = subjects.select(F.col("id").alias("subject"), F.lit(True).alias("_ok"))
     bad = note_problem(F.col("date"), F.col("subject"), F.col("text")).isNotNull() | (F.col("_ok").isNull() & (F.col("subject") != "*"))
-    adds = F.col("action") == "add"
-    wrong = (F.col("action") != "delete") & bad
-    left = changes.join(allowed, "subject", "left").withColumn("_wrong", F.coalesce(wrong, F.lit(False)))
-    left = cut_lineage(left.select("id", "ord", "action", "expected_version", "date", "subject", F.trim("text").alias("text"), "_wrong"))
-    state, judged = current.select("id", "date", "subject", "text", "version"), []
-    while not left.isEmpty():
-        held = state.select("id", F.col("version").alias("_version"))
-        there = F.col("_version").isNotNull()
-        status = (
-            F.when(adds & there, 409).when(~adds & ~there, 404)
-            .when(~adds & ~F.coalesce(F.col("expected_version") == F.col("_version"), F.lit(False)), 409)
-            .when(F.col("_wrong"), 422).otherwise(200)
-        )
-        seen = left.join(held, "id", "left").withColumn("status", status)
-        first = seen.filter("status = 200").groupBy("id").agg(F.min("ord").alias("_first"))
-        reached = cut_lineage(seen.join(first, "id", "left"))
-        # Up to and with the accepted change the verdicts are final; what follows meets the new state.
-        final = reached.filter("_first is null or ord <= _first")
-        made = F.when(F.col("status") == 200, F.coalesce("_version", F.lit(0)) + 1)
-        judged.append(final.select("id", "ord", "action", "status", made.alias("new_version")))
-        accepted = final.filter("status = 200").select(
-            "id", "action", F.col("date").alias("n_date"), F.col("subject").alias("n_subject"), F.col("text").alias("n_text"), made.alias("n_version")
-        )
-        joined = state.join(accepted, "id", "full").filter("action is null or action <> 'delete'")
-        edited = F.col("action").isNotNull()
-        state = cut_lineage(joined.select("id", *[F.when(edited, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("date", "subject", "text", "version")]))
-        left = reached.filter("ord > _first").drop("_version", "_first", "status")
-    audit = union_all(judged) if judged else changes.limit(0).select("id", "ord", "action", F.lit(0).alias("status"), F.lit(0).alias("new_version"))
-    return state, audit
+    wrong = F.coalesce((F.col("action") != "delete") & bad, F.lit(False))
+    state = current.select("id", "date", "subject", "text", "version")
+    told = changes.join(allowed, "subject", "left").join(state.select("id", F.col("version").cast("long").alias("_version")), "id", "left")
+    told = told.select("id", F.col("ord").cast("long").alias("ord"), "action", F.col("expected_version").cast("long").alias("expected_version"), "date", "subject", F.trim("text").alias("text"), wrong.alias("_wrong"), "_version")
+    parts = cut_lineage(told.repartitionByRange("id", "ord").sortWithinPartitions("id", "ord").withColumn("_pid", F.spark_partition_id()))
+    edges = parts.mapInArrow(_maps, "_pid int, id string, held long, states array<long>, ends array<long>")
+    walked = edges.repartition("id").sortWithinPartitions("id", "_pid").mapInArrow(_walk, "_pid int, id string, state long")
+    # Two rows per part.
+    met = {(r["_pid"], r["id"]): r["state"] for r in walked.collect()}
+    schema = "id string, ord long, action string, date string, subject string, text string, status int, new_version int"
+    judged = cut_lineage(parts.mapInArrow(_judged(met), schema))
+    last = judged.filter("status = 200").groupBy("id").agg(F.max_by(F.struct("action", "date", "subject", "text", F.col("new_version").alias("version")), "ord").alias("n"))
+    joined = state.join(last, "id", "full").filter("n is null or n.action <> 'delete'")
+    edited = F.col("n").isNotNull()
+    made = joined.select("id", *[F.when(edited, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("date", "subject", "text", "version")])
+    return made, judged.select("id", "ord", "action", "status", "new_version")

@@ -9,46 +9,65 @@ from ..functions.periods import day_key, day_label, iso_week
 from ..functions.text import bind
 
 
-def _chunked(df: DataFrame, order: str, chunk: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+#: Largest position that is assumed where none is told: a sheet has at most so many rows.
+MOST_POSITIONS = 1 << 20
 
 
-def forward_fill(df: DataFrame, columns, part, order: str, chunk: int = 65536) -> DataFrame:
+def _before(totals: DataFrame, part: list, at: str, most: int, chunk: int, total, running, both, names: list) -> DataFrame:
+    """Exclusive scan of one row per (part, ``at``): columns ``names`` folded over all lower positions.
+
+    No window holds more than ``chunk`` rows: where there may be more positions, they are cut into
+    chunks whose totals are scanned one level higher. ``total(at)`` and ``running(window)`` fold the
+    columns of a chunk; ``both(name, lower)`` puts a higher level's result in front of a chunk's own.
+    """
+    if most <= chunk:
+        w = Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(*part, at, *[c.alias(n) for n, c in zip(names, running(w), strict=True)])
+    up = at + "_"
+    cut = totals.withColumn(up, F.floor(F.col(at) / chunk))
+    above = cut.groupBy(*part, up).agg(*[c.alias(n) for n, c in zip(names, total(at), strict=True)])
+    above = _before(above, part, up, -(-most // chunk), chunk, total, running, both, names)
+    above = above.select(*part, up, *[F.col(n).alias(f"{n}_up") for n in names])
+    w = Window.partitionBy(*part, up).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    inner = cut.select(*part, at, up, *[c.alias(n) for n, c in zip(names, running(w), strict=True)])
+    return inner.join(above, [*part, up], "left").select(*part, at, *[both(F.col(n), F.col(f"{n}_up")).alias(n) for n in names])
+
+
+def forward_fill(df: DataFrame, columns, part, order: str, chunk: int = 65536, most: int = MOST_POSITIONS) -> DataFrame:
     """Carry the last known value of ``columns`` down ``order`` inside ``part``.
 
-    The rows of a key are cut into chunks of ``order``; each chunk is filled on its own
-    and only one carry row per chunk is looked at across the whole key, so a key with a
-    third of the table does not end up in one task.
+    The rows of a key are cut into chunks of ``order``; each chunk is filled on its own and one carry
+    row per chunk is scanned across the key, in as many levels as ``most`` positions need for windows
+    of at most ``chunk`` rows. A key with a third of the table so never ends up in one task.
     """
     part, columns = list(part), list(columns)
-    cut = _chunked(df, order, chunk)
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
     keys = part + ["_chunk"]
+    names = [f"_c_{c}" for c in columns]
+    last = lambda values, at: [F.max_by(v, F.when(F.col(v).isNotNull(), F.col(at))) for v in values]
+    carry = cut.groupBy(*keys).agg(*[c.alias(n) for n, c in zip(names, last(columns, order), strict=True)])
+    carry = _before(
+        carry, part, "_chunk", -(-most // chunk), chunk, lambda at: last(names, at),
+        lambda w: [F.last(n, ignorenulls=True).over(w) for n in names], lambda own, up: F.coalesce(own, up), names,
+    )
     here = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    carry = cut.groupBy(*keys).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_c_{c}") for c in columns]
-    )
-    before = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select(
-        *keys, *[F.last(f"_c_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in columns]
-    )
-    filled = cut.select(
-        "*", *[F.last(c, ignorenulls=True).over(here).alias(f"_h_{c}") for c in columns]
-    )
+    filled = cut.select("*", *[F.last(c, ignorenulls=True).over(here).alias(f"_h_{c}") for c in columns])
     joined = filled.join(carry, keys, "left")
     for c in columns:
         joined = joined.withColumn(c, F.coalesce(f"_h_{c}", f"_c_{c}"))
     return joined.select(*df.columns)
 
 
-def running_count(df: DataFrame, flag: Column, name: str, part, order: str, chunk: int = 65536) -> DataFrame:
-    """Number of rows with ``flag`` up to and including this one, chunked like forward_fill."""
+def running_count(df: DataFrame, flag: Column, name: str, part, order: str, chunk: int = 65536, most: int = MOST_POSITIONS) -> DataFrame:
+    """Number of rows with ``flag`` up to and including this one, in levels like forward_fill."""
     part = list(part)
-    cut = _chunked(df.withColumn("_flag", F.when(flag, 1).otherwise(0)), order, chunk)
+    cut = df.withColumn("_flag", F.when(flag, 1).otherwise(0)).withColumn("_chunk", F.floor(F.col(order) / chunk))
     keys = part + ["_chunk"]
+    base = _before(
+        cut.groupBy(*keys).agg(F.sum("_flag").alias("_n")), part, "_chunk", -(-most // chunk), chunk, lambda at: [F.sum("_n")],
+        lambda w: [F.coalesce(F.sum("_n").over(w), F.lit(0))], lambda own, up: own + F.coalesce(up, F.lit(0)), ["_n"],
+    ).withColumnRenamed("_n", "_base")
     here = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = cut.groupBy(*keys).agg(F.sum("_flag").alias("_n"))
-    base = base.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     counted = cut.withColumn("_here", F.sum("_flag").over(here)).join(base, keys, "left")
     return counted.withColumn(name, (F.col("_here") + F.col("_base")).cast("bigint")).select(*df.columns, name)
 

@@ -652,6 +652,27 @@ def c17_state(spark, sf):
     return out(_changed(spark, sf)[0], "id", "date", "text", "version")
 
 
+@register("c17_chained_changes", query("ev", (
+    "SELECT generation AS id, event_id AS ord, CASE WHEN n = 1 OR event_type <> 'view' THEN 200 ELSE 409 END AS status, CASE WHEN n = 1 THEN 1 WHEN event_type <> 'view' THEN 1 + done END AS new_version FROM "
+    "(SELECT *, row_number() OVER w AS n, count(*) FILTER (event_type <> 'view' AND NOT first) OVER w AS done FROM "
+    "(SELECT *, event_id = min(event_id) OVER (PARTITION BY generation) AS first FROM ev) WINDOW w AS (PARTITION BY generation ORDER BY event_id ROWS UNBOUNDED PRECEDING))")))
+def c17_chained(spark, sf):
+    """One note per generation with all its events as updates, each of which expects what the one
+    before made; views come with a stale version."""
+    e = T.event_places(spark, sf).select("event_id", "generation", "event_type", "ts")
+    first = e.groupBy("generation").agg(F.min("event_id").alias("first"))
+    most = e.agg(F.max("event_id")).first()[0] + 1
+    moved = (F.col("event_type") != "view") & (F.col("event_id") != F.col("first"))
+    counted = ordered.running_count(e.join(first, "generation"), moved, "done", ["generation"], "event_id", most=most)
+    changes = counted.select(
+        F.col("generation").alias("id"), F.col("event_id").alias("ord"), F.when(F.col("event_id") == F.col("first"), "add").otherwise("update").alias("action"),
+        F.when(moved, F.col("done")).otherwise(0).cast("int").alias("expected_version"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.lit("*").alias("subject"), F.col("event_type").alias("text"),
+    )
+    _, audit = annotate.apply_changes(T.notes(spark, sf), changes, T.subjects(spark, sf))
+    return out(audit, "id", "ord", "status", "new_version")
+
+
 @register("h22_note_problem", (
     "SELECT problem, count(*) AS n FROM (SELECT CASE WHEN length(text) > 80 THEN 'length' WHEN regexp_matches(trim(text), '[\\x00-\\x1f\\x7f]') THEN 'control character' ELSE 'ok' END AS problem FROM conversations) GROUP BY 1"))
 def h22(spark, sf):

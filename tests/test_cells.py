@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,24 @@ def test_compressed_labels_keep_gaps(spark):
     df = spark.createDataFrame([("k", x) for x in labels + labels], "k string, l string")
     runs = {(r["kind"], r["first_label"], r["last_label"]) for r in ordered.compress_labels(df, ["k"], "l").collect()}
     assert runs == {("week", "26WK01", "26WK02"), ("week", "26WK04", "26WK04"), ("date", "2026-01-01", "2026-01-02"), ("D", "D1", "D1"), ("D", "D3", "D3"), ("TOP", "TOP2", "TOP3"), ("other", "其他", "其他")}
+
+
+def test_scans_in_levels_hold_small_windows(spark):
+    n = 5000
+    rows = [("x", i, i // 7 if i % 7 == 3 else None) for i in range(n)] + [("y", i, i) for i in (5, 4097)] + [("y", 4999, None)]
+    df = spark.createDataFrame(rows, "k string, r int, v int").repartition(5)
+    filled = ordered.forward_fill(df, ["v"], ["k"], "r", chunk=4, most=n)
+    counted = ordered.running_count(df, F.col("v").isNotNull(), "n", ["k"], "r", chunk=4, most=n)
+    last = {}
+    want_v, want_n = {}, {}
+    for k, r, v in sorted(rows):
+        seen, count = last.get(k, (None, 0))
+        last[k] = (v if v is not None else seen, count + (v is not None))
+        want_v[k, r], want_n[k, r] = last[k]
+    assert {(r["k"], r["r"]): r["v"] for r in filled.collect()} == want_v
+    assert {(r["k"], r["r"]): r["n"] for r in counted.collect()} == want_n
+    # Every window is cut by the chunks of its level; only the top one, of at most 4 rows, is not.
+    for frame in (filled, counted):
+        cuts = re.findall(r"windowspecdefinition\(k#\d+[^,]*, (\w+)#\d+", frame._jdf.queryExecution().optimizedPlan().toString())
+        parts = [c for c in cuts if c.startswith("_chunk")]
+        assert len(set(parts)) >= 6

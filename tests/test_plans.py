@@ -1,5 +1,7 @@
 import datetime as dt
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +296,53 @@ def test_ratio_weights_know_module_names(spark):
 
     df = spark.createDataFrame([(n,) for n in ("order_mix", "small_order_mix", "lock_mix", "大定选配比例", "else")], "report string")
     assert [r["m"] for r in df.select(primary_metric().alias("m")).collect()] == ["大定", "小订", "交车锁单", "大定", None]
+
+
+def changed_one_by_one(current, changes):
+    notes, audit = dict(current), {}
+    for key, n, action, expected, text in sorted(changes, key=lambda c: c[1]):
+        version, wrong = notes.get(key, (None, None))[0], text == ""
+        if action == "add":
+            status = 409 if version is not None else 422 if wrong else 200
+        else:
+            status = 404 if version is None else 409 if expected != version else 422 if wrong and action != "delete" else 200
+        audit[n] = (status, (version or 0) + 1 if status == 200 else None)
+        if status == 200:
+            notes[key] = ((version or 0) + 1, text)
+            if action == "delete":
+                del notes[key]
+    return notes, audit
+
+
+def test_long_chains_of_changes_equal_one_by_one(spark):
+    rng = random.Random(6)
+    version, changes = 3, []
+    for n in range(6000):
+        key = "hot" if rng.random() < 0.8 else f"k{rng.randrange(40)}"
+        action = rng.choices(["update", "add", "delete"], [90, 5, 1])[0]
+        expected = version + rng.choice([0, 0, 0, 0, 1, -1]) if key == "hot" else rng.randint(1, 3)
+        changes.append((key, n * 7, action, rng.choice([None, expected]) if rng.random() < 0.05 else expected, rng.choice(["", "text", "more"])))
+        if key == "hot" and action == "update" and rng.random() < 0.7:
+            version += 1
+        if key == "hot" and action == "delete":
+            version = 1
+    current = {"hot": (3, "old"), "k1": (1, "old"), "k99": (4, "kept")}
+    notes = spark.createDataFrame([(k, "2026-01-01", "*", t, v) for k, (v, t) in current.items()], annotate_schema("id date subject text version"))
+    rows = spark.createDataFrame([(k, n, a, e, "2026-01-02", "*", t) for k, n, a, e, t in changes], annotate_schema("id ord action expected_version date subject text")).repartition(3)
+    subjects = spark.createDataFrame([("g", "G", "group", None)], "id string, name string, type string, parent string")
+    jobs = []
+    for part in (rows.filter("ord < 70"), rows):
+        spark.sparkContext.setJobGroup(f"changes-{len(jobs)}", "")
+        state, audit = annotate.apply_changes(notes, part, subjects)
+        got = {r["ord"]: (r["status"], r["new_version"]) for r in audit.collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"changes-{len(jobs)}")))
+    want_notes, want = changed_one_by_one(current, changes)
+    assert got == want and sum(s == 200 for s, _ in want.values()) > 100
+    assert {r["id"]: (r["version"], r["text"]) for r in state.collect()} == want_notes
+    # As many rounds for 6,000 changes as for 10.
+    assert abs(jobs[0] - jobs[1]) <= 2
+
+
+def annotate_schema(names):
+    kinds = {"version": "int", "ord": "long", "expected_version": "int"}
+    return ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names.split())
