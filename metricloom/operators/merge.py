@@ -399,19 +399,6 @@ def period_union(*frames) -> DataFrame:
     return out.distinct()
 
 
-# Which merge serves which report; other layouts stay separate.
-MERGE_PLAN = {
-    "order_mix": "matrix", "small_order_mix": "matrix", "lock_mix": "matrix",
-    "launch_rhythm": "steps", "cancellation_hourly": "records", "cancellation_daily": "records",
-    "cancellation_option": "blocks", "conversion": "records", "option_fee": "fee", "sku": "blocks",
-}
-
-
-def merge_plan(report: Column) -> Column:
-    lookup = F.create_map(*[F.lit(x) for pair in MERGE_PLAN.items() for x in pair])
-    return F.coalesce(lookup[report], F.lit("separate"))
-
-
 def dedupe_messages(messages: DataFrame) -> DataFrame:
     return messages.dropDuplicates()
 

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import names, numbers, periods
-from ..labels import CHANNEL, ORDERS, POWER, QTY, RETAINED, SHARE, STORES
+from ..labels import CHANNEL, DELIVERED, GRAINS, LOCKED, ORDERS, POWER, QTY, RETAINED, SHARE, STORES
 from ..operators import annotate, coverage, merge, ordered, quality
 from ..operators.lineage import cut_lineage, shared_folder
-from ..plans import overview
+from ..plans import channel, dispatch, overview, structures
 from ..sources import cells as layout
 from ..sources import reports
 from ..streaming import refresh, rhythm
 from . import tables as T
 from .registry import out, register
-from .sql import dbl, query, r6, wk, dy
+from .sql import dbl, dy, mo, query, r6, wk
 
 # ---- merging ----------------------------------------------------------------------------
 
@@ -299,6 +299,68 @@ def e13_count(spark, sf):
     return out(counted, "event_id", "block")
 
 
+# ---- from cells to figures ---------------------------------------------------------------
+
+def _export_cells(obs, word, file):
+    """Observations as sheets: one per subject and grain, labels in columns 1 to 3."""
+    sheet = F.concat("subject", F.lit("by"), F.element_at(F.create_map(*[F.lit(x) for w, g in GRAINS.items() for x in (g, w)]), F.col("grain")))
+    told = obs.select(F.concat(F.lit(file), F.lpad(F.col("source_order").cast("string"), 4, "0"), F.lit(word)).alias("file"), sheet.alias("sheet"), "period", "metric", "stat", "category", "value")
+    at = ["file", "sheet"]
+    rows = told.select(*at, "metric", "stat", "category").distinct().withColumn("row", F.row_number().over(Window.partitionBy(*at).orderBy("metric", "stat", "category")) + 1)
+    columns = told.select(*at, "period").distinct().withColumn("col", F.row_number().over(Window.partitionBy(*at).orderBy("period")) + 3)
+    body = told.join(rows, [*at, "metric", "stat", "category"]).join(columns, [*at, "period"])
+    place = (F.col("file"), F.col("sheet"))
+    return ordered.union_all([
+        _cells(columns, *place, F.lit(1), F.col("col"), s=F.col("period")), _cells(body, *place, F.col("row"), F.col("col"), d=F.col("value")),
+        *[_cells(rows, *place, F.col("row"), F.lit(i), s=F.col(c)) for i, c in enumerate(("metric", "stat", "category"), 1)],
+    ])
+
+
+# Exports prove their range by the first and last day that they show; a week is added up where its
+# two exports end and begin next to each other.
+_PROVEN = (
+    "cov AS (SELECT f, min(day) AS a, max(day) AS b, min(day) FILTER (st = 'F') AS la, max(day) FILTER (st = 'F') AS lb FROM ex0 GROUP BY f), "
+    "ok AS (SELECT f1, f2, b = cut AND a = cut + 1 AS ok, lb = cut AND la = cut + 1 AS lok FROM (SELECT e.f AS f1, n.f AS f2, e.b, e.lb, n.a, n.la, "
+    "CASE WHEN e.f % 2 = 1 THEN make_date(2023 + e.f // 2, 12, 31) ELSE make_date(2023 + e.f // 2, 6, 30) END AS cut FROM cov e JOIN cov n ON n.f = e.f + 1)), "
+    "wk AS (SELECT e.*, coalesce(ok, false) AS ok, coalesce(lok, false) AS lok FROM exl e LEFT JOIN ok USING (f1, f2)), "
+    "sg AS (SELECT subject, seg, CAST(date_trunc('week', day) AS DATE) AS ps, f, CAST(count(*) AS DOUBLE) AS n FROM ex0 GROUP BY 1, 2, 3, 4), "
+    "sgl AS (SELECT s.*, s.pieces > 1 AND s.l <> s.r AND w.ok AS added FROM (SELECT subject, seg, ps, count(*) AS pieces, arg_min(n, f) AS l, arg_max(n, f) AS r, arg_min(sh, f) AS share "
+    "FROM (SELECT sg.*, n / sum(n) OVER (PARTITION BY subject, ps, f) AS sh FROM sg) GROUP BY 1, 2, 3) s JOIN wk w USING (subject, ps)), "
+    "sgm AS (SELECT *, CASE WHEN added THEN l + r ELSE l END AS n FROM sgl), "
+    "grown AS (SELECT subject, ps FROM sgl WHERE added UNION SELECT subject, ps FROM wk WHERE pieces > 1 AND ok AND (l <> r OR ll <> lr)), "
+    "calm AS (SELECT subject, 'day' AS grain, " + dy("day") + " AS period, st FROM ex0 UNION ALL SELECT subject, 'month', " + mo("day") + ", st FROM ex0), "
+    "ov AS (SELECT subject, grain, period, CAST(count(*) AS DOUBLE) AS orders, CAST(count(*) FILTER (st = 'F') AS DOUBLE) AS retained, CAST(count(*) FILTER (st = 'F') AS DOUBLE) AS locked FROM calm GROUP BY 1, 2, 3 UNION ALL "
+    "SELECT subject, 'week', period, CASE WHEN pieces > 1 AND l <> r AND ok THEN l + r ELSE l END, CASE WHEN pieces > 1 AND ll <> lr AND ok THEN ll + lr ELSE ll END, "
+    # The lock report has no cell without a locked order, so its range may end earlier.
+    "CASE WHEN pieces = 1 OR lr = 0 THEN ll WHEN ll = 0 THEN lr WHEN ll <> lr AND lok THEN ll + lr ELSE ll END FROM wk)"
+)
+
+
+@register("p_end_to_end", query("ex0 exl", (
+    "SELECT 'overview' AS section, subject, grain, period, x.label, x.value FROM ov, LATERAL (VALUES ('大定', orders), ('留存大定', retained), ('交车锁单', locked)) x(label, value) WHERE locked > 0 UNION ALL "
+    "SELECT 'mix', subject, 'week', period, '动力 F', " + r6("CASE WHEN pieces > 1 AND l <> r AND ok THEN (ll + lr) / (l + r) ELSE ll / l END") + " FROM wk UNION ALL "
+    "SELECT 'channel', s.subject, 'week', " + wk("s.ps") + ", s.seg || ' n', s.n FROM sgm s UNION ALL "
+    "SELECT 'channel', s.subject, 'week', " + wk("s.ps") + ", s.seg || ' share', " + r6("CASE WHEN g.ps IS NOT NULL THEN s.n / sum(s.n) OVER (PARTITION BY s.subject, s.ps) ELSE s.share END") + " FROM sgm s LEFT JOIN grown g ON g.subject = s.subject AND g.ps = s.ps"
+), _PROVEN))
+def end_to_end(spark, sf):
+    """Half-year exports as cells of order and lock reports, read, merged and analysed."""
+    obs = cut_lineage(T.exports(spark, sf, ("day", "week", "month")))
+    locked = obs.filter("metric = '净大定' and value > 0").withColumn("metric", F.lit(LOCKED))
+    cells = cut_lineage(_export_cells(obs, "大定选配比例", "a").unionByName(_export_cells(locked, "锁单选配比例", "b")))
+    read = dispatch.Dispatch(cells, _rules(spark, sf))
+    kpis = overview.overview_kpis(read.overview).filter(F.col("label") != DELIVERED)
+    orders = read.observations.filter("report = 'order_mix' and grain = 'week'")
+    mix = structures.structures(orders.filter(F.col("metric") == POWER))
+    values = channel.channel_values(orders).withColumn("x", F.explode(F.array(
+        F.struct(F.concat("channel", F.lit(" n")).alias("label"), F.col("n").alias("value")), F.struct(F.concat("channel", F.lit(" share")).alias("label"), F.col("share").alias("value")))))
+    page = ["subject", "grain", "period"]
+    return out(ordered.union_all([
+        kpis.select(F.lit("overview").alias("section"), *page, "label", "value"),
+        mix.select(F.lit("mix").alias("section"), *page, F.concat_ws(" ", "metric", "category").alias("label"), F.col("share").alias("value")),
+        values.filter("x.value is not null").select(F.lit("channel").alias("section"), *page, "x.label", "x.value"),
+    ]), "section", *page, "label", "value")
+
+
 # ---- layouts: sheets written as cells and read back -------------------------------------
 
 def _cells(df, file, sheet, row, col, s=None, d=None, ts=None, fmt="General"):
