@@ -25,6 +25,7 @@ from ..labels import (
 )
 from .coverage import with_side
 from .lineage import cut_lineage
+from .ordered import cell_rectangles, compress_labels, range_text
 
 OBS_KEYS = ["report", "subject", "grain", "metric", "stat", "category", "period"]
 _NOT_ADDABLE = "|".join(re.escape(word) for word in RATIO_WORDS)
@@ -312,10 +313,14 @@ def merge_chart(chart: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def conflicts(obs: DataFrame, merged: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Pieces whose value lost against a different one, with the reason.
+    """Pieces whose value lost against a different one, with the reason and, where the pieces tell
+    them, the sheet and column that they stood in.
 
     The merged side has one row per key, so a skewed key is split by the join itself.
     """
+    for name, kind in (("sheet", "string"), ("col_ord", "int")):
+        if name not in obs.columns:
+            obs = obs.withColumn(name, F.lit(None).cast(kind))
     pieces = with_side(observation_pieces(obs, drop_summaries=False), coverage).filter("value is not null or raw is not null")
     winner = merged.select(
         *OBS_KEYS, F.col("source_order").alias("first_order"), "first_value", "second_value", "first_is_left",
@@ -338,25 +343,47 @@ def conflicts(obs: DataFrame, merged: DataFrame, coverage: DataFrame) -> DataFra
     )
     return lost.select(
         *OBS_KEYS, F.when(cross, "cross file").otherwise("same file").alias("kind"), reason.alias("reason"),
-        "first_order", "source_order", "kept_value", F.col("value").alias("lost_value"), "row_ord",
+        "first_order", "source_order", "kept_value", F.col("value").alias("lost_value"), "row_ord", "sheet", "col_ord",
     )
 
 
-def conflict_report(found: DataFrame) -> DataFrame:
-    """One row per metric and pair of files: how often, which periods, a first example."""
-    keys = ["report", "subject", "metric", "kind", "reason", "first_order", "source_order"]
-    # TOP ranks share one metric.
-    rolled = found.withColumn("metric", F.regexp_replace("metric", r"(?i)^TOP\d+$", "TOP"))
-    return rolled.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.countDistinct("period").alias("periods"),
+_REPORT_KEYS = ["report", "subject", "metric", "kind", "reason", "first_order", "source_order"]
+
+
+def _rolled(found: DataFrame) -> DataFrame:
+    """TOP ranks share one metric."""
+    return found.withColumn("metric", F.regexp_replace("metric", r"(?i)^TOP\d+$", "TOP"))
+
+
+def conflict_report(found: DataFrame, examples: int = 3) -> DataFrame:
+    """One row per metric and pair of files: how often, which runs of periods, the first examples.
+
+    The runs of a row are at most as many as the calendar has periods. ``conflict_cells`` tells where
+    in the sheets the lost values stood.
+    """
+    keys, rolled = _REPORT_KEYS, _rolled(found)
+    counted = rolled.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("cells"), F.countDistinct("period").alias("periods"),
         F.min("period").alias("first_period"), F.max("period").alias("last_period"),
-        F.min_by(F.struct("kept_value", "lost_value"), F.struct("period", "category", "row_ord")).alias("example"),
     )
+    # Runs of labels have a kind of their own.
+    told = ["side" if k == "kind" else k for k in keys]
+    ranges = range_text(compress_labels(rolled.withColumnRenamed("kind", "side"), told, "period"), told).withColumnRenamed("side", "kind")
+    order = Window.partitionBy(*keys).orderBy("period", "category", "row_ord", "lost_value")
+    first = rolled.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= examples)
+    shown = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rn", "period", "category", "kept_value", "lost_value"))).alias("examples"))
+    return counted.join(ranges, keys).join(shown, keys)
+
+
+def conflict_cells(found: DataFrame) -> DataFrame:
+    """Rectangles of lost cells per sheet, one row each."""
+    placed = _rolled(found).filter("sheet is not null and col_ord is not null")
+    points = placed.select(*_REPORT_KEYS, "sheet", F.col("row_ord").cast("bigint").alias("row"), F.col("col_ord").cast("bigint").alias("col"))
+    return cell_rectangles(points, [*_REPORT_KEYS, "sheet"])
 
 
-def boundary_report(added: DataFrame, examples: int = 3) -> DataFrame:
-    """Added weeks: number of fields, sources and up to three examples."""
+def boundary_report(added: DataFrame, coverage: DataFrame = None, examples: int = 3) -> DataFrame:
+    """Added weeks: number of fields, sources with their proven ranges, up to three examples."""
     text = F.concat_ws("/", "subject", "metric", "category")
     ranked = added.withColumn("_text", text)
     totals = ranked.groupBy("period").agg(
@@ -369,7 +396,13 @@ def boundary_report(added: DataFrame, examples: int = 3) -> DataFrame:
     packed = top.groupBy("period").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_text"))), lambda x: x["_text"]).alias("_ex")
     )
-    return totals.join(packed, "period", "left").withColumn("examples", F.array_join("_ex", "; ")).drop("_ex")
+    report = totals.join(packed, "period", "left").withColumn("examples", F.array_join("_ex", "; ")).drop("_ex")
+    if coverage is not None:
+        # One row per file; broadcast only below the planner's limit.
+        for side in ("first", "last"):
+            spans = coverage.select(F.col("source_order").alias(f"{side}_source"), F.struct("start", "end").alias(f"{side}_range"))
+            report = report.join(spans, f"{side}_source", "left")
+    return report
 
 
 def store_merge_notes(judged: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def tidy_metric_cells(cells: DataFrame) -> DataFrame:
     return body.join(header, _SHEET + ["col"]).join(labels, _SHEET + ["row"]).select(
         *_SHEET, "period", "metric", "stat", "category",
         F.when(rate, cell_rate()).otherwise(cell_value()).alias("value"),
-        F.when(cell_value().isNull(), cell_text()).alias("raw"), "fmt", F.col("row").alias("row_ord"),
+        F.when(cell_value().isNull(), cell_text()).alias("raw"), "fmt", F.col("row").alias("row_ord"), F.col("col").alias("col_ord"),
     )
 
 

@@ -55,13 +55,17 @@ def g04(spark, sf):
 
 
 @register("i08_boundary_report", query("exl ex0", (
-    "SELECT period, count(*) AS fields, min(f1) AS first_source, max(f2) AS last_source FROM (SELECT period, f1, f2 FROM pcs WHERE pieces > 1 AND l <> r UNION ALL "
-    "SELECT period, f1, f2 FROM sgl WHERE pieces > 1 AND l <> r) GROUP BY 1"),
+    "SELECT period, fields, first_source, last_source, examples, strftime(make_date(2023 + first_source // 2, CASE WHEN first_source % 2 = 1 THEN 7 ELSE 1 END, 1), '%Y-%m-%d') AS first_start, "
+    "strftime(make_date(2023 + (last_source + 1) // 2, CASE WHEN last_source % 2 = 0 THEN 7 ELSE 1 END, 1) - 1, '%Y-%m-%d') AS last_end FROM ("
+    "SELECT period, count(*) AS fields, min(f1) AS first_source, max(f2) AS last_source, array_to_string(list_sort(list(t))[1:3], '; ') AS examples FROM ("
+    "SELECT period, f1, f2, subject || '/' || metric || '/数量' AS t FROM pcs WHERE pieces > 1 AND l <> r UNION ALL "
+    "SELECT period, f1, f2, subject || '/门店类型/' || seg FROM sgl WHERE pieces > 1 AND l <> r) GROUP BY 1)"),
     _PIECES + ", sg AS (SELECT subject, seg, CAST(date_trunc('week', day) AS DATE) AS ps, f, CAST(count(*) AS DOUBLE) AS n FROM ex0 GROUP BY 1, 2, 3, 4), "
     "sgl AS (SELECT subject, seg, " + wk("ps") + " AS period, min(f) AS f1, max(f) AS f2, count(*) AS pieces, arg_min(n, f) AS l, arg_max(n, f) AS r FROM sg GROUP BY 1, 2, ps)"))
 def i08(spark, sf):
-    added = merge.add_boundary_weeks(_weekly(spark, sf), T.export_ranges(spark, sf))
-    return out(merge.boundary_report(added), "period", "fields", "first_source", "last_source")
+    spans = T.export_ranges(spark, sf)
+    report = merge.boundary_report(merge.add_boundary_weeks(_weekly(spark, sf), spans), spans)
+    return out(report, "period", "fields", "first_source", "last_source", "examples", F.col("first_range.start").alias("first_start"), F.col("last_range.end").alias("last_end"))
 
 
 _SEG = ("sg AS (SELECT subject, seg, CAST(date_trunc('week', day) AS DATE) AS ps, f, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT o_custkey) AS buyers FROM ex0 GROUP BY 1, 2, 3, 4), "
@@ -117,23 +121,30 @@ def g_report(spark, sf):
     return out(rows, "subject", "metric", "stat", "n", "known", "total")
 
 
+# Lost pieces of boundary weeks: power shares, shares and stores of channels (quantities add up).
+_LOST = (_SEG + ", lost AS ("
+    "SELECT subject, period, ps, f1, f2, '动力' AS metric, 'F' AS category, '占比' AS stat, 1 AS o, ll / l AS kept_value, lr / r AS lost_value FROM exl WHERE pieces > 1 AND abs(ll / l - lr / r) > 1e-12 UNION ALL "
+    "SELECT a.subject, " + wk("a.ps") + ", a.ps, a.f, b.f, '门店类型', a.seg, x.stat, x.o, x.va, x.vb FROM sg a JOIN sg b ON a.subject = b.subject AND a.seg = b.seg AND a.ps = b.ps AND a.f < b.f "
+    "JOIN exw wa ON wa.subject = a.subject AND wa.ps = a.ps AND wa.f = a.f JOIN exw wb ON wb.subject = b.subject AND wb.ps = b.ps AND wb.f = b.f, "
+    "LATERAL (VALUES ('占比', 2, a.n / wa.n, b.n / wb.n), ('贡献门店数', 3, CAST(a.buyers AS DOUBLE), CAST(b.buyers AS DOUBLE))) x(stat, o, va, vb) WHERE abs(x.va - x.vb) > 1e-12)")
+
+
 @register("g08_conflicts", query("ex0 exl", (
-    "SELECT subject, period, '动力' AS metric, 'F' AS category, 'split of a boundary week' AS reason, " + r6("ll / l") + " AS kept_value, " + r6("lr / r") + " AS lost_value FROM exl "
-    "WHERE pieces > 1 AND abs(ll / l - lr / r) > 1e-12 UNION ALL "
-    "SELECT a.subject, " + wk("a.ps") + ", '门店类型', a.seg, 'split of a boundary week', CAST(a.buyers AS DOUBLE), CAST(b.buyers AS DOUBLE) FROM sg a JOIN sg b ON a.subject = b.subject AND a.seg = b.seg AND a.ps = b.ps AND a.f < b.f WHERE a.buyers <> b.buyers"), _SEG))
+    "SELECT subject, period, metric, stat, category, 'split of a boundary week' AS reason, " + r6("kept_value") + " AS kept_value, " + r6("lost_value") + " AS lost_value FROM lost"), _LOST))
 def g08(spark, sf):
-    obs, spans = _weekly(spark, sf).filter((F.col("metric") != CHANNEL) | (F.col("stat") == STORES)), T.export_ranges(spark, sf)
+    obs, spans = _weekly(spark, sf), T.export_ranges(spark, sf)
     found = merge.conflicts(obs, merge.merge_sources(obs, spans), spans)
-    return out(found, "subject", "period", "metric", "category", "reason", "kept_value", "lost_value")
+    return out(found, "subject", "period", "metric", "stat", "category", "reason", "kept_value", "lost_value")
 
 
 @register("g08_conflict_report", query("ex0 exl", (
-    "SELECT subject, metric, count(*) AS cells, count(DISTINCT period) AS periods, min(period) AS first_period, max(period) AS last_period FROM ("
-    "SELECT subject, period, f1, f2, '动力' AS metric FROM exl WHERE pieces > 1 AND abs(ll / l - lr / r) > 1e-12) GROUP BY subject, metric, f1, f2"), _SEG))
+    "SELECT subject, metric, CAST(f1 AS BIGINT) AS first_order, CAST(f2 AS BIGINT) AS source_order, count(*) AS cells, count(DISTINCT period) AS periods, min(period) AS ranges, "
+    + r6("arg_min(kept_value, (category, o))") + " AS kept_value, " + r6("arg_min(lost_value, (category, o))") + " AS lost_value, least(count(*), 3) AS examples FROM lost GROUP BY subject, metric, f1, f2"), _LOST))
 def g08_report(spark, sf):
-    obs, spans = _weekly(spark, sf).filter(F.col("metric") == POWER), T.export_ranges(spark, sf)
-    found = merge.conflicts(obs, merge.merge_sources(obs, spans), spans)
-    return out(merge.conflict_report(found), "subject", "metric", "cells", "periods", "first_period", "last_period")
+    obs, spans = _weekly(spark, sf), T.export_ranges(spark, sf)
+    report = merge.conflict_report(merge.conflicts(obs, merge.merge_sources(obs, spans), spans))
+    first = F.col("examples")[0]
+    return out(report, "subject", "metric", "first_order", "source_order", "cells", "periods", "ranges", first["kept_value"].alias("kept_value"), first["lost_value"].alias("lost_value"), F.size("examples").alias("examples"))
 
 
 @register("d34_source_coverage", query("ex0", "SELECT CAST(f AS BIGINT) AS source_order, strftime(min(day), '%Y-%m-%d') AS start, strftime(max(day), '%Y-%m-%d') AS \"end\" FROM ex0 GROUP BY 1"))

@@ -4,6 +4,7 @@ import pytest
 
 from helpers import sheet
 from metricloom.functions.names import NamingRules
+from metricloom.operators import merge
 from metricloom.plans.dispatch import Dispatch
 
 RULES = NamingRules(group="ALL", brands=("甲界",))
@@ -74,3 +75,17 @@ def test_records_and_separate_sheets(dispatch):
     got = {(str(r["date"]), r["hour"]): (r["orders"], r["cancel"]) for r in dispatch.hourly.collect()}
     assert got == {("2026-07-01", 13): (4.0, 1.0), ("2026-07-01", 14): (6.0, 2.0), ("2026-07-02", 0): (1.0, 0.0)}
     assert {r["file"] for r in dispatch.separate.collect()} == {"其他.xlsx"}
+
+
+def test_lost_cells_are_reported_by_runs_and_rectangles(spark):
+    weeks = ["26WK10", "26WK11", "26WK12", "26WK20"]
+    grid = lambda a, b: [["", "", "", *weeks], ["大定", "数量", "数量", *a], ["净大定", "数量", "数量", *b]]
+    cells = sheet(spark, grid([1.0, 2.0, 3.0, 4.0], [5.0, 5.0, 5.0, 5.0]), "1大定选配比例.xlsx", "甲界by周")
+    cells = cells.unionByName(sheet(spark, grid([9.0, 9.0, 9.0, 4.0], [5.0, 6.0, 6.0, 7.0]), "2大定选配比例.xlsx", "甲界by周"))
+    read = Dispatch(cells, RULES)
+    found = merge.conflicts(read.pieces, merge.merge_sources(read.pieces, read.coverage), read.coverage)
+    got = {r["metric"]: r for r in merge.conflict_report(found).collect()}
+    assert got["大定"]["ranges"] == "26WK10～26WK12" and got["留存大定"]["ranges"] == "26WK11～26WK12、26WK20"
+    assert [(e["period"], e["kept_value"], e["lost_value"]) for e in got["大定"]["examples"]] == [("26WK10", 1.0, 9.0), ("26WK11", 2.0, 9.0), ("26WK12", 3.0, 9.0)]
+    boxes = {(r["metric"], r["sheet"], r["row_first"], r["row_last"], r["col_first"], r["col_last"]) for r in merge.conflict_cells(found).collect()}
+    assert boxes == {("大定", "甲界by周", 2, 2, 4, 6), ("留存大定", "甲界by周", 3, 3, 5, 7)}
