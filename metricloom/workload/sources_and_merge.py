@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import names, numbers, periods
-from ..labels import CHANNEL, DELIVERED, GRAINS, LOCKED, ORDERS, POWER, QTY, RETAINED, SHARE, STORES
+from ..labels import DELIVERED, GRAINS, LOCKED, ORDERS, POWER, QTY, RETAINED, SHARE
 from ..operators import annotate, coverage, merge, ordered, quality
 from ..operators.lineage import cut_lineage, shared_folder
 from ..plans import channel, dispatch, overview, structures
