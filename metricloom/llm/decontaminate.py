@@ -196,12 +196,16 @@ def search(index: DataFrame, tests: DataFrame, slack: int = 0) -> DataFrame:
     if blocks > 1:
         for part in parts[1:]:
             found = found.unionByName(part)
-        # Word ranges of several blocks are merged by their union of words.
-        ranges = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s[0], s[1] - 1))))
+        # Word ranges of several blocks are merged by their union of words: a range starts at a word
+        # without one before it and ends behind a word without one after it.
+        hit = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s[0], s[1] - 1))))
         found = found.groupBy("segment", "place").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.size(ranges).cast("long").alias("n_hit"),
-            F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.sort_array(F.flatten(F.collect_list("near"))).alias("near"), F.flatten(F.collect_list("spans")).alias("spans"),
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), hit.alias("hit"),
+            F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.sort_array(F.flatten(F.collect_list("near"))).alias("near"),
         )
+        after = F.transform("hit", lambda w: w + 1)
+        starts, ends = F.sort_array(F.array_except("hit", after)), F.sort_array(F.array_except(after, "hit"))
+        found = found.withColumn("n_hit", F.size("hit").cast("long")).withColumn("spans", F.zip_with(starts, ends, lambda a, b: F.array(a, b)))
     return found.select("doc_id", "n_words", "n_hit", "items", "near", "spans")
 
 

@@ -3,16 +3,20 @@
 Targets in words come from the weights, stop at ``REPEATS`` times what a source has, and share the
 excess. The mix is handed out in equal blocks of ``BLOCK`` words: sources get whole blocks by highest
 quotients target / (2k + 1), and each source's blocks are apportioned in the same way to its shards
-(documents dealt by a seeded hash), which gives an integer quota per source and shard. Within a shard
-documents stand in seeded order as one line of blocks; a quota takes whole rounds of the line and then
-its first blocks. A document so is taken at most once more than its shard's whole rounds.
+(documents dealt by a seeded hash), which gives an integer quota per source and shard. A source with more
+than ``FANOUT`` shards is apportioned in levels, first to groups of shards, so that no ranking holds more
+than ``FANOUT`` rows. Within a shard documents stand in seeded order as one line of blocks; a quota takes
+whole rounds of the line and then its first blocks. A document so is taken at most once more than its
+shard's whole rounds.
 
 Work per document is one hash, one join by (source, shard) and one running sum within its shard; a
-source of any size is spread over the shards, whose number grows with the corpus.
+source of any size is spread over the shards, whose number grows with the corpus without a limit. Sources
+themselves are ranked in one task, one short row each; they are assumed to be at most some millions.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last
-in order; a null identifier is hashed as an empty one; repeated rows are documents of their own; an
-empty table gives an empty result; a source of size 0 has target 0.
+in order; a null identifier is hashed as an empty one, and as the text is hashed with it, documents
+without one are spread like the others; repeated rows (same identifier, same text) are documents of their
+own and stand in one shard; an empty table gives an empty result; a source of size 0 has target 0.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,13 +25,13 @@ from pyspark.sql import functions as F
 from metricloom.llm.store import written
 
 BLOCK, REPEATS = 16, 3
-#: A shard has about so many words over all sources; there are at most MOST_SHARDS.
-SHARD_WORDS, MOST_SHARDS = 1 << 18, 4096
+#: A shard has about so many words over all sources; a source or group is apportioned to at most FANOUT parts at once.
+SHARD_WORDS, FANOUT = 1 << 18, 1024
 SEED = "mix-1"
 
 
-def _key(c: str = "doc_id") -> Column:
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(c).cast("string"), F.lit(""))))
+def _key(doc_id: str, text: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
 
 
 def targets(sources: DataFrame, everything: int, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -80,22 +84,47 @@ def apportion(df: DataFrame, group: list[str], order: list[str], weight: Column,
     return out.drop("w_", "of_", "seats_", "most_", "rows_", "low_", "high_", "rest_", "won_", *[f"{c}_won" for c in group + order])
 
 
+def shard_quotas(parts: DataFrame, shards: int) -> DataFrame:
+    """``source, shard, shard_size, quota`` from rows ``source, shard, shard_size, source_size, source_quota``.
+
+    Shards form groups whose widths are powers of ``FANOUT``; from the widest on, the quota of a group
+    is apportioned to the groups inside it.
+    """
+    widths = [1]
+    while widths[-1] * FANOUT < shards:
+        widths.append(widths[-1] * FANOUT)
+    above = None
+    for width in reversed(widths):
+        size = [F.sum("shard_size").alias("part_size"), F.first("source_size").alias("of_size"), F.first("source_quota").alias("of_quota")]
+        level = parts.groupBy("source", F.expr(f"shard div {width}").alias("part")).agg(*size)
+        if above is None:
+            level = level.withColumn("of", F.lit(0).cast("long"))
+        else:
+            inside = F.col("source").eqNullSafe(F.col("s_")) & (F.col("of") == F.col("o_"))
+            level = level.drop("of_size", "of_quota").withColumn("of", F.expr(f"part div {FANOUT}")).join(above, inside).drop("s_", "o_")
+        shared = apportion(level, ["source", "of"], ["part"], F.col("part_size"), F.col("of_size"), F.col("of_quota"), F.floor(F.col("part_size") * REPEATS / BLOCK))
+        above = shared.select(F.col("source").alias("s_"), F.col("part").alias("o_"), F.col("part_size").alias("of_size"), F.col("quota").alias("of_quota"))
+        if width > 1:
+            above = written(above, "groups")
+    return above.select(F.col("s_").alias("source"), F.col("o_").alias("shard"), F.col("of_size").alias("shard_size"), F.col("of_quota").alias("quota"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken``."""
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "sizes")
+    sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _key(doc_id, text).alias("key")), "sizes")
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = sums.agg(F.sum("source_size")).first()[0] or 0
-    shards = max(1, min(MOST_SHARDS, everything // SHARD_WORDS))
+    shards = max(1, everything // SHARD_WORDS)
 
     aimed = targets(sums, everything, weights)
     aimed = apportion(aimed, [], ["source"], F.col("target"), F.lit(everything), F.lit(everything // BLOCK), F.floor(F.col("source_size") * REPEATS / BLOCK))
     aimed = written(aimed.withColumnRenamed("quota", "source_quota"), "targets")
 
-    dealt = sizes.withColumn("key", _key()).withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(shards)))
+    dealt = sizes.withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(shards)))
     parts = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     parts = parts.join(aimed.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    quotas = apportion(parts, ["source"], ["shard"], F.col("shard_size"), F.col("source_size"), F.col("source_quota"), F.floor(F.col("shard_size") * REPEATS / BLOCK))
+    quotas = shard_quotas(parts, shards).join(aimed.select(F.col("source").alias("t_"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t_"))).drop("t_")
     quotas = written(quotas.withColumnRenamed("source", "s_").withColumnRenamed("shard", "h_"), "quotas")
 
     line = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

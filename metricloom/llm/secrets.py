@@ -25,10 +25,10 @@ PATTERNS = [
     ("assign", _ASSIGN),
     ("access", r"AKIA[A-Z0-9]++"),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
-    ("token", r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,255}+|sk_live_[A-Za-z0-9]{16,255}+|xox[abprs]-[A-Za-z0-9-]{12,255}+)"),
+    ("token", r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,}+|sk_live_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{12,}+)"),
     ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     ("key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    ("login", r"://[A-Za-z0-9._%-]{1,64}:[^\s@/:]{6,128}@"),
+    ("login", r"://[A-Za-z0-9._%-]++:[^\s@/:]{6,}+@"),
 ]
 BASE = 3
 #: A credential is found in a handful of its owner's documents; an example goes through many of them,

@@ -87,8 +87,9 @@ def sainte_lague_sql(rows: str, name: str, group: str, weight: str, of: str, sea
   (SELECT id, count(*) AS n FROM {name}_q WHERE place <= {seats} GROUP BY id) USING (id))"""
 
 
+#: Shards are apportioned in one level here, as the operator does up to FANOUT shards.
 OP3_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
 al AS (SELECT CAST(sum(size) AS BIGINT) AS t FROM d),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST({mixing.REPEATS} * source_size AS DOUBLE) AS room FROM s0),
@@ -98,7 +99,7 @@ s3 AS (SELECT s2.*, (CAST(t AS DOUBLE) - before) / CAST(left_ AS DOUBLE) AS leve
 op AS (SELECT at_ AS open_at, level AS final FROM s3 WHERE level * weight <= room ORDER BY at_ LIMIT 1),
 tg AS (SELECT source, source_size, CASE WHEN at_ < open_at THEN room ELSE final * weight END AS target, at_ AS id, source AS tie FROM s3, op),
 {sainte_lague_sql("tg", "sq", "1", "target", "t", f"(SELECT t // {mixing.BLOCK} FROM al)", f"floor(source_size * {mixing.REPEATS} / {mixing.BLOCK})")},
-sh AS (SELECT d.*, CAST(('0x' || substr(key, 1, 8)) AS BIGINT) % (SELECT greatest(1, least({mixing.MOST_SHARDS}, t // {mixing.SHARD_WORDS})) FROM al) AS shard FROM d),
+sh AS (SELECT d.*, CAST(('0x' || substr(key, 1, 8)) AS BIGINT) % (SELECT greatest(1, t // {mixing.SHARD_WORDS}) FROM al) AS shard FROM d),
 p0 AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM sh GROUP BY source, shard),
 p1 AS (SELECT p0.*, row_number() OVER () AS id, shard AS tie, source_size, target, sq.quota AS source_quota FROM p0 JOIN sq ON p0.source IS NOT DISTINCT FROM sq.source),
 {sainte_lague_sql("p1", "pq", "source", "shard_size", "source_size", "source_quota", f"floor(shard_size * {mixing.REPEATS} / {mixing.BLOCK})")},

@@ -47,6 +47,29 @@ def test_many_shards(given, monkeypatch):
     check(given, shards=120)
 
 
+def test_shards_in_levels(spark, given, monkeypatch):
+    """Three levels of groups of at most 4; no quota exceeds three times its shard."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 4000)
+    monkeypatch.setattr(mixing, "FANOUT", 4)
+    check(given, shards=400)
+    rows = [(s, h, 160 + 16 * h) for s in ("a", None) for h in range(50)]
+    sizes = sum(r[2] for r in rows) // 2
+    parts = spark.createDataFrame([(*r, sizes, 1000) for r in rows], "source string, shard long, shard_size long, source_size long, source_quota long")
+    got = mixing.shard_quotas(parts, 50).collect()
+    assert len(got) == 100 and sum(r["quota"] for r in got if r["source"] is None) == 1000
+    assert all(abs(r["quota"] - 1000 * r["shard_size"] / sizes) < 3 for r in got)
+
+
+def test_rows_without_identifier_are_spread(spark, given, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 4000)
+    from pyspark.sql import functions as F
+
+    bare = given.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).withColumn("source", F.lit("one"))
+    key = F.conv(F.substring(mixing._key("doc_id", "text"), 1, 8), 16, 10).cast("long")
+    sizes = sorted(r["count"] for r in bare.groupBy(F.pmod(key, F.lit(20))).count().collect())
+    assert len(sizes) == 20 and sizes[-1] < 2 * sizes[10]
+
+
 def test_seats_go_to_the_highest_quotients(spark):
     rows = [(i, float(w)) for i, w in enumerate([1, 7, 7, 40, 333, 2, 0, 90, 15])]
     df = spark.createDataFrame(rows, "source int, w double")

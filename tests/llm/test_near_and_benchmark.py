@@ -83,6 +83,15 @@ def test_proximity_and_spans(spark):
     assert rows[1]["items"] == ["9"] and rows[1]["spans"] == [[2, 6]] and rows[2]["items"] == [] and rows[2]["near"] == ["9"] and rows[3]["near"] == []
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 100])
+def test_ranges_do_not_depend_on_the_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    docs = spark.createDataFrame([(1, "a b c d e f x g h i y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d"), (2, "c d e"), (3, "f"), (4, "g h"), (5, "h i")], "item_id long, text string")
+    row = decontaminate.search(decontaminate.build(docs), decontaminate.windows(items)).first()
+    assert row["spans"] == [[0, 6], [7, 10]] and row["n_hit"] == 9
+
+
 def test_tables_without_rows(spark, empty, given):
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     assert hyperminhash.group(empty).count() == 0 and hyperminhash.keep_one(empty).count() == 0

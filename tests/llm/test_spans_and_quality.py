@@ -122,3 +122,16 @@ def test_copies_within_few_owners_are_examples(spark):
     masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()}
     assert masked[0] == rows[0][1] and masked[50] == "x [SECRET] y" and masked[None] == "[SECRET]"
     assert secrets.digest(secrets.find(docs, max_per_owner=30)).filter("n_copied > 0").count() == 0
+
+
+def test_long_matches_are_whole(spark):
+    """Added kinds have no upper length: a match is the whole run, not its head."""
+    token, login = "ghp_" + "aB3dE6gH9jK2mN5p" * 40, "https://" + "u1" * 60 + ":" + "pW9x" * 60 + "@"
+    mail = "bob" * 40 + " [at] mail.a.b.c.d.e.f." + "x" * 80
+    found = {}
+    for module, text in ((secrets, token), (secrets, login), (pii, mail)):
+        pattern = [p for _, p in module.PATTERNS[module.BASE:]]
+        df = spark.createDataFrame([(f"- {text} -",)], "text string")
+        hits = {h for p in pattern for h in df.select(F.regexp_extract_all("text", F.lit(p), F.lit(0))).first()[0]}
+        found[text] = hits
+    assert found[token] == {token} and found[login] == {login[5:]} and found[mail] == {mail}

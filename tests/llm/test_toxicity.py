@@ -45,6 +45,44 @@ def test_hidden_positives_do_not_flip_the_fit():
     assert known > 0.8 and 1 / (1 + np.exp(-(w[1] + bias))) < 0.15 and abs(w[1]) < 0.5
 
 
+def plain_risk(w, rows, p, u, prior):
+    """Non-negative risk, text by text."""
+    def loss(z):
+        return float(np.log1p(np.exp(-z)))
+
+    known = unknown = both = 0.0
+    for words, a, b in zip(rows, p, u, strict=True):
+        g = w[-1] + sum(w[j] for j in words)
+        known, both, unknown = known + a / sum(p) * loss(g), both + a / sum(p) * loss(-g), unknown + b / sum(u) * loss(-g)
+    return prior * known + max(0.0, unknown - prior * both)
+
+
+def test_weights_have_the_least_risk():
+    """No nearby weights have a risk that is less by more than the shrinkage allows."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(3) < (0.7 if k % 4 == 0 else 0.2)).astype(np.int32) for k in range(200)]
+    p, u = np.array([float(k % 8 == 0) for k in range(200)]), np.ones(200)
+    w, bias = toxicity.minimise(rows, p, u, 3, 0.25, steps=2000)
+    best = np.append(w, bias)
+    least = plain_risk(best, rows, p, u, 0.25)
+    for step in rng.normal(size=(200, 4)) * rng.choice([0.05, 0.3, 1.0], (200, 1)):
+        assert plain_risk(best + step, rows, p, u, 0.25) > least - 1e-3
+
+
+def test_repeated_rows_of_one_identifier_are_taken_once(spark, monkeypatch):
+    """A third of the rows share an identifier: the sample stays bounded and the scores the same."""
+    rows = [(i, ("bad words here " if i % 5 == 0 else "fine words there ") + f"n{i % 7}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    plain = toxicity.minimise
+    monkeypatch.setattr(toxicity, "minimise", lambda rows, *a, **k: seen.append(len(rows)) or plain(rows, *a, **k))
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    more = once.union(spark.range(3000).selectExpr("5L", "'bad words here n5'"))
+    scores = [{r["doc_id"]: r["score"] for r in toxicity.score(d, labels).collect()} for d in (once, more)]
+    assert seen[0] == seen[1] <= 300 and scores[0].keys() == scores[1].keys()
+    assert max(scores[0][i] for i, t in rows if t.startswith("fine")) < min(scores[0][i] for i, t in rows if t.startswith("bad"))
+
+
 def test_odd_texts(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (4, None), (5, 0), (6, 1), (None, 1), (10, 1)], "doc_id long, toxic int")
     got = toxicity.score(odd, labels).collect()
