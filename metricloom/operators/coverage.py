@@ -1,6 +1,6 @@
 """Proven date ranges of physical exports and what follows from them."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import observed
@@ -85,14 +85,34 @@ def fill_sparse_days(obs: DataFrame, coverage: DataFrame) -> DataFrame:
     return obs.unionByName(zeros, allowMissingColumns=True)
 
 
+def merged_intervals(ranges: DataFrame, keys) -> DataFrame:
+    """Disjoint intervals (keys, start, end) of day ranges that may overlap, repeat or adjoin.
+
+    A sweep in the order of starts: a range that begins more than a day after all ends before it opens
+    an interval. A key holds one range per export; ranges without a start or an end, or that end before
+    they start, cover nothing.
+    """
+    keys = list(keys)
+    known = ranges.filter("start <= end").groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    before = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("start") > F.date_add(F.max("end").over(before), 1), F.lit(True))
+    swept = known.withColumn("_opens", opens.cast("int"))
+    numbered = swept.withColumn("_part", F.sum("_opens").over(Window.partitionBy(*keys).orderBy("start")))
+    return numbered.groupBy(*keys, "_part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_part")
+
+
+def interval_days(ranges: DataFrame, keys, day: str = "day") -> DataFrame:
+    """Every covered day of a key once, however many ranges cover it."""
+    return merged_intervals(ranges, keys).select(*keys, F.explode(F.sequence("start", "end")).alias(day))
+
+
 def value_or_covered_zero(wanted: DataFrame, values: DataFrame, coverage: DataFrame, keys) -> DataFrame:
     """The value of a day; else 0 when any export of that key covers the day; else NULL.
 
     wanted: keys + day. values: keys + day + value. coverage: keys + start + end.
     """
     keys = list(keys)
-    covered = coverage.select(*keys, F.explode(F.sequence("start", "end")).alias("day")).distinct()
-    covered = covered.withColumn("_covered", F.lit(True))
+    covered = interval_days(coverage, keys).withColumn("_covered", F.lit(True))
     found = values.select(*keys, "day", "value", F.lit(True).alias("_found"))
     joined = wanted.join(found, keys + ["day"], "left").join(covered, keys + ["day"], "left")
     return joined.withColumn(

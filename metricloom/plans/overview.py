@@ -7,6 +7,7 @@ from ..functions.names import generation_model_key, generation_year, is_combined
 from ..functions.periods import is_summary_period
 from ..labels import CHANNEL, DELIVERED, LOCKED, ORDERS, POWER, QTY, RETAINED, RETAINED_OLD, VERSION
 from ..operators.compare import change_rank, history_table, previous_detail
+from ..operators.coverage import interval_days
 from ..operators.ordered import islands, range_text
 
 METRICS = ("orders", "retained", "locked", "delivered")
@@ -153,44 +154,54 @@ def lock_trend(lock: DataFrame, structures: DataFrame) -> DataFrame:
     return stacked.unionByName(single)
 
 
-def latest_model_year(names: DataFrame, name: str = "subject") -> DataFrame:
-    """Newest model year per model; names without a year stay."""
+def latest_model_year(names: DataFrame, name: str = "subject", also=()) -> DataFrame:
+    """Newest model year per model (and the columns ``also``); names without a year stay."""
     year, key = generation_year(F.col(name)), generation_model_key(F.col(name))
     tagged = names.withColumn("_year", year).withColumn("_key", key)
-    newest = tagged.groupBy("_key").agg(F.max("_year").alias("_newest"))
-    return tagged.join(newest, "_key").filter("_year = 0 or _year = _newest").select(*names.columns)
+    newest = tagged.groupBy("_key", *also).agg(F.max("_year").alias("_newest"))
+    return tagged.join(newest, ["_key", *also]).filter("_year = 0 or _year = _newest").select(*names.columns)
 
 
 def ranking_input(obs: DataFrame, coverage: DataFrame = None) -> DataFrame:
     """Values of a period next to those of the previous detail period of the grain.
 
-    An absent value stays unknown. With ``coverage`` (subject, start, end of its exports) a day
-    that an export covers without a row is a true 0, on either side.
+    An absent value stays unknown. With ``coverage`` (subject, start, end of its exports; with a column
+    ``metric`` only for that metric) a day that an export covers without a row is a true 0, on either side.
     """
     rows = obs.filter(F.col("metric").isin(RETAINED, LOCKED) & (F.col("stat") == QTY) & (F.col("category") == QTY))
     steps = previous_detail(rows, ["grain"]).select("grain", "period", "prev_period").filter("prev_period is not null")
     keys = ["subject", "grain", "metric"]
-    now = rows.select(*keys, "period", F.col("value").alias("now"))
-    before = rows.select(*keys, F.col("period").alias("prev_period"), F.col("value").alias("before"))
+    values = rows.select(*keys, "period", "value")
+    page = [*keys, "period", "prev_period"]
+    # A value stands on the page of its period and on that of the next one; a page has one or two rows.
+    now = values.join(steps, ["grain", "period"]).select(*page, F.lit("now").alias("side"), "value")
+    before = values.withColumnRenamed("period", "prev_period").join(steps, ["grain", "prev_period"]).select(*page, F.lit("before").alias("side"), "value")
+    sides = ("now", "before")
+    shown = now.unionByName(before).groupBy(*page).agg(
+        *[F.max(F.when(F.col("side") == s, F.col("value"))).alias(s) for s in sides],
+        *[F.count_if(F.col("side") == s).alias(f"_{s}") for s in sides],
+    )
     if coverage is None:
-        return now.join(steps, ["grain", "period"]).join(before, keys + ["prev_period"], "left")
-    page = keys + ["period", "prev_period"]
-    shown = now.withColumn("_now", F.lit(True)).join(steps, ["grain", "period"]).join(
-        before.withColumn("_before", F.lit(True)).join(steps, ["grain", "prev_period"]), page, "full"
-    )
-    for side, day in (("now", "period"), ("before", "prev_period")):
-        absent = F.col(f"_{side}").isNull() & (F.col("grain") == "day")
-        shown = shown.withColumn("day", F.when(absent, F.try_to_date(day, "yyyy-MM-dd")))
-        days = coverage.select("subject", F.explode(F.sequence("start", "end")).alias("day")).distinct().withColumn("_covered", F.lit(True))
-        shown = shown.join(days, ["subject", "day"], "left")
-        shown = shown.withColumn(side, F.when(absent & F.col("_covered"), F.lit(0.0)).otherwise(F.col(side))).drop("day", "_covered")
-    return shown.drop("_now", "_before")
-
-
-def rank_candidates(pairs: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Generations that take part in the rankings: of each model the newest year only."""
+        return shown.filter("_now > 0").drop("_now", "_before")
+    scope = [c for c in ("subject", "metric") if c in coverage.columns]
+    days = interval_days(coverage, scope).withColumn("_covered", F.lit(True))
+    # At most one side of a page is absent, so the covered days are met once.
+    absent = F.when(F.col("_now") == 0, F.col("period")).when(F.col("_before") == 0, F.col("prev_period"))
+    met = shown.withColumn("day", F.when(F.col("grain") == "day", F.try_to_date(absent, "yyyy-MM-dd"))).join(days, [*scope, "day"], "left")
+    zero = [F.when((F.col(f"_{s}") == 0) & F.col("_covered"), F.lit(0.0)).otherwise(F.col(s)).alias(s) for s in sides]
+    return met.select(*page, *zero)
+
+
+def rank_candidates(pairs: DataFrame, subjects: DataFrame, obs: DataFrame = None) -> DataFrame:
+    """Generations that take part in the rankings of a grain: with ``obs`` those that have an order and a
+    lock report in it; of each model the newest year among them."""
     names = subjects.filter("type = 'generation'").select(F.col("name").alias("subject"))
-    return pairs.join(latest_model_year(names), "subject", "left_semi")
+    if obs is None:
+        return pairs.join(latest_model_year(names), "subject", "left_semi")
+    reports = [F.max(F.col("report") == r) for r in ("order_mix", "lock_mix")]
+    both = obs.groupBy("subject", "grain").agg(reports[0].alias("_order"), reports[1].alias("_lock")).filter("_order and _lock")
+    candidates = both.join(names, "subject", "left_semi").select("subject", "grain")
+    return pairs.join(latest_model_year(candidates, also=["grain"]), ["subject", "grain"], "left_semi")
 
 
 def change_rankings(pairs: DataFrame, direction: str) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.periods import period_start
 from ..labels import ALL_PERIODS
 from ..operators.compare import kpi_comparison, structure_change
 from ..operators.ordered import union_all
-from ..sources.reports import publish
+from ..sources.reports import publish, published_version
 from . import cancellation, channel, conversion, fee, launch, overview, sku, structures
 
 COLUMNS = ["module", "subject", "grain", "period", "label", "value"]
@@ -139,6 +139,9 @@ def build_all(tables: dict, names=None) -> DataFrame:
 
 
 def run_batch(tables: dict, root: str, batch_id: str, manifest: DataFrame = None, code_version: str = "") -> None:
-    """Compute, compare and publish one batch; a failed job leaves the current batch in place."""
+    """Compute, compare and publish one batch; a failed job, or another batch published meanwhile, leaves
+    the current batch in place."""
+    spark = next(iter(tables.values())).sparkSession
+    seen = published_version(spark, root)
     compared = kpi_comparison(build_all(tables))
-    publish(compared.drop("period_start"), root, batch_id, manifest, code_version)
+    publish(compared.drop("period_start"), root, batch_id, manifest, code_version, seen)

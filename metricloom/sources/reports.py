@@ -2,6 +2,7 @@
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -92,25 +93,61 @@ def export_csv(df: DataFrame, path: str, query: str = "") -> None:
     csv_values(rows).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def publish(results: DataFrame, root: str, batch_id: str, manifest: DataFrame = None, code_version: str = "") -> None:
-    """Write an immutable batch, then make it current.
+class PublishConflict(RuntimeError):
+    """Another batch became current since this one was begun."""
 
-    The pointer is one appended row: it appears whole or not at all, after the data.
+
+def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a table of small files; none before the first is written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def pointers(spark: SparkSession, root: str) -> DataFrame:
+    """One row per published batch: its number, counted from 1, and what it is."""
+    return _rows(spark, f"{root}/_current", "batch_id string, code_version string, published_at timestamp, version int")
+
+
+def published_version(spark: SparkSession, root: str) -> int:
+    """Number of the current batch; 0 before the first."""
+    return pointers(spark, root).agg(F.max("version")).first()[0] or 0
+
+
+def publish(results: DataFrame, root: str, batch_id: str, manifest: DataFrame = None, code_version: str = "", seen: int = None) -> int:
+    """Write an immutable batch, then make it current; its number.
+
+    ``seen`` is the number that was current when the batch was begun (without it: when this call starts).
+    The pointer is one folder per number, which must not exist: of two batches begun at the same number
+    the one that comes second is refused, whatever the order of their data. It is written after the data,
+    so a broken publication leaves the current batch as it is.
     """
     spark = results.sparkSession
+    current = published_version(spark, root)
+    seen = current if seen is None else seen
+    if seen != current:
+        raise PublishConflict(f"batch {current} is current, this one was begun at {seen}")
     results.write.mode("errorifexists").partitionBy("module", "subject").parquet(f"{root}/batch_id={batch_id}")
     if manifest is not None:
         manifest.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{root}/_manifest")
     pointer = spark.range(1).select(
         F.lit(batch_id).alias("batch_id"), F.lit(code_version).alias("code_version"), F.current_timestamp().alias("published_at")
     )
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/_current")
+    try:
+        pointer.coalesce(1).write.mode("errorifexists").parquet(f"{root}/_current/version={seen + 1}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        raise PublishConflict(f"another batch took number {seen + 1}") from e
+    return seen + 1
 
 
 def current_batch(spark: SparkSession, root: str) -> str:
-    """Identifier of the batch published last (one small pointer row is read)."""
-    row = spark.read.parquet(f"{root}/_current").agg(F.max_by("batch_id", "published_at").alias("b")).first()
-    return row["b"]
+    """Identifier of the current batch (one small row per batch is read); NULL before the first."""
+    return pointers(spark, root).agg(F.max_by("batch_id", "version")).first()[0]
 
 
 def read_published(spark: SparkSession, root: str, module: str = None, subject: str = None, batch_id: str = None) -> DataFrame:
@@ -121,6 +158,38 @@ def read_published(spark: SparkSession, root: str, module: str = None, subject:
     return df.filter(F.col("subject") == subject) if subject else df
 
 
+def pin_batch(spark: SparkSession, root: str, reader: str, hours: float) -> str:
+    """The current batch, held for a reader: it is kept for so long, whatever is published meanwhile."""
+    batch_id = current_batch(spark, root)
+    until = F.current_timestamp() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600.0))
+    pin = spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(reader).alias("reader"), until.alias("until"))
+    pin.coalesce(1).write.mode("append").parquet(f"{root}/_pins")
+    return batch_id
+
+
+def expired_batches(spark: SparkSession, root: str, keep: int = 2) -> DataFrame:
+    """Batches that may be removed: neither among the last ``keep`` nor held by a reader."""
+    if keep < 1:
+        raise ValueError("the current batch is always kept")
+    held = _rows(spark, f"{root}/_pins", "batch_id string, reader string, until timestamp").filter(F.col("until") > F.current_timestamp())
+    old = pointers(spark, root).filter(F.col("version") <= published_version(spark, root) - keep)
+    return old.join(held, "batch_id", "left_anti").select("batch_id", "version")
+
+
+def remove_expired(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Removes the rows of expired batches; their pointers stay, so numbers are never given twice."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+    removed = []
+    for row in expired_batches(spark, root, keep).orderBy("version").collect():
+        folder = f"{path}/batch_id={row['batch_id']}"
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            system.delete_dir(folder)
+            removed.append(row["batch_id"])
+    return removed
+
+
 def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Name, size and time of every file of a folder, without reading contents."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!~.]*").load(folder)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..labels import RETAINED
+from ..labels import LOCKED, RETAINED
 from ..operators import compare
 from ..operators.lineage import cut_lineage
 from ..plans import cancellation, channel, conversion, fee, launch, overview, registry, sku, structures
@@ -103,14 +103,22 @@ def e08_drop(spark, sf):
     "dv AS (SELECT subject, CAST(period_start AS DATE) AS day, period, m.metric, m.value FROM oc, LATERAL (VALUES ('留存大定', retained), ('交车锁单', locked)) m(metric, value) "
     "WHERE grain = 'day' AND subject IN (SELECT name FROM subj WHERE type = 'generation') AND (m.metric = '留存大定' OR m.value > 0)), "
     "sp AS (SELECT *, lag(period) OVER (ORDER BY day) AS prev FROM (SELECT DISTINCT day, period FROM dv)), "
-    "cv AS (SELECT subject, min(day) AS a, max(day) AS b FROM oc JOIN (SELECT DISTINCT subject AS s, CAST(period_start AS DATE) AS day FROM oc WHERE grain = 'day') d ON d.s = subject GROUP BY 1), "
-    "cz AS (SELECT b.subject, sp.period, b.metric, b.value AS before, coalesce(n.value, 0) AS now FROM dv b JOIN sp ON sp.prev = b.period LEFT JOIN dv n ON n.subject = b.subject AND n.metric = b.metric AND n.period = sp.period "
-    "JOIN cv ON cv.subject = b.subject WHERE n.value IS NOT NULL OR sp.day BETWEEN cv.a AND cv.b)"))
+    # Exports by month and, overlapping them, by quarter; a report has ranges of its own.
+    "cv AS (SELECT subject, metric, min(day) AS a, max(day) AS b FROM dv GROUP BY subject, metric, date_trunc('month', day) UNION ALL "
+    "SELECT subject, metric, min(day), max(day) FROM dv GROUP BY subject, metric, date_trunc('quarter', day)), "
+    "cd AS (SELECT subject FROM dv GROUP BY 1 HAVING count(DISTINCT metric) = 2), "
+    "cz AS (SELECT b.subject, sp.period, b.metric, b.value AS before, coalesce(n.value, 0) AS now FROM dv b JOIN sp ON sp.prev = b.period JOIN cd ON cd.subject = b.subject "
+    "LEFT JOIN dv n ON n.subject = b.subject AND n.metric = b.metric AND n.period = sp.period "
+    "WHERE n.value IS NOT NULL OR EXISTS (SELECT 1 FROM cv WHERE cv.subject = b.subject AND cv.metric = b.metric AND sp.day BETWEEN cv.a AND cv.b))"))
 def e08_covered(spark, sf):
-    """Daily drops of generations; a day without orders inside the range of a subject's orders is a 0."""
-    obs = T.observations(spark, sf, ("day",))
-    ranges = obs.groupBy("subject").agg(F.min("period_start").alias("start"), F.max("period_start").alias("end"))
-    pairs = overview.rank_candidates(overview.ranking_input(obs, ranges), T.subjects(spark, sf))
+    """Daily drops of generations; a day inside an export of the metric's report without a row is a 0."""
+    obs = T.observations(spark, sf, ("day",)).filter(F.col("metric").isin(RETAINED, LOCKED))
+    ranges = [
+        obs.groupBy("subject", "metric", F.trunc("period_start", unit).alias("export")).agg(F.min("period_start").alias("start"), F.max("period_start").alias("end"))
+        for unit in ("month", "quarter")
+    ]
+    pairs = overview.ranking_input(obs, ranges[0].unionByName(ranges[1]))
+    pairs = overview.rank_candidates(pairs, T.subjects(spark, sf), obs)
     return out(overview.change_rankings(pairs, "drop"), "period", "metric", "subject", "rate", "rank")
 
 

@@ -152,6 +152,27 @@ def d34(spark, sf):
     return out(coverage.source_coverage(T.exports(spark, sf)), "source_order", "start", "end")
 
 
+@register("a17_published_batches", query("oc", (
+    "SELECT 'pinned' AS reader, subject, period, retained AS value FROM oc WHERE grain = 'month' UNION ALL SELECT 'current', subject, period, retained FROM oc WHERE grain = 'week'")))
+def a17(spark, sf):
+    """A reader holds the batch of months while the batch of weeks is published; a batch that was begun
+    before that is refused."""
+    root = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    rows = T.observations(spark, sf, ("week", "month")).filter(F.col("metric") == RETAINED)
+    rows = rows.select(F.lit("overview").alias("module"), "subject", "grain", "period", "value")
+    begun = reports.publish(rows.filter("grain = 'month'"), root, "months")
+    held = reports.pin_batch(spark, root, "reader", 1)
+    reports.publish(rows.filter("grain = 'week'"), root, "weeks", seen=begun)
+    try:
+        reports.publish(rows, root, "late", seen=begun)
+    except reports.PublishConflict:
+        pass
+    reports.remove_expired(spark, root, keep=1)
+    pinned = reports.read_published(spark, root, batch_id=held).withColumn("reader", F.lit("pinned"))
+    current = reports.read_published(spark, root).withColumn("reader", F.lit("current"))
+    return out(pinned.unionByName(current), "reader", "subject", "period", "value")
+
+
 @register("g03_fill_sparse_days", query("ex0", (
     "SELECT subject, strftime(day, '%Y-%m-%d') AS period, CAST(f + 100 AS BIGINT) AS source_order, 0.0 AS value FROM (SELECT subject, day, f, count(*) FILTER (st = 'F') AS lf FROM ex0 GROUP BY 1, 2, 3) d WHERE lf = 0 "
     "AND EXISTS (SELECT 1 FROM ex0 e WHERE e.subject = d.subject AND e.f = d.f AND e.st = 'F')")))

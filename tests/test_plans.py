@@ -291,6 +291,33 @@ def test_covered_days_are_zeros_in_rankings(spark):
     assert {r["subject"] for r in overview.rank_candidates(overview.ranking_input(obs, coverage), subjects).collect()} == {"甲"}
 
 
+def test_ranges_of_exports_become_intervals(spark):
+    """Overlapping, adjoining, repeated and nested ranges merge; a gap of a day and empty ranges don't."""
+    from metricloom.operators.coverage import interval_days, merged_intervals
+
+    rows = [("a", 1, 5), ("a", 4, 9), ("a", 10, 11), ("a", 2, 3), ("a", 4, 9), ("a", 13, 13), ("a", 20, 18), ("a", None, 30), ("b", 1, 1), (None, 1, 2), (None, 2, 3)]
+    ranges = spark.createDataFrame([(k, s and day(f"2026-01-{s:02d}"), day(f"2026-01-{e:02d}")) for k, s, e in rows], "k string, start date, end date")
+    got = {(r["k"], r["start"].day, r["end"].day) for r in merged_intervals(ranges, ["k"]).collect()}
+    assert got == {("a", 1, 11), ("a", 13, 13), ("b", 1, 1), (None, 1, 3)}
+    days = interval_days(ranges, ["k"])
+    assert days.count() == days.distinct().count() == 16
+
+
+def test_coverage_and_candidates_by_metric_and_grain(spark):
+    rows = [{"report": r, "metric": m, "period": p, "subject": s, "value": v} for r, m, p, s, v in (
+        ("lock_mix", "交车锁单", "2026-01-01", "M7 2025款", 5.0), ("order_mix", "留存大定", "2026-01-01", "M7 2025款", 3.0), ("lock_mix", "交车锁单", "2026-01-02", "M9", 1.0),
+        ("order_mix", "留存大定", "2026-01-02", "M7 2026款", 4.0),
+    )]
+    obs = with_start(observations(spark, rows, grain="day"))
+    coverage = spark.createDataFrame([("M7 2025款", "交车锁单", day("2026-01-01"), day("2026-01-02"))], "subject string, metric string, start date, end date")
+    pairs = overview.ranking_input(obs, coverage)
+    got = {(r["subject"], r["metric"]): (r["now"], r["before"]) for r in pairs.collect()}
+    assert got["M7 2025款", "交车锁单"] == (0.0, 5.0) and got["M7 2025款", "留存大定"] == (None, 3.0) and got["M9", "交车锁单"] == (1.0, None)
+    # 2026 has no lock report, so 2025 is the newest year that takes part; M9 has no orders.
+    subjects = spark.createDataFrame([(n, "generation") for n in ("M7 2025款", "M7 2026款", "M9")], "name string, type string")
+    assert {r["subject"] for r in overview.rank_candidates(pairs, subjects, obs).collect()} == {"M7 2025款"}
+
+
 def test_ratio_weights_know_module_names(spark):
     from metricloom.operators.merge import primary_metric
 

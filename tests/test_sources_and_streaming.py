@@ -61,6 +61,37 @@ def test_publish_switches_last(spark, folder):
     assert reports.current_batch(spark, folder) == "b2"
 
 
+def test_one_of_two_publishers_is_refused_and_readers_keep_their_batch(spark, folder):
+    df = spark.createDataFrame([("overview", "M", 1.0)], "module string, subject string, value double")
+    assert reports.published_version(spark, folder) == 0 and reports.current_batch(spark, folder) is None
+    assert reports.publish(df, folder, "a") == 1
+    held = reports.pin_batch(spark, folder, "reader", 1)
+    old = reports.read_published(spark, folder, batch_id=held)
+    assert reports.publish(df.withColumn("value", F.lit(2.0)), folder, "b", seen=1) == 2
+    # Begun at the same number: refused before its data are written.
+    with pytest.raises(reports.PublishConflict):
+        reports.publish(df, folder, "late", seen=1)
+    assert not os.path.exists(f"{folder}/batch_id=late") and reports.current_batch(spark, folder) == "b"
+    # Its number is taken while its data are written: refused by the pointer.
+    slow = df.withColumn("value", F.lit(9.0))
+    first = reports.published_version
+    reports.published_version = lambda *a: 1
+    try:
+        with pytest.raises(reports.PublishConflict):
+            reports.publish(slow, folder, "slow")
+    finally:
+        reports.published_version = first
+    assert reports.current_batch(spark, folder) == "b"
+    for name in ("c", "d"):
+        reports.publish(df, folder, name)
+    # a is held, d and c are the last two.
+    assert [r["batch_id"] for r in reports.expired_batches(spark, folder, 2).collect()] == ["b"]
+    assert reports.remove_expired(spark, folder, 2) == ["b"] and reports.remove_expired(spark, folder, 2) == []
+    assert old.first()["value"] == 1.0 and reports.publish(df, folder, "e") == 5
+    with pytest.raises(ValueError):
+        reports.expired_batches(spark, folder, 0)
+
+
 def manifest(spark, rows):
     return spark.createDataFrame([(n, s, dt.datetime(2026, 1, 1, h)) for n, s, h in rows], "name string, size bigint, mtime timestamp")
 
