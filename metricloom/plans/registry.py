@@ -8,13 +8,15 @@ has no data for an analysis simply has no rows.
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import period_start
 from ..labels import ALL_PERIODS
 from ..operators.compare import kpi_comparison, structure_change
 from ..operators.ordered import union_all
+from ..operators.quality import import_health
+from ..sources.cells import raw_tables
 from ..sources.reports import publish, published_version
 from . import cancellation, channel, conversion, fee, launch, overview, sku, structures
 
@@ -32,14 +34,14 @@ def dated(df: DataFrame) -> DataFrame:
     return df.withColumn("period_start", period_start(F.col("period")))
 
 
-def figures(df: DataFrame, module: str, values: dict, subject="subject", grain="", period="", start="") -> DataFrame:
-    """Wide key figures as long rows; grain and period are column names or fixed texts. ``start`` is
-    the column that orders periods whose labels name no day."""
+def figures(df: DataFrame, module: str | Column, values: dict, subject="subject", grain="", period="", start="") -> DataFrame:
+    """Wide key figures as long rows; grain and period are column names or fixed texts, the module a fixed
+    text or a column. ``start`` is the column that orders periods whose labels name no day."""
     def text(name):
         return F.col(name) if name in df.columns else F.lit(name)
     rows = F.array(*[F.struct(F.lit(label).alias("label"), c.cast("double").alias("value")) for label, c in values.items()])
     long = df.select(
-        F.lit(module).alias("module"), F.col(subject).alias("subject"), text(grain).alias("grain"), text(period).alias("period"),
+        (F.lit(module) if isinstance(module, str) else module).alias("module"), F.col(subject).alias("subject"), text(grain).alias("grain"), text(period).alias("period"),
         *([F.col(start).alias("period_start")] if start else []), F.explode(rows).alias("x"),
     )
     shown = long.select("module", "subject", "grain", "period", "x.label", "x.value", *(["period_start"] if start else []))
@@ -57,7 +59,8 @@ def channel_figures(channel_observations: DataFrame, stores: DataFrame) -> DataF
 
 def mix_figures(mix_observations: DataFrame) -> DataFrame:
     kpis = structures.mix_kpis(structure_change(structures.structures(mix_observations)))
-    return figures(kpis, "order_mix", {
+    # The report names the module: order_mix, lock_mix or small_order_mix.
+    return figures(kpis, F.col("report"), {
         "dimensions": F.col("dimensions"), "options": F.col("options"), "leading_share": F.col("leading_share") * 100,
         "focused": F.col("focused"), "max_change": F.col("max_change") * 100,
     }, grain="grain", period="period")
@@ -119,6 +122,19 @@ def sku_figures(sku_share: DataFrame, sku_topk: DataFrame) -> DataFrame:
     }, grain="week", period="period")
 
 
+def generic_figures(sheet_status: DataFrame) -> DataFrame:
+    """How the sheets of each subject were taken in. sheet_status: import_status()."""
+    names = ("unmatched", "recognised", "to_check", "files", "unmatched_numeric")
+    return figures(import_health(sheet_status), "generic", {n: F.col(n) for n in names}, grain="week", period=ALL_PERIODS)
+
+
+def raw_figures(cells: DataFrame) -> DataFrame:
+    """Size of every sheet's raw table: the file stands as subject, the sheet as period."""
+    last = F.array_max(F.map_keys("values"))
+    sizes = raw_tables(cells).groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("rows"), F.max(last).alias("columns"))
+    return figures(sizes, "raw", {"rows": F.col("rows"), "columns": F.col("columns")}, subject="file", period="sheet")
+
+
 ANALYSES = {
     "overview": Analysis(("observations",), overview_figures),
     "channel_analysis": Analysis(("channel_observations", "stores"), channel_figures),
@@ -129,6 +145,8 @@ ANALYSES = {
     "option_fee_brand": Analysis(("fee_rows", "fee_rank"), fee_brand_figures),
     "option_fee_generation": Analysis(("fee_rows",), fee_generation_figures),
     "sku": Analysis(("sku_share", "sku_topk"), sku_figures),
+    "generic": Analysis(("sheet_status",), generic_figures),
+    "raw": Analysis(("cells",), raw_figures),
 }
 
 

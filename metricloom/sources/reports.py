@@ -48,9 +48,9 @@ def load_campaigns(raw: DataFrame) -> DataFrame:
     return named.withColumn("label", label).withColumn("brand", brand)
 
 
-def _matches(df: DataFrame, query: str, columns=None) -> Column:
-    columns = columns or df.columns
-    texts = F.array(*[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
+def contains_text(columns, query: str) -> Column:
+    """Does any of the columns contain the text, whatever its case?"""
+    texts = F.array(*[F.lower(F.coalesce(c.cast("string"), F.lit(""))) for c in columns])
     needle = query.strip().lower()
     return F.exists(texts, lambda t: t.contains(needle)) if needle else F.lit(True)
 
@@ -59,15 +59,19 @@ def _matches(df: DataFrame, query: str, columns=None) -> Column:
 MOST_PAGE_ROWS = 500
 
 
+def check_page(offset: int, limit: int) -> None:
+    if not 1 <= limit <= MOST_PAGE_ROWS or offset < 0:
+        raise ValueError(f"a page has 1 to {MOST_PAGE_ROWS} rows and starts at 0 or later")
+
+
 def search_rows(df: DataFrame, query: str, columns=None) -> DataFrame:
     """Every row in which any column contains the text, case-insensitively."""
-    return df.filter(_matches(df, query, columns))
+    return df.filter(contains_text([F.col(c) for c in columns or df.columns], query))
 
 
 def search_page(df: DataFrame, query: str, order: str, offset: int = 0, limit: int = 50, columns=None) -> DataFrame:
     """One page of the matching rows; the sort keeps only offset+limit rows per task."""
-    if not 1 <= limit <= MOST_PAGE_ROWS or offset < 0:
-        raise ValueError(f"a page has 1 to {MOST_PAGE_ROWS} rows and starts at 0 or later")
+    check_page(offset, limit)
     return search_rows(df, query, columns).orderBy(order).offset(offset).limit(limit)
 
 

@@ -873,3 +873,24 @@ def k_sku(spark, sf):
     "(SELECT subject, period, metric, max(share) AS top, count(*) AS options, max(abs(change)) AS moved FROM mxc GROUP BY 1, 2, 3) GROUP BY 1, 2)"))
 def k_order_mix(spark, sf):
     return out(registry.mix_figures(T.mix_observations(spark, sf)), *registry.COLUMNS)
+
+
+@register("k_mix_modules", query("lp", _figure_rows("mk", "' || report || '", "subject", "'month'", "period", {
+    "dimensions": "dimensions", "options": "options", "leading_share": "top * 100", "focused": "focused", "max_change": "moved * 100"}), (
+    "mr AS (SELECT report, subject, ps, metric, category, CAST(count(*) AS DOUBLE) AS n FROM (SELECT r.report, s.subject, b.ps, d.metric, d.category FROM ("
+    "SELECT brand, CAST(date_trunc('month', sday) AS DATE) AS ps, p_type, p_brand, p_size, l_linestatus, l_returnflag FROM lp JOIN part ON l_partkey = p_partkey) b, "
+    "LATERAL (SELECT 'order_mix' AS report UNION ALL SELECT 'lock_mix' WHERE b.l_linestatus = 'F' UNION ALL SELECT 'small_order_mix' WHERE b.l_returnflag = 'R') r, "
+    "LATERAL (SELECT 'ALL' AS subject UNION ALL SELECT b.brand) s, "
+    "LATERAL (SELECT '动力' AS metric, b.p_type AS category UNION ALL SELECT '版本', b.p_brand UNION ALL SELECT '电池包', CAST(b.p_size AS VARCHAR) || 'kWh') d) GROUP BY ALL), "
+    "ms AS (SELECT *, n / sum(n) OVER (PARTITION BY report, subject, ps, metric) AS share FROM mr), "
+    "mb AS (SELECT report, subject, ps, lag(ps) OVER (PARTITION BY report, subject ORDER BY ps) AS prev FROM (SELECT DISTINCT report, subject, ps FROM ms)), "
+    "mc AS (SELECT m.*, abs(m.share - coalesce(p.share, m.share)) AS moved FROM ms m JOIN mb USING (report, subject, ps) LEFT JOIN ms p "
+    "ON p.report = m.report AND p.subject = m.subject AND p.ps = mb.prev AND p.metric = m.metric AND p.category = m.category), "
+    "mk AS (SELECT report, subject, strftime(ps, '%y-%m') AS period, count(*) AS dimensions, sum(options) AS options, max(top) AS top, count(*) FILTER (top >= 0.5) AS focused, max(moved) AS moved FROM "
+    "(SELECT report, subject, ps, metric, max(share) AS top, count(*) AS options, max(moved) AS moved FROM mc GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)")))
+def k_mix_modules(spark, sf):
+    """All lines are orders, shipped ones the locked, returned ones the small orders."""
+    reports = F.array_compact(F.array(
+        F.lit("order_mix"), F.when(F.col("l_linestatus") == "F", "lock_mix"), F.when(F.col("l_returnflag") == "R", "small_order_mix")
+    ))
+    return out(registry.mix_figures(T.mix_observations(spark, sf, reports)), *registry.COLUMNS)

@@ -11,8 +11,9 @@ from ..labels import DELIVERED, GRAINS, LOCKED, ORDERS, POWER, QTY, RETAINED, SH
 from ..operators import annotate, coverage, merge, ordered, quality
 from ..operators.lineage import cut_lineage, shared_folder
 from ..plans import channel, dispatch, overview, structures
+from ..plans import registry as analyses
 from ..sources import cells as layout
-from ..sources import reports
+from ..sources import reports, search
 from ..streaming import refresh, rhythm
 from . import tables as T
 from .registry import out, register
@@ -533,6 +534,22 @@ def a15_total(spark, sf):
     return out(reports.search_total(T.table(spark, sf, "pages"), "Example.com", columns=["url", "html"]), "total")
 
 
+def _indexed(df, order, columns):
+    return search.build_index(df, f"{shared_folder(df.sparkSession)}/search-{uuid.uuid4().hex}", order, columns)
+
+
+@register("a15_indexed_page", (
+    "SELECT doc_id, lang, source FROM documents WHERE lower(text) LIKE '%license%' OR lower(lang) LIKE '%license%' OR lower(source) LIKE '%license%' ORDER BY doc_id LIMIT 50 OFFSET 5"))
+def a15_indexed(spark, sf):
+    index = _indexed(T.table(spark, sf, "documents"), "doc_id", ["text", "lang", "source"])
+    return out(index.page("License", offset=5, limit=50), "doc_id", "lang", "source")
+
+
+@register("a15_indexed_search", "SELECT page_id FROM pages WHERE lower(url) LIKE '%example.net%' OR lower(html) LIKE '%example.net%'")
+def a15_indexed_search(spark, sf):
+    return out(_indexed(T.table(spark, sf, "pages"), "page_id", ["url", "html"]).search("Example.NET"), "page_id")
+
+
 @register("a16_csv_values", (
     "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS l_quantity, l_returnflag FROM lineitem"))
 def a16(spark, sf):
@@ -668,6 +685,22 @@ def d35(spark, sf):
     return out(quality.import_health(_statuses(spark, sf)), "subject", "unmatched", "recognised", "to_check", "files", "unmatched_numeric")
 
 
+@register("k_generic", query("places", (
+    "SELECT 'generic' AS module, subject, 'week' AS grain, 'all' AS period, x.label, x.value FROM (SELECT subject, count(*) FILTER (status = 'unmatched') AS u, count(*) FILTER (status <> 'unmatched') AS r, "
+    "count(*) FILTER (status LIKE 'check%') AS c, count(DISTINCT file) AS f, coalesce(sum(numeric) FILTER (status = 'unmatched'), 0) AS n FROM stt GROUP BY 1), "
+    "LATERAL (VALUES ('unmatched', CAST(u AS DOUBLE)), ('recognised', CAST(r AS DOUBLE)), ('to_check', CAST(c AS DOUBLE)), ('files', CAST(f AS DOUBLE)), ('unmatched_numeric', CAST(n AS DOUBLE))) x(label, value)"), _SHEETS))
+def k_generic(spark, sf):
+    return out(analyses.generic_figures(_statuses(spark, sf)), *analyses.COLUMNS)
+
+
+@register("k_raw", query("mx", (
+    "SELECT 'raw' AS module, 'mix' AS subject, '' AS grain, subject || 'by月' AS period, x.label, x.value FROM (SELECT subject, max((year(ps) - 1995) * 12 + month(ps) + 3) AS columns, "
+    "1 + count(DISTINCT metric || category) + count(DISTINCT metric || category) FILTER (n IS NOT NULL) AS rows FROM mx GROUP BY 1), "
+    "LATERAL (VALUES ('rows', CAST(rows AS DOUBLE)), ('columns', CAST(columns AS DOUBLE))) x(label, value)")))
+def k_raw(spark, sf):
+    return out(analyses.raw_figures(metric_cells(spark, sf)), *analyses.COLUMNS)
+
+
 @register("i02_validate", query("ob", (
     "SELECT 'overview' AS module, problem, count(*) AS rows, count(DISTINCT subject) AS subjects FROM (SELECT subject, 'unknown subject' AS problem FROM ob WHERE subject = 'ALL' UNION ALL "
     "SELECT subject, 'invalid number' FROM ob WHERE retained = 0 UNION ALL SELECT subject, 'source missing' FROM ob WHERE grain = 'week') GROUP BY 1, 2")))

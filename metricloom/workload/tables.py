@@ -135,37 +135,41 @@ def line_places(spark, folder) -> DataFrame:
     )
 
 
-def part_counts(spark, folder) -> DataFrame:
-    """Lines per brand, month and configuration value; three dimensions from one pass."""
+def part_counts(spark, folder, reports=None) -> DataFrame:
+    """Lines per brand, month and configuration value; three dimensions from one pass. ``reports``: names
+    of the reports that a line counts in, as an array; a further key where given."""
+    split = [] if reports is None else ["report"]
     part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    lines = line_places(spark, folder).select("l_partkey", "brand", F.trunc(F.col("l_shipdate").cast("date"), "month").alias("period_start"))
+    told = [] if reports is None else [F.explode(reports).alias("report")]
+    lines = line_places(spark, folder).select("l_partkey", "brand", F.trunc(F.col("l_shipdate").cast("date"), "month").alias("period_start"), *told)
     joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     dims = F.array(
         F.struct(F.lit(POWER).alias("metric"), F.col("p_type").alias("category"), F.lit(100).alias("base")),
         F.struct(F.lit(VERSION).alias("metric"), F.col("p_brand").alias("category"), F.lit(200).alias("base")),
         F.struct(F.lit(BATTERY).alias("metric"), F.concat(F.col("p_size").cast("string"), F.lit("kWh")).alias("category"), F.lit(300).alias("base")),
     )
-    counted = joined.select("brand", "period_start", F.explode(dims).alias("x")).groupBy(
-        "brand", "period_start", "x.metric", "x.category", "x.base"
+    counted = joined.select("brand", *split, "period_start", F.explode(dims).alias("x")).groupBy(
+        "brand", *split, "period_start", "x.metric", "x.category", "x.base"
     ).agg(F.count(F.lit(1)).cast("double").alias("n"))
     level = F.explode(F.array(F.lit(GROUP), F.col("brand"))).alias("subject")
-    return counted.select(level, "period_start", "metric", "category", "base", "n").groupBy(
-        "subject", "period_start", "metric", "category", "base"
+    return counted.select(level, *split, "period_start", "metric", "category", "base", "n").groupBy(
+        "subject", *split, "period_start", "metric", "category", "base"
     ).agg(F.sum("n").alias("n"))
 
 
-def mix_observations(spark, folder) -> DataFrame:
-    """Share and count rows of the configuration dimensions."""
-    counts = part_counts(spark, folder)
-    total = F.sum("n").over(Window.partitionBy("subject", "period_start", "metric"))
+def mix_observations(spark, folder, reports=None) -> DataFrame:
+    """Share and count rows of the configuration dimensions, of the order report or of those named."""
+    counts = part_counts(spark, folder, reports)
+    counts = counts.withColumn("report", F.lit("order_mix")) if reports is None else counts
+    total = F.sum("n").over(Window.partitionBy("report", "subject", "period_start", "metric"))
     # Labels are ordered by the number in them, then by name.
     rows = F.array(
         F.struct(F.lit(SHARE).alias("stat"), (F.col("n") / total).alias("value")),
         F.struct(F.lit(QTY).alias("stat"), F.col("n").alias("value")),
     )
     ord_ = (F.col("base") + F.coalesce(F.regexp_extract("category", r"(\d+)", 1).try_cast("int"), F.length("category"))) * 256 + F.ascii("category")
-    return counts.select("subject", "period_start", "metric", "category", ord_.alias("row_ord"), rows.alias("r")).select(
-        F.lit("order_mix").alias("report"), "subject", F.lit("month").alias("grain"),
+    return counts.select("report", "subject", "period_start", "metric", "category", ord_.alias("row_ord"), rows.alias("r")).select(
+        "report", "subject", F.lit("month").alias("grain"),
         F.date_format("period_start", "yy-MM").alias("period"), "period_start", "metric", "category", "row_ord", F.explode("r").alias("x"),
     ).select("report", "subject", "grain", "period", "period_start", "metric", "x.stat", "category", "x.value", "row_ord")
 
