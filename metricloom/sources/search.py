@@ -1,6 +1,6 @@
 """Search over stored rows by an index of three-character pieces, and pages by stored rank.
 
-The rows are written once in page order, cut into blocks of 64. For every piece of three characters that a
+The rows are written once in page order, cut into blocks of 64. Pieces are made on Arrow batches. For every piece of three characters that a
 column's text holds in lower case, and every block, one posting says by one bit per row where it occurs.
 A search reads the postings of its pieces, intersects them bit by bit, and verifies the texts of the rows
 that are left, so the result equals that of a full scan. Postings lie sorted by piece, rows in one folder
@@ -11,8 +11,11 @@ Defined cases: an empty search finds every row; a null text holds nothing else;
 the order of a hash of all their texts, equal rows in any; an empty table gives an empty index.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,10 +26,9 @@ from .reports import check_page, contains_text
 BLOCK = 64
 PIECE = 3
 _END = "\0" * (PIECE - 1)
-#: Long texts are cut into overlapping parts, so that no array of pieces grows with a text.
-_PART = 4096
-_PARTS = rf"(?s)(?=(.{{1,{_PART + PIECE - 1}}})).{{1,{_PART}}}"
-_PIECES = rf"(?s)(?=(.{{{PIECE}}}))"
+#: Characters whose pieces are made at a time; longer texts are cut into overlapping parts. With so many
+#: characters a piece and a bit's number fit 64 bits whatever the alphabet.
+_STEP = 1 << 18
 _PLACE = ["part", "block"]
 
 
@@ -40,6 +42,82 @@ def _within(first: Column, n: Column, offset: int, limit: int) -> Column:
     return (first < offset + limit) & (first + n > offset)
 
 
+def _runs(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """Texts of one block, each with the two characters behind its last piece, and the bit of each; at most
+    ``_STEP`` characters, or one part of a text."""
+    texts = batch.column(name).cast(pa.binary())
+    places = zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), batch.column("bit").to_pylist(), strict=True)
+    now, held, bits, size = None, [], [], 0
+    for (part, block, bit), raw in zip(places, texts, strict=True):
+        text = raw.as_py()
+        if not text:
+            continue
+        text = text.decode("utf-8", "replace") + _END
+        for at in range(0, len(text) - len(_END), _STEP):
+            cut = text[at : at + _STEP + len(_END)]
+            if held and ((part, block) != now or size + len(cut) > _STEP):
+                yield *now, held, np.array(bits, np.uint64)
+                held, bits, size = [], [], 0
+            now = part, block
+            held.append(cut)
+            bits.append(bit)
+            size += len(cut)
+    if held:
+        yield *now, held, np.array(bits, np.uint64)
+
+
+def _pieces(texts: list[str], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pieces of the texts, as rows of characters, and the bits of the texts that hold each."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(int(codes.max()) + 1, bool)
+    used[codes] = True
+    letters, many = np.flatnonzero(used), np.uint64(used.sum())
+    letter = (np.cumsum(used) - 1).astype(np.uint64)[codes]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    whole = np.ones(len(codes), bool)
+    for back in range(1, PIECE):
+        whole[np.cumsum(sizes) - back] = False
+    at = np.flatnonzero(whole)
+    number = letter[at]
+    for k in range(1, PIECE):
+        number = number * many + letter[at + k]
+    found = np.sort(number * np.uint64(BLOCK) + np.repeat(bits, sizes)[at])
+    number = found // np.uint64(BLOCK)
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    held = np.bitwise_or.reduceat(np.uint64(1) << found % np.uint64(BLOCK), first)
+    number = number[first]
+    rows = np.empty((len(first), PIECE), np.uint32)
+    for k in reversed(range(PIECE)):
+        rows[:, k] = letters[(number % many).astype(np.int64)]
+        number = number // many
+    return rows, held.view(np.int64)
+
+
+def _strings(rows: np.ndarray) -> pa.Array:
+    raw = rows.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    sizes = (1 + (rows >= 0x80) + (rows >= 0x800) + (rows >= 0x10000)).sum(1)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+
+
+_POSTING = "piece string, column string, part int, block long, bits long"
+
+
+def _postings(columns: list[str]):
+    """Postings per block, made once per run of a block's rows that come together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, column in enumerate(columns):
+                for part, block, texts, bits in _runs(batch, f"text{i}"):
+                    pieces, held = _pieces(texts, bits)
+                    n = len(pieces)
+                    made = [_strings(pieces), pa.repeat(pa.scalar(column), n), pa.repeat(pa.scalar(part, pa.int32()), n), pa.repeat(pa.scalar(block, pa.int64()), n), pa.array(held)]
+                    yield pa.RecordBatch.from_arrays(made, names=["piece", "column", "part", "block", "bits"])
+
+    return run
+
+
 def build_index(df: DataFrame, path: str, order: str, columns=None) -> "SearchIndex":
     """Writes rows, postings and block sizes under a new folder."""
     columns = list(columns or df.columns)
@@ -53,15 +131,8 @@ def build_index(df: DataFrame, path: str, order: str, columns=None) -> "SearchIn
 
     rows = _stored_rows(df.sparkSession, path, df.schema)
     rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/blocks")
-    texts = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lower(F.col(f"row.`{c}`").cast("string")).alias("text")) for c in columns
-    ])
-    bit = F.expr(f"shiftleft(1L, cast(pos % {BLOCK} as int))")
-    long = rows.select(*_PLACE, bit.alias("bits"), F.explode(texts).alias("x")).filter("x.text <> ''")
-    parts = F.regexp_extract_all(F.concat("x.text", F.lit(_END)), F.lit(_PARTS), F.lit(1))
-    parts = long.select(*_PLACE, "bits", "x.column", F.explode(parts).alias("part_text"))
-    pieces = F.array_distinct(F.regexp_extract_all("part_text", F.lit(_PIECES), F.lit(1)))
-    found = parts.select(*_PLACE, "bits", "column", F.explode(pieces).alias("piece"))
+    texts = [F.lower(F.col(f"row.`{c}`").cast("string")).alias(f"text{i}") for i, c in enumerate(columns)]
+    found = rows.select(*_PLACE, (F.col("pos") % BLOCK).alias("bit"), *texts).mapInArrow(_postings(columns), _POSTING)
     postings = found.groupBy("piece", "column", *_PLACE).agg(F.bit_or("bits").alias("bits"))
     postings.repartitionByRange("piece", *_PLACE).sortWithinPartitions("piece", *_PLACE).write.parquet(f"{path}/postings")
     return open_index(df.sparkSession, path, df.schema, columns)

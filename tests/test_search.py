@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -67,3 +68,26 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "row int, text string")
     index = search.build_index(df, tempfile.mkdtemp(prefix="metricloom-test-") + "/index", "row")
     assert index.page("x").collect() == [] and index.total("").first()["total"] == 0
+
+
+def test_postings_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(search, "_STEP", 7)
+    texts = ["Äb😀", "", None, "a", "ab", "\0a\0", "abcabcabcabcabcabc" * 9, "語語語語", "x" * 50] * 20
+    df = spark.createDataFrame([(i, t, "K" if i % 3 else None) for i, t in enumerate(texts)], "row int, text string, `k.k` string")
+    index = search.build_index(df, tempfile.mkdtemp(prefix="metricloom-test-") + "/index", "row")
+    want = {}
+    for r in index.rows.collect():
+        for c in df.columns:
+            t = "" if r["row"][c] is None else str(r["row"][c]).lower()
+            for i in range(len(t)):
+                key = (t + "\0\0")[i : i + 3], c, r["part"], r["block"]
+                want[key] = want.get(key, 0) | 1 << r["pos"] % search.BLOCK
+    got = {tuple(r)[:4]: r["bits"] % (1 << 64) for r in index.postings.select("piece", "column", "part", "block", "bits").collect()}
+    assert got == want and index.postings.count() == len(want)
+
+
+def test_a_task_makes_one_posting_per_piece_and_block():
+    columns = {"part": pa.array([0] * 64, pa.int32()), "block": [7] * 64, "bit": list(range(64)), "text0": ["abc"] * 63 + ["abd"]}
+    made = [r for b in search._postings(["text"])(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+    assert {r["piece"]: r["bits"] % (1 << 64) for r in made} == {"abc": (1 << 63) - 1, "bc\0": (1 << 63) - 1, "c\0\0": (1 << 63) - 1, "abd": 1 << 63, "bd\0": 1 << 63, "d\0\0": 1 << 63}
+    assert len(made) == 6
